@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import frequency_queries, pair_queries
+
 
 def modules() -> list:
-    return []
+    return [pair_queries, frequency_queries]
