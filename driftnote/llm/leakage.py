@@ -123,61 +123,98 @@ def stretches(group: np.ndarray, diagonal: np.ndarray, place: np.ndarray, run: i
     return [tuple(x[:5]) for x in out]
 
 
-def banded(a: str, b: str, low: int, high: int) -> np.ndarray:
-    """For each character of ``a`` whether a cheapest alignment within the diagonals low..high (place in b minus place in a) edits there.
+def banded(pairs: list[tuple[np.ndarray, np.ndarray, int, int]]) -> list[np.ndarray]:
+    """For each (a, b, low, high): for each character of ``a`` whether a cheapest alignment with ``b`` edits there.
 
-    The ends of ``b`` are free: what stands before and after the aligned part costs nothing.
+    The alignment stays within the diagonals low..high (place in b minus place in a), and the ends of ``b`` are free: what stands before and
+    after the aligned part costs nothing. All pairs advance together, a character of ``a`` at a time.
     """
-    n, w = len(a), high - low + 1
-    x, y = _codes(a), _codes(b)
-    big = 1 << 20
-    cost = np.full((n + 1, w), big, np.int64)
-    move = np.zeros((n + 1, w), np.int8)
-    j0 = np.arange(w) + low
-    cost[0] = np.where((j0 >= 0) & (j0 <= len(y)), 0, big)
+    r, n = len(pairs), max((len(p[0]) for p in pairs), default=0)
+    w, big = max((p[3] - p[2] + 1 for p in pairs), default=1), 1 << 20
+    lengths = np.array([len(p[0]) for p in pairs])
+    ends = np.array([len(p[1]) for p in pairs])[:, None]
+    low = np.array([p[2] for p in pairs])[:, None]
+    used = np.arange(w)[None, :] <= np.array([p[3] - p[2] for p in pairs])[:, None]
+    x = np.zeros((r, n), np.uint32)
+    y = np.zeros((r, max(1, int(ends.max(initial=0)))), np.uint32)
+    for i, (a, b, _, _) in enumerate(pairs):
+        x[i, : len(a)] = a
+        y[i, : len(b)] = b
+    rows = np.arange(r)[:, None]
+    j0 = np.arange(w)[None, :] + low
+    cost = np.where((j0 >= 0) & (j0 <= ends) & used, 0, big)
+    last = cost.copy()
+    moves = np.zeros((n + 1, r, w), np.int8)
     for i in range(1, n + 1):
         j = i + j0
-        inside = (j >= 0) & (j <= len(y))
-        same = np.where((j >= 1) & (j <= len(y)), y[np.clip(j - 1, 0, max(0, len(y) - 1))] == x[i - 1], False) if len(y) else np.zeros(w, bool)
-        diag = np.where(j >= 1, cost[i - 1] + ~same, big)
-        up = np.r_[cost[i - 1][1:], big] + 1
-        best = np.where(up < diag, up, diag)
-        move[i] = np.where(up < diag, 2, np.where(same, 0, 1))
-        best = np.where(inside, best, big)
+        inside = (j >= 0) & (j <= ends) & used
+        same = inside & (j >= 1) & (y[rows, np.clip(j - 1, 0, y.shape[1] - 1)] == x[:, i - 1 : i])
+        diagonal = np.where(j >= 1, cost + ~same, big)
+        up = np.full_like(cost, big)
+        up[:, :-1] = cost[:, 1:] + 1
+        best = np.where(inside, np.minimum(diagonal, up), big)
+        move = np.where(up < diagonal, 2, np.where(same, 0, 1)).astype(np.int8)
         for k in range(1, w):
-            if best[k - 1] + 1 < best[k] and inside[k]:
-                best[k], move[i, k] = best[k - 1] + 1, 3
-        cost[i] = best
-    edited = np.zeros(n, bool)
-    i, k = n, int(cost[n].argmin())
-    while i > 0:
-        m = move[i, k]
-        if m == 3:
-            edited[i - 1] = True
-            k -= 1
+            less = inside[:, k] & (best[:, k - 1] + 1 < best[:, k])
+            best[less, k] = best[less, k - 1] + 1
+            move[less, k] = 3
+        moves[i], cost = move, best
+        over = lengths == i
+        last[over] = cost[over]
+    edited = np.zeros((r, n), bool)
+    at, k, every = lengths.copy(), last.argmin(axis=1), np.arange(r)
+    while (at > 0).any():
+        live = every[at > 0]
+        m = moves[at[live], live, k[live]]
+        edited[live, at[live] - 1] |= m != 0
+        k[live] += (m == 2).astype(np.int64) - (m == 3)
+        at[live[m != 3]] -= 1
+    return [edited[i, :size] for i, size in enumerate(lengths)]
+
+
+def merged(found: list[tuple[int, int, int, int, int]], reach: int) -> list[tuple[int, int, int, int, int]]:
+    """Stretches of one group on neighbouring diagonals that overlap become one: bands overlap, so most are found twice."""
+    out: list[list[int]] = []
+    for g, low, high, first, last in sorted(found, key=lambda s: (s[0], s[3], s[1])):
+        for o in reversed(out[-8:]):
+            if o[0] == g and first <= o[4] + reach and low <= o[2] + reach and high >= o[1] - reach and max(high, o[2]) - min(low, o[1]) <= 4 * reach:
+                o[1], o[2], o[4] = min(o[1], low), max(o[2], high), max(o[4], last)
+                break
         else:
-            edited[i - 1] |= m != 0
-            if m == 2:
-                k += 1
-            i -= 1
-    return edited
-
-
-def verified(item: str, text: str, low: int, high: int, first: int, last: int, run: int, edits: int, q: int) -> tuple[int, int, int] | None:
-    """(start in the item, end in the item, edits) of the longest part of a stretch of which every ``run`` characters have at most ``edits`` edits."""
-    i0, i1 = max(0, first - high - edits), min(len(item), last - low + q + edits)
-    t0, t1 = max(0, i0 + low - edits), min(len(text), i1 + high + edits)
-    edited = banded(item[i0:i1], text[t0:t1], low - edits + i0 - t0, high + edits + i0 - t0)
-    if len(edited) < run:
-        return None
-    sums = np.r_[0, np.cumsum(edited)]
-    ok = np.flatnonzero(sums[run:] - sums[:-run] <= edits)
-    if not len(ok):
-        return None
-    parts = np.split(ok, np.flatnonzero(np.diff(ok) > 1) + 1)
-    best = max(parts, key=len)
-    s, e = int(best[0]), int(best[-1]) + run
-    return i0 + s, i0 + e, int(sums[e] - sums[s])
+            out.append([g, low, high, first, last])
+    return [tuple(o) for o in out]
+
+
+def verified(found: list[tuple[str, str, int, int, int, int]], run: int, edits: int, q: int) -> list[tuple[int, int, int] | None]:
+    """For each (item, text, low, high, first, last): (start in the item, end in the item, edits) of the longest part of the stretch of which every
+    ``run`` characters have at most ``edits`` edits, if any."""
+    pairs, starts = [], []
+    for item, text, low, high, first, last in found:
+        i0, i1 = max(0, first - high - edits), min(len(item), last - low + q + edits)
+        t0, t1 = max(0, i0 + low - edits), min(len(text), i1 + high + edits)
+        pairs.append((_codes(item[i0:i1]), _codes(text[t0:t1]), low - edits + i0 - t0, high + edits + i0 - t0))
+        starts.append(i0)
+    marks: list[np.ndarray] = [None] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda k: len(pairs[k][0]))
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end + 1 - at) * len(pairs[order[end]][0]) * 12 <= 20_000_000:
+            end += 1
+        for k, e in zip(order[at:end], banded([pairs[k] for k in order[at:end]])):
+            marks[k] = e
+        at = end
+    out: list[tuple[int, int, int] | None] = []
+    for i0, edited in zip(starts, marks):
+        sums = np.r_[0, np.cumsum(edited)]
+        ok = np.flatnonzero(sums[run:] - sums[:-run] <= edits) if len(edited) >= run else []
+        if not len(ok):
+            out.append(None)
+            continue
+        best = max(np.split(ok, np.flatnonzero(np.diff(ok) > 1) + 1), key=len)
+        s, e = int(best[0]), int(best[-1]) + run
+        out.append((i0 + s, i0 + e, int(sums[e] - sums[s])))
+    return out
 
 
 def _search(keys: list[str | None], index: ItemIndex, run: int, edits: int) -> Iterator[tuple[int, int, int, int, int, int, int]]:
@@ -198,9 +235,10 @@ def _search(keys: list[str | None], index: ItemIndex, run: int, edits: int) -> I
             diagonal = local - where
             runs = longest_runs(group, diagonal, local, index.q)
             best: dict[int, tuple[int, int, int, int]] = {}
-            for g, low, high, first, last in stretches(group, diagonal, local, run, edits, index.q):
-                r, k = divmod(g, len(index.keys))
-                if (found := verified(index.keys[k], part[r], low, high, first, last, run, edits, index.q)) and (g not in best or found[1] - found[0] > best[g][1] - best[g][0]):
+            kept = merged(stretches(group, diagonal, local, run, edits, index.q), edits + 1)
+            pairs = [(index.keys[g % len(index.keys)], part[g // len(index.keys)], *rest) for g, *rest in kept]
+            for (g, _, _, first, _), found in zip(kept, verified(pairs, run, edits, index.q)):
+                if found and (g not in best or found[1] - found[0] > best[g][1] - best[g][0]):
                     best[g] = (*found, first)
             for g, (s, e, n, first) in best.items():
                 r, k = divmod(g, len(index.keys))
