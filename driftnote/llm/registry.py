@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import frequency_queries, language_queries, leakage_queries, packing_queries, pair_queries, pii_queries
+from . import frequency_queries, language_queries, leakage_queries, neardup_queries, packing_queries, pair_queries, pii_queries
 
 
 def modules() -> list:
-    return [pair_queries, pii_queries, frequency_queries, packing_queries, leakage_queries, language_queries]
+    return [pair_queries, neardup_queries, pii_queries, frequency_queries, packing_queries, leakage_queries, language_queries]
