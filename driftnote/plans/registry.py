@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import orphan_queries
+from . import evidence_queries, orphan_queries, text_queries
 
-FLAGSHIP = "p3_by_month"
+FLAGSHIP = "lif4_spikes"
 
 
 def modules() -> list:
-    return [orphan_queries]
+    return [orphan_queries, text_queries, evidence_queries]
