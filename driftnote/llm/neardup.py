@@ -272,14 +272,32 @@ def candidate_pairs(reps: DataFrame, threshold: float, miss: float, functions: i
     return out
 
 
+def _most_similar(x: list[str], y: list[str], rows: int = 2048) -> np.ndarray:
+    """An upper bound of the similarity of each pair: substrings folded into 256 bits; a bit that one side only has is a substring that one side only has."""
+    out = np.empty(len(x))
+    for at in range(0, len(x), rows):
+        bits, sizes = [], []
+        for keys in (x[at : at + rows], y[at : at + rows]):
+            codes, row = gram_codes(keys)
+            flags = np.zeros(len(keys) * 256, bool)
+            flags[row * 256 + (codes >> np.uint32(24))] = True
+            bits.append(np.packbits(flags).view(np.uint64).reshape(len(keys), 4))
+            sizes.append(np.bincount(row, minlength=len(keys)))
+        apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1).astype(float)
+        total = (sizes[0] + sizes[1]).astype(float)  # at least the distinct ones, so the bound stays one
+        out[at : at + rows] = np.maximum(0.0, total - apart) / np.maximum(1.0, total + apart)
+    return out
+
+
 def _similarity(df: DataFrame, threshold: float) -> DataFrame:
     """Rows of (a, b, key_a, key_b) with a similarity of at least the threshold, and that similarity."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            s = np.empty(len(x))
-            for i, (p, q) in enumerate(zip(x, y)):
+            s = np.zeros(len(x))
+            for i in np.flatnonzero(_most_similar(x, y) >= threshold).tolist():
+                p, q = x[i], y[i]
                 g, h = {p[k : k + 3] for k in range(max(1, len(p) - 2))}, {q[k : k + 3] for k in range(max(1, len(q) - 2))}
                 both = len(g & h)
                 s[i] = both / (len(g) + len(h) - both)
