@@ -87,13 +87,14 @@ def cjk_shingles(text: Column, least: int = 2, most: int = 3, whole: int = 4) ->
     """The n-grams of each run of Han characters; runs of up to ``whole`` characters come as a whole too, before their n-grams."""
     runs = F.regexp_extract_all(text, F.lit(r"([\x{4e00}-\x{9fff}]{2,})"), 1)
 
+    nothing = F.array().cast("array<string>")
+
+    def of(run: Column, n: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(run) - n + 1), lambda i: F.substring(run, i, F.lit(n)))
+        return F.when(F.length(run) >= n, cut).otherwise(nothing)
+
     def grams(run: Column) -> Column:
-        each = [
-            F.when(F.length(run) >= n, F.transform(F.sequence(F.lit(1), F.length(run) - n + 1), lambda i, n=n: F.substring(run, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-            for n in range(least, most + 1)
-        ]
-        head = F.when(F.length(run) <= whole, F.array(run)).otherwise(F.array().cast("array<string>"))
-        return F.concat(head, *each)
+        return F.concat(F.when(F.length(run) <= whole, F.array(run)).otherwise(nothing), *[of(run, n) for n in range(least, most + 1)])
 
     return F.flatten(F.transform(runs, grams))
 
