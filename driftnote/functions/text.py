@@ -46,7 +46,7 @@ def snippet(text: Column, limit: int = 96) -> Column:
 def wikilinks(text: Column) -> Column:
     """Distinct link targets (before alias and heading) in order."""
     found = F.regexp_extract_all(text, F.lit(r"\[\[([^\]|#]+)(?:[^\]]*)\]\]"), 1)
-    return F.array_distinct(F.filter(F.transform(found, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def hashtags(text: Column) -> Column:
