@@ -98,8 +98,6 @@ class LanguageModel:
         of = np.repeat(np.arange(len(texts), dtype=np.int32), np.r_[lengths[:-1] + 3, lengths[-1:]])
         for at in range(0, len(c), BLOCK):
             part = c[at : at + BLOCK + 2]
-            if len(part) < 2:
-                break
             for n, rows in enumerate(features(part), 1):
                 rows = rows[:BLOCK]
                 own = of[at : at + len(rows)]
@@ -107,7 +105,7 @@ class LanguageModel:
                 rows, own = rows[inside], own[inside]
                 if len(rows):
                     starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                    sums[own[starts]] += np.add.reduceat(self.scores[rows], starts, axis=0)
+                    sums[own[starts]] += np.add.reduceat(self.scores[rows], starts, axis=0, dtype=np.float64)
                     counts[own[starts]] += np.diff(np.r_[starts, len(own)])
         return sums / np.maximum(counts, 1)[:, None] + self.bias
 
@@ -179,16 +177,21 @@ def train(texts: list[str], labels: list[str], dim: int = 10, epochs: int = 6, r
         at = np.flatnonzero(held & ~wrong)
         z = m.logits([mid[i] for i in at])
         best = (np.inf, 1.0)
+        # as many errors as were made and one more: without it a model without errors would be certain of everything
+        doubt = (1 + int((z.argmax(axis=1) != y[at]).sum())) / (len(at) + 2)
         for t in np.geomspace(0.002, 5, 60):
-            q = z / t
-            loss = np.mean(np.log(np.exp(q - q.max(axis=1, keepdims=True)).sum(axis=1)) + q.max(axis=1) - q[np.arange(len(at)), y[at]]) if len(at) else 0
+            q = z / t - (z / t).max(axis=1, keepdims=True)
+            q = q - np.log(np.exp(q).sum(axis=1, keepdims=True))
+            own = q[np.arange(len(at)), y[at]]
+            loss = -np.mean((1 - doubt) * own + doubt * (q.sum(axis=1) - own) / max(1, len(languages) - 1)) if len(at) else 0.0
             best = min(best, (loss, t))
         m.temperature = float(best[1])
         got, sure = m.predict([mid[i] for i in at])
         order = np.argsort(-sure)
         right = np.cumsum((got == y[at])[order]) / np.arange(1, len(at) + 1)
         good = np.flatnonzero(right >= precision)
-        m.reject_below = float(sure[order][good[-1]]) if len(good) and good[-1] + 1 < len(at) else 0.0
+        # never below an even chance
+        m.reject_below = max(0.5, float(sure[order][good[-1]]) if len(good) and good[-1] + 1 < len(at) else 0.0)
     return m
 
 

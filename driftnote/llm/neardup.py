@@ -176,7 +176,7 @@ def estimated(reps: DataFrame, parts: Partitions) -> tuple[list[float], float]:
     moments = dict(reps.select("rec", "scope", "key").mapInArrow(count, "part int, sums array<bigint>").groupBy("part").applyInArrow(add, "part int, moment double").collect())
     n = moments.pop(n_parts + 1)
     pairs = [max(0.0, (moments[p] - n) / 2) for p in range(n_parts)]
-    noise = n * (2 / SLOTS) ** 0.5  # a difference below it means nothing
+    noise = max(1.0, n * (2 / SLOTS) ** 0.5)  # a difference below it means nothing
     wider = max(0.0, (moments[n_parts] - n) / 2)
     return pairs, max(4.0, wider / max(pairs[0], noise))
 
