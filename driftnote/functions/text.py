@@ -59,17 +59,22 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, WORD_BREAK), lambda w: w != "")
 
 
+def quoted(word: str) -> str:
+    """A word as a literal of Spark SQL."""
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def contains_any(lowered: Column, lexicon: list[str]) -> Column:
-    """Whether lower-cased text holds any of the words."""
-    out = F.lit(False)
-    for w in lexicon:
-        out = out | F.contains(lowered, F.lit(w.lower()))
-    return out
+    """Whether lower-cased text holds any of the words. The lexicon is a folded literal that a small loop runs over: a chain of
+    comparisons would grow the generated code past what the JVM compiles."""
+    words = F.expr("array(" + ", ".join(quoted(w.lower()) for w in dict.fromkeys(lexicon)) + ")")
+    return F.exists(words, lambda w: F.contains(lowered, w))
 
 
 def matched(lowered: Column, lexicon: list[str]) -> Column:
     """The words that lower-cased text holds, distinct, in the lexicon's order."""
-    return F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(w.lower())), F.lit(w)) for w in dict.fromkeys(lexicon)]))
+    words = F.expr("array(" + ", ".join(f"named_struct('l', {quoted(w.lower())}, 'w', {quoted(w)})" for w in dict.fromkeys(lexicon)) + ")")
+    return F.transform(F.filter(words, lambda w: F.contains(lowered, w["l"])), lambda w: w["w"])
 
 
 def specificity(text: Column, number: float = 0.12, upper: float = 0.10, symbol: float = 0.12, symbols: list[str] | None = None) -> Column:

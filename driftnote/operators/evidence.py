@@ -17,30 +17,39 @@ def note_blocks(notes: DataFrame, least: int = 4) -> DataFrame:
     return notes.select(*rest, F.posexplode(T.blocks(T.normalized(F.col("text")), least)).alias("block_index", "block"))
 
 
-def _weight(state: str, low: Column, keywords: Column, context: Column) -> tuple[Column, Column]:
-    """Target weight of a block for a state and what disambiguated it."""
-    weight = F.least(0.20 + F.least(F.size(keywords), F.lit(5)) * 0.20 + F.least(F.size(context), F.lit(4)) * 0.08, F.lit(1.0))
-    none = F.lit(None).cast("string")
-    recovery = F.array_contains(keywords, "恢复") & T.contains_any(low, L.SIGNAL_RECOVERY)
-    if state == "Health":
-        only = recovery & ~T.contains_any(low, L.STRONG_HEALTH)
-        return F.when(only, weight * 0.15).otherwise(weight), F.when(only, "signal_recovery_not_health_recovery").otherwise(none)
-    if state == "Experiment":
-        return F.when(recovery, F.least(weight + 0.20, F.lit(1.0))).otherwise(weight), F.when(recovery, "signal_recovery_as_experiment_evidence").otherwise(none)
-    if state == "Thesis":
-        mentor = keywords == F.array(F.lit("导师"))
-        return F.when(mentor, weight * 0.45).otherwise(weight), F.when(mentor, "mentor_without_thesis_context").otherwise(none)
-    return weight, none
+def _weight() -> tuple[Column, Column]:
+    """Target weight of a block for its state and what disambiguated it."""
+    low, state, keywords = F.col("low"), F.col("state"), F.col("keywords")
+    weight = F.least(0.20 + F.least(F.size("keywords"), F.lit(5)) * 0.20 + F.least(F.size("context"), F.lit(4)) * 0.08, F.lit(1.0))
+    recovery = F.array_contains("keywords", "恢复") & T.contains_any(low, L.SIGNAL_RECOVERY)
+    why = (
+        F.when((state == "Health") & recovery & ~T.contains_any(low, L.STRONG_HEALTH), "signal_recovery_not_health_recovery")
+        .when((state == "Experiment") & recovery, "signal_recovery_as_experiment_evidence")
+        .when((state == "Thesis") & (keywords == F.array(F.lit("导师"))), "mentor_without_thesis_context")
+    )
+    d = F.col("disambiguation")
+    changed = (
+        F.when(d == "signal_recovery_not_health_recovery", weight * 0.15)
+        .when(d == "signal_recovery_as_experiment_evidence", F.least(weight + 0.20, F.lit(1.0)))
+        .when(d == "mentor_without_thesis_context", weight * 0.45)
+        .otherwise(weight)
+    )
+    return changed, why
 
 
 def block_evidence(blocks: DataFrame, states: list[str] | None = None) -> DataFrame:
     """A row for each block and state that it is evidence for, with its vector, score, modifiers and completion.
 
     Blocks without a keyword and with under two context words of a state are none for it, nor are those of target weight or score under 0.18.
-    The lexicons are literals in the plan, so matching is a projection without a join.
+    The lexicons are literals in the plan, so matching is a projection without a join, and everything else is worked out for matching rows only.
     """
     low = F.col("low")
-    rows = blocks.withColumn("low", F.lower("block")).withColumns(
+    each = [F.struct(F.lit(s).alias("state"), T.matched(low, L.KEYWORDS[s]).alias("keywords"), T.matched(low, L.CONTEXT[s]).alias("context")) for s in states or list(L.KEYWORDS)]
+    rows = blocks.withColumn("low", F.lower("block")).withColumn("s", F.explode(F.filter(F.array(*each), lambda s: (F.size(s["keywords"]) > 0) | (F.size(s["context"]) >= 2))))
+    rows = rows.select("*", "s.*").drop("s")
+    weight, why = _weight()
+    rows = rows.withColumn("disambiguation", why).withColumn("target_weight", weight).where("target_weight >= 0.18")
+    rows = rows.withColumns(
         {
             "actionability": T.contains_any(low, L.ACTION).cast("double"),
             "urgency": T.contains_any(low, L.TIME_PRESSURE).cast("double"),
@@ -49,14 +58,7 @@ def block_evidence(blocks: DataFrame, states: list[str] | None = None) -> DataFr
             "specificity": T.specificity(F.col("block")),
             "novelty": T.contains_any(low, L.NOVELTY).cast("double"),
         }
-    )
-    each = []
-    for state in states or list(L.KEYWORDS):
-        keywords, context = T.matched(low, L.KEYWORDS[state]), T.matched(low, L.CONTEXT[state])
-        weight, why = _weight(state, low, keywords, context)
-        each.append(F.struct(F.lit(state).alias("state"), keywords.alias("keywords"), context.alias("context"), weight.alias("target_weight"), why.alias("disambiguation")))
-    rows = rows.withColumn("s", F.explode(F.array(*each))).drop("low").select("*", "s.*").drop("s")
-    rows = rows.where((F.size("keywords") > 0) | (F.size("context") >= 2)).where("target_weight >= 0.18")
+    ).drop("low")
     confidence = F.least(0.42 + F.size("keywords") * 0.10 + F.size("context") * 0.04 + F.col("specificity") * 0.18, F.lit(1.0))
     multiplier = 0.72 + 0.22 * F.col("actionability") + 0.18 * F.col("urgency") + 0.30 * F.col("blocker") + 0.16 * F.col("specificity") + 0.18 * F.col("novelty")
     rows = rows.withColumn("confidence", confidence).withColumn("score", (0.35 + 2.45 * F.col("target_weight")) * multiplier * F.col("confidence")).where("score >= 0.18")

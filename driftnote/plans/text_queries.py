@@ -6,20 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..tables import table
+from ..tables import spread, table
 from .common import NOTES, notes
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def txt1_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths and hashes of the three normalised forms of each document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir)
     forms = {n: T.normalized(F.col("text"), link) for n, link in (("target", "target"), ("alias", "alias"), ("page", "page"))}
     return docs.select("doc_id", *[f(v).alias(f"{n}_{k}") for n, v in forms.items() for k, f in (("length", F.length), ("md5", F.md5))])
 
 
 def txt5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The blocks of each document with their snippets."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir)
     rows = docs.select("doc_id", F.posexplode(T.blocks(T.normalized(F.col("text")))).alias("block_index", "block"))
     return rows.select("doc_id", "block_index", T.snippet(F.col("block")).alias("snippet"), F.length("block").alias("block_length"))
 
@@ -27,23 +31,23 @@ def txt5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def txt6_paragraph_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks at blank lines or sentence marks, of at least 8 characters, the first 80 of a document (the feature's limit)."""
     pieces = F.slice(T.blocks(T.normalized(F.col("text"), "target"), 8, r"\n\s*\n|[。！？!?；;]+"), 1, 80)
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(pieces).alias("blocks"), F.aggregate(pieces, F.lit(0), lambda a, b: a + F.length(b)).alias("characters"))
+    return _documents(spark, sf_dir).select("doc_id", F.size(pieces).alias("blocks"), F.aggregate(pieces, F.lit(0), lambda a, b: a + F.length(b)).alias("characters"))
 
 
 def txt7_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """White space collapsed before splitting, blocks cut at 180 characters, up to 8 numbers of each."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.blocks(T.collapsed(T.normalized(F.col("text"))), 8, r"[。！？!?；;]+")).alias("block_index", "block"))
+    rows = _documents(spark, sf_dir).select("doc_id", F.posexplode(T.blocks(T.collapsed(T.normalized(F.col("text"))), 8, r"[。！？!?；;]+")).alias("block_index", "block"))
     return rows.select("doc_id", "block_index", T.snippet(F.col("block"), 180).alias("fragment"), F.array_join(F.slice(F.regexp_extract_all("block", F.lit(r"([0-9]+(?:\.[0-9]+)?)"), 1), 1, 8), "|").alias("numbers"))
 
 
 def txt9_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir)
     return docs.select("doc_id", F.posexplode(T.wikilinks(F.col("text"))).alias("position", "link"))
 
 
 def txt10_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each tag occurs: tags of the texts and of the notes' own lists."""
-    docs = table(spark, sf_dir, "documents").select(F.explode(T.hashtags(F.col("text"))).alias("tag"))
+    docs = _documents(spark, sf_dir).select(F.explode(T.hashtags(F.col("text"))).alias("tag"))
     own = notes(spark, sf_dir).select(F.explode("tags").alias("tag"))
     return docs.unionAll(own).groupBy("tag").count().withColumnRenamed("count", "uses")
 
@@ -57,7 +61,7 @@ def txt11_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def txt13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of each Latin word of three letters and more, and of each run of Han characters, over all documents."""
     found = F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z]{3,}|[\x{4e00}-\x{9fff}]{2,})"), 1)
-    return table(spark, sf_dir, "documents").select(F.explode(found).alias("token")).groupBy("token").agg(F.count("*").alias("occurrences"))
+    return _documents(spark, sf_dir).select(F.explode(found).alias("token")).groupBy("token").agg(F.count("*").alias("occurrences"))
 
 
 def txt16_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
