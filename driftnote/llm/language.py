@@ -144,7 +144,7 @@ def _descend(bags: list[np.ndarray], labels: np.ndarray, k: int, dim: int, epoch
     return table, layer, bias
 
 
-def train(texts: list[str], labels: list[str], dim: int = 10, epochs: int = 6, rate: float = 1.0, window: int = 300, precision: float = 0.99, seed: int = 7) -> LanguageModel:
+def train(texts: list[str], labels: list[str], dim: int = 10, epochs: int = 4, rate: float = 1.0, window: int = 300, precision: float = 0.99, seed: int = 7) -> LanguageModel:
     """Fit a model on labelled texts of at least two characters, some of whose labels may be wrong.
 
     A fifth of the rows is held out for the temperature and the rejection threshold. ``window`` characters from the middle of each

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import table
+from ..tables import spread, table
 from .language import LanguageModel, detect_languages, labelled_sample, train
 
 
@@ -26,7 +26,7 @@ def fitted_model(spark: SparkSession, sf_dir: str) -> LanguageModel:
 
 def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, segment_no (-1: the document), lang, confidence, accepted, letters, named."""
-    return detect_languages(_named(spark, sf_dir), "doc_id", "text", fitted_model(spark, sf_dir), "named").withColumnRenamed("id", "doc_id")
+    return detect_languages(spread(_named(spark, sf_dir)), "doc_id", "text", fitted_model(spark, sf_dir), "named").withColumnRenamed("id", "doc_id")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

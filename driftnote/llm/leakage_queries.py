@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import table
+from ..tables import spread, table
 from .leakage import leaked_passages
 
 
@@ -16,7 +16,7 @@ def _items(spark: SparkSession, sf_dir: str) -> list[tuple[int, str]]:
 
 def p7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, where the passage lies, its edits and the longest exact run."""
-    return leaked_passages(table(spark, sf_dir, "documents"), "doc_id", "text", _items(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+    return leaked_passages(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", _items(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

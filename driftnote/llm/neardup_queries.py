@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import text_keys
 from ..operators.components import components
-from ..tables import table
+from ..tables import spread, table
 from .neardup import NearDuplicates
 
 SOURCES = {"note_observations": "obs_id", "evidence_items": "item_id"}
@@ -17,7 +17,7 @@ SOURCES = {"note_observations": "obs_id", "evidence_items": "item_id"}
 
 def _snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scope, id, key; arrivals of one id have equal snippets, so they fall together as copies of one id."""
-    parts = [table(spark, sf_dir, name).where("snippet is not null").select(F.lit(name).alias("scope"), F.col(key).alias("id"), text_keys("snippet").alias("key")) for name, key in SOURCES.items()]
+    parts = [spread(table(spark, sf_dir, name).select(key, "snippet").where("snippet is not null")).select(F.lit(name).alias("scope"), F.col(key).alias("id"), text_keys("snippet").alias("key")) for name, key in SOURCES.items()]
     return reduce(DataFrame.unionAll, parts)
 
 

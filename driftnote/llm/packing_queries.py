@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import table
+from ..tables import spread, table
 from .packing import pack, token_pieces
 
 CAPACITY = 2048
@@ -13,7 +13,7 @@ CAPACITY = 2048
 
 def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, piece, size, container, position, start, unused."""
-    return pack(token_pieces(table(spark, sf_dir, "documents"), "doc_id", "text", CAPACITY), CAPACITY).withColumnRenamed("id", "doc_id")
+    return pack(token_pieces(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", CAPACITY), CAPACITY).withColumnRenamed("id", "doc_id")
 
 
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import latest, table
+from ..tables import latest, spread, table
 from .pii import find_personal, redact_personal
 
 FIELDS = {"note_observations": ("obs_id", "text"), "evidence_items": ("item_id", "snippet")}
@@ -20,7 +20,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, str]]:
 def p4_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_table, source_id, kind, occurrence, start, length of every find; arrivals of one id are equal and count once."""
     parts = _parts(spark, sf_dir)
-    found = [find_personal(table(spark, sf_dir, name), key, text, parts).select(F.lit(name).alias("source_table"), F.col("id").alias("source_id"), "kind", "occurrence", "start", "length") for name, (key, text) in FIELDS.items()]
+    found = [find_personal(spread(table(spark, sf_dir, name).select(key, text)), key, text, parts).select(F.lit(name).alias("source_table"), F.col("id").alias("source_id"), "kind", "occurrence", "start", "length") for name, (key, text) in FIELDS.items()]
     return found[0].unionAll(found[1]).distinct()
 
 
