@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 BITS = 16
 BLOCK = 1 << 20
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 3000
+SAMPLE_SEGMENTS = 700
 _BREAK = re.compile(r"\n\s*\n")
 _OTHER = re.compile(r"[\W\d_]+")
 _M2, _M3, _M4, _SHIFT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(32 - BITS)
@@ -144,7 +146,7 @@ def _descend(bags: list[np.ndarray], labels: np.ndarray, k: int, dim: int, epoch
     return table, layer, bias
 
 
-def train(texts: list[str], labels: list[str], dim: int = 10, epochs: int = 4, rate: float = 1.0, window: int = 300, precision: float = 0.99, seed: int = 7) -> LanguageModel:
+def train(texts: list[str], labels: list[str], dim: int = 10, epochs: int = 10, rate: float = 1.0, window: int = 300, precision: float = 0.99, seed: int = 7) -> LanguageModel:
     """Fit a model on labelled texts of at least two characters, some of whose labels may be wrong.
 
     A fifth of the rows is held out for the temperature and the rejection threshold. ``window`` characters from the middle of each
@@ -195,8 +197,8 @@ def train(texts: list[str], labels: list[str], dim: int = 10, epochs: int = 4, r
     return m
 
 
-def labelled_sample(documents: DataFrame, id_column: str, text: str, language: Column, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
-    """Segments of at most ``rows`` labelled documents, those with the least hash of their id, and their labels."""
+def labelled_sample(documents: DataFrame, id_column: str, text: str, language: Column, rows: int = SAMPLE_ROWS, most: int = SAMPLE_SEGMENTS) -> tuple[list[str], list[str]]:
+    """Segments of at most ``rows`` labelled documents, those with the least hash of their id, and their labels: at most ``most`` of a label and four of a document."""
     picked = (
         documents.select(F.col(text).alias("text"), language.alias("language"), F.xxhash64(id_column).alias("h"))
         .where("language is not null and text is not null and length(text) >= 40")
@@ -205,11 +207,13 @@ def labelled_sample(documents: DataFrame, id_column: str, text: str, language: C
         .select("text", "language")
         .collect()
     )
-    texts, labels = [], []
+    texts, labels, have = [], [], Counter()
     for t, y in picked:
         for _, _, piece in segments(t)[:4]:
-            texts.append(piece)
-            labels.append(y)
+            if have[y] < most:
+                have[y] += 1
+                texts.append(piece)
+                labels.append(y)
     return texts, labels
 
 
