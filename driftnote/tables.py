@@ -21,5 +21,8 @@ def latest(df: DataFrame, key: str, order: str) -> DataFrame:
 
     A key has few rows (arrivals of one record), so the window's groups are small.
     """
-    w = Window.partitionBy(F.coalesce(F.col(key).cast("string"), F.uuid())).orderBy(F.col(order).desc_nulls_last())
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    # a null key gets a number of its own, the same one whenever its split is read again
+    alone = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    rows = df.withColumn("_alone", alone)
+    w = Window.partitionBy(key, "_alone").orderBy(F.col(order).desc_nulls_last())
+    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_alone")
