@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import term_keys
+from ..session import cut
 
 WIDE = 64
 _PARTS = {
@@ -105,7 +106,9 @@ class PairTable:
         Rows of one id are arrivals of one basket: the greatest (day, terms) counts, each id once. A null id is a basket for each
         row. Terms are term keys, once a basket; null, empty and blank ones are none. A null day counts for no day.
         """
-        given = batch.select(F.coalesce(F.col(id_column).cast("string"), F.uuid()).alias("id"), F.col(day).cast("date").alias("day"), term_keys(terms).alias("terms"))
+        # baskets without an id get one that no other batch has, and the same one whenever their split is read again
+        own = F.concat(F.lit(f"null-{uuid.uuid4().hex}-"), F.monotonically_increasing_id().cast("string"))
+        given = batch.select(F.coalesce(F.col(id_column).cast("string"), own).alias("id"), F.col(day).cast("date").alias("day"), term_keys(terms).alias("terms"))
         # a struct of id's only state needs no sort: equal arrivals collapse in the distinct, differing ones are ranked
         given = given.groupBy("id").agg(F.max(F.struct("day", "terms")).alias("s")).select("id", "s.day", "s.terms")
         first = not self.state["files"]["baskets"]
@@ -114,8 +117,6 @@ class PairTable:
         else:
             old = self._stored("baskets").select("id", F.col("day").alias("old_day"), F.col("terms").alias("old_terms"), F.lit(True).alias("known"))
             changed = given.join(old, "id", "left").where("known is null or not (day <=> old_day and terms <=> old_terms)").withColumn("new", F.col("known").isNull()).drop("known")
-        from ..session import cut
-
         changed = cut(changed, "changed-baskets")
         touched = self._touched(changed, "baskets")
         if not touched:
@@ -140,8 +141,6 @@ class PairTable:
             self._delta = {**getattr(self, "_delta", {}), part: None}
             self._replace(part, delta, list(range(self.state["buckets"])))
             return
-        from ..session import cut
-
         delta = cut(delta, f"{part}-delta")
         self._delta = {**getattr(self, "_delta", {}), part: delta}
         touched = self._touched(delta, part)
@@ -165,8 +164,6 @@ class PairTable:
             .unionAll(stored.join(terms, stored.term_b == terms.term, "left_semi"))
             .distinct()
         )
-        from ..session import cut
-
         affected = cut(affected, "affected-pairs")
         touched = self._touched(affected, "scores")
         if touched:

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from ..tables import latest, spread, table
 from .pii import find_personal, redact_personal
 
+MOST_PARTS = 5000
 FIELDS = {"note_observations": ("obs_id", "text"), "evidence_items": ("item_id", "snippet")}
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, str]]:
-    """name_parts is a fixed table of 54 rows."""
-    rows = table(spark, sf_dir, "name_parts").where("name_part is not null").select("name_part", "part_kind", "script").limit(10_000).collect()
+    """name_parts is a fixed table of 54 rows; a pattern of more than some thousands would want another generator."""
+    rows = table(spark, sf_dir, "name_parts").where("name_part is not null").select("name_part", "part_kind", "script").limit(MOST_PARTS + 1).collect()
+    if len(rows) > MOST_PARTS:
+        raise ValueError(f"more than {MOST_PARTS} name parts")
     return [tuple(r) for r in rows]
 
 
