@@ -54,6 +54,10 @@ def term_key_sql(expr: str) -> str:
     return _TERM.replace("{0}", _FOLD.replace("{0}", expr))
 
 
+def text_key_sql(expr: str) -> str:
+    return r"regexp_replace(lower({0}), '[^\p{L}\p{N}]', '', 'g')".replace("{0}", _FOLD.replace("{0}", expr))
+
+
 def link_key_sql(expr: str) -> str:
     cut = f"trim(regexp_replace({expr}, '[#|^](.|\\n)*$', ''), ' \t\r\n　 ')"
     tail = f"regexp_replace(regexp_replace({cut}, '^(.|\\n)*/', ''), '\\.[mM][dD]$', '')"
