@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.orphan_queries import text_key_sql
 from ..tables import spread, table
 from .leakage import leaked_passages
 
@@ -29,4 +30,7 @@ def p7_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_passages": p7_passages, "p7_by_item": p7_by_item}
-ORACLE: dict[str, str] = {}
+_GRAMS = "select {0}, substring(k, i, 40) as g from (select {0}, k, unnest(range(1, length(k) - 38)) as i from (select {0}, {1} as k from {2}) where length(k) >= 40)"
+ORACLE = {
+    "p7_found": f"with e as (select distinct item_id, g from ({_GRAMS.format('item_id', text_key_sql('text'), 'eval_items')})), d as ({_GRAMS.format('doc_id', text_key_sql('text'), 'documents')}) select distinct doc_id, item_id from d join e using (g)",
+}

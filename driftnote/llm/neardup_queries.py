@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import text_keys
 from ..operators.components import components
+from ..plans.orphan_queries import text_key_sql
 from ..tables import spread, table
 from .neardup import NearDuplicates
 
@@ -38,4 +39,10 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
-ORACLE: dict[str, str] = {}
+_KEYS = " union ".join(f"select '{name}' as scope, {key} as id, {text_key_sql('snippet')} as k from {name} where snippet is not null" for name, key in SOURCES.items())
+#: the substrings of all snippets meet each other: for small tables only
+ORACLE = {
+    "p2_found": f"""with k as (select * from ({_KEYS}) where length(k) >= 20), g as (select distinct scope, id, substring(k, i, 3) as g from (select scope, id, k, unnest(range(1, length(k) - 1)) as i from k)), n as (select scope, id, count(*) as n from g group by 1, 2),
+c as (select a.scope, a.id as x, b.id as y, count(*) as c from g a join g b on a.scope = b.scope and a.g = b.g and a.id < b.id group by 1, 2, 3)
+select x as id_a, y as id_b from c join n p on p.scope = c.scope and p.id = x join n q on q.scope = c.scope and q.id = y where c.c >= 0.65::double * (p.n + q.n - c.c)"""
+}
