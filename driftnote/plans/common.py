@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import table
+from ..tables import once, table
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """note_id, vault (the first folder), day, path, title, text, tags, links: each note once."""
     rows = table(spark, sf_dir, "note_observations").where("text is not null")
-    return rows.dropDuplicates(["obs_id"]).select(F.col("obs_id").alias("note_id"), F.split("rel_path", "/")[0].alias("vault"), "day", F.col("rel_path").alias("path"), "title", "text", "tags", "links")
+    return once(rows, "obs_id").select(F.col("obs_id").alias("note_id"), F.split("rel_path", "/")[0].alias("vault"), "day", F.col("rel_path").alias("path"), "title", "text", "tags", "links")
 
 
 NOTES = """notes as (select obs_id as note_id, string_split(any_value(rel_path), '/')[1] as vault, any_value(day) as day, any_value(rel_path) as path, any_value(title) as title,

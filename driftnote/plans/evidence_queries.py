@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import lexicon as L
 from ..operators import evidence as E
 from ..operators import recurrence as R
+from ..session import cut
 from .common import NOTES, day_as_text, notes, sql_any, sql_list
 from .text_queries import _norm, blocks_sql, snippet_sql
 
@@ -18,7 +19,9 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.daily_evidence(_evidence(spark, sf_dir), ["vault", "day"], ["note_id", "block_index"])
+    """The scored blocks are written once: sums and ranks both read them, and scoring costs more than they weigh."""
+    scored = _evidence(spark, sf_dir).select("note_id", "block_index", "vault", "day", "state", "block", "score", "inhibition", "words", "modifiers")
+    return E.daily_evidence(cut(scored, "scored"), ["vault", "day"], ["note_id", "block_index"])
 
 
 def _sums(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from .. import lexicon as L
 from ..functions import text as T
 from ..functions.keys import term_keys, title_key
 from ..operators import relations as R
-from ..tables import table
+from ..tables import once, table
 from .common import day_as_text, notes, sql_any, sql_list
 from .evidence_queries import EVIDENCE, _evidence
 from .field_queries import _edges, _points, _RESOLVE, _TIME
@@ -23,9 +23,9 @@ VIEWS = {"thesis": {"thesis_loop": 1.0, "experiment_loop": 0.6}, "career": {"car
 
 def joi13_candidates_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relation candidates, in whichever order and spelling their terms stand, beside the count and days that the fragments give: a left join on the ordered pair of keys."""
-    c = table(spark, sf_dir, "relation_candidates").dropDuplicates(["candidate_id"]).select("candidate_id", "count", "distinct_days", title_key("source").alias("a"), title_key("target").alias("b"))
+    c = once(table(spark, sf_dir, "relation_candidates"), "candidate_id").select("candidate_id", "count", "distinct_days", title_key("source").alias("a"), title_key("target").alias("b"))
     c = c.select("candidate_id", F.col("count").alias("claimed"), F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target"))
-    f = table(spark, sf_dir, "fragments").dropDuplicates(["fragment_id"]).select("day", term_keys("terms").alias("terms"))
+    f = once(table(spark, sf_dir, "fragments"), "fragment_id").select("day", term_keys("terms").alias("terms"))
     pairs = f.select("day", "terms", F.posexplode("terms").alias("at", "source")).select("day", "source", F.explode(F.expr("slice(terms, at + 2, size(terms))")).alias("target"))
     # only the candidates' pairs are counted: a semi-join before the aggregation
     wanted = c.select("source", "target").distinct()
@@ -38,7 +38,7 @@ def joi15_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many fragments' texts hold each of the leading concepts as a substring, and how many list it as a term."""
     scored = R.concept_scores(_terms(spark, sf_dir))
     names = [r[0] for r in scored.orderBy(F.round("score", 9).desc(), "term").limit(32).select("term").collect()]  # the number of concepts is the feature
-    f = table(spark, sf_dir, "fragments").dropDuplicates(["fragment_id"]).select("fragment_id", F.lower("text").alias("low"))
+    f = once(table(spark, sf_dir, "fragments"), "fragment_id").select("fragment_id", F.lower("text").alias("low"))
     texts = f.select(F.explode(T.matched(F.col("low"), names)).alias("term")).groupBy("term").agg(F.count("*").alias("in_text"))
     return scored.where(F.col("term").isin(names)).select("term", F.col("count").alias("listed")).join(texts, "term", "left").select("term", "listed", F.coalesce("in_text", F.lit(0)).alias("in_text"))
 
@@ -68,7 +68,7 @@ def sco22_note_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sco8_hit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The relation score of each hit, from its topics, roles and words."""
     none = F.array().cast("array<string>")
-    h = table(spark, sf_dir, "evidence_hits").dropDuplicates(["hit_id"]).select("hit_id", *[F.coalesce(c, none).alias(c) for c in ("topics", "roles", "matched_terms")])
+    h = once(table(spark, sf_dir, "evidence_hits"), "hit_id").select("hit_id", *[F.coalesce(c, none).alias(c) for c in ("topics", "roles", "matched_terms")])
     has = lambda *rs: F.arrays_overlap("roles", F.array(*map(F.lit, rs)))
     score = 0.6 + F.least(F.size("topics"), F.lit(4)) * 0.55 + F.least(F.size("matched_terms"), F.lit(8)) * 0.12 + F.least(F.size("roles"), F.lit(5)) * 0.35
     extra = F.when(has("conflict", "failure"), 0.35).otherwise(0.0) + F.when(has("metric"), 0.25).otherwise(0.0) + F.when(has("decision"), 0.25).otherwise(0.0) + F.when(F.size("topics") >= 2, 0.55).otherwise(0.0)
@@ -77,7 +77,7 @@ def sco8_hit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sco10_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Primitive features and intensity of each hit's snippet, between 0.15 and 2.2."""
-    h = table(spark, sf_dir, "evidence_hits").where("snippet is not null").dropDuplicates(["hit_id"]).select("hit_id", "snippet", F.size(F.coalesce("matched_terms", F.array().cast("array<string>"))).alias("n"))
+    h = once(table(spark, sf_dir, "evidence_hits").where("snippet is not null"), "hit_id").select("hit_id", "snippet", F.size(F.coalesce("matched_terms", F.array().cast("array<string>"))).alias("n"))
     low = F.lower("snippet")
     done = T.contains_any(low, L.COMPLETION) & ~T.contains_any(low, L.INCOMPLETE)
     base = 0.55 + 0.04 * F.least("n", F.lit(25)) + F.when(T.contains_any(low, L.ACTION), 0.28).otherwise(0.0) + F.when(T.contains_any(low, L.BLOCKER), 0.35).otherwise(0.0)

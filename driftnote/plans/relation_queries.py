@@ -12,7 +12,7 @@ from ..operators import memory as M
 from ..operators import relations as R
 from ..operators import vectors as V
 from ..operators.recurrence import leaky_fold
-from ..tables import table
+from ..tables import once, table
 from .common import NOTES, day_as_text, notes, sql_any, sql_list
 from .orphan_queries import term_key_sql
 from .text_queries import _norm, blocks_sql
@@ -26,11 +26,11 @@ RULES = [
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "evidence_hits").dropDuplicates(["hit_id"]).select("hit_id", "day", "path", "block_index", "snippet", F.coalesce("score", F.lit(0.0)).alias("score"), "topics", "roles", F.split("path", "/")[0].alias("view"))
+    return once(table(spark, sf_dir, "evidence_hits"), "hit_id").select("hit_id", "day", "path", "block_index", "snippet", F.coalesce("score", F.lit(0.0)).alias("score"), "topics", "roles", F.split("path", "/")[0].alias("view"))
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "fragments").dropDuplicates(["fragment_id"])
+    rows = once(table(spark, sf_dir, "fragments"), "fragment_id")
     return rows.select("fragment_id", "day", F.explode(term_keys("terms")).alias("term"))
 
 
@@ -46,7 +46,7 @@ def lif15_selected_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def agg11_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of terms that share at least two fragments, with their score; a fragment's pairs come row by row from two explodes."""
-    f = table(spark, sf_dir, "fragments").dropDuplicates(["fragment_id"]).select("fragment_id", "day", term_keys("terms").alias("terms"))
+    f = once(table(spark, sf_dir, "fragments"), "fragment_id").select("fragment_id", "day", term_keys("terms").alias("terms"))
     counts = f.select(F.explode("terms").alias("term")).groupBy("term").count()
     pairs = f.select("day", "terms", F.posexplode("terms").alias("at", "source")).select("day", "source", F.explode(F.expr("slice(terms, at + 2, size(terms))")).alias("target"))
     # counting by day first keeps the distinct count a sum, combined map-side
@@ -157,14 +157,14 @@ def lif12_controller(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sco12_salience(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of each fragment's terms occur once in the whole collection, and how many terms it has."""
-    t = table(spark, sf_dir, "fragments").dropDuplicates(["fragment_id"]).select("fragment_id", F.explode(F.filter(F.coalesce("terms", F.array().cast("array<string>")), lambda x: x.isNotNull())).alias("term"))
+    t = once(table(spark, sf_dir, "fragments"), "fragment_id").select("fragment_id", F.explode(F.filter(F.coalesce("terms", F.array().cast("array<string>")), lambda x: x.isNotNull())).alias("term"))
     once = t.groupBy("term").count().where("count = 1").select("term", F.lit(1).alias("rare"))
     return t.join(once, "term", "left").groupBy("fragment_id").agg(F.count("*").alias("terms"), F.count("rare").alias("rare"))
 
 
 def sco20_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each candidate's text fields of at least four characters, and its rank within its day."""
-    rows = table(spark, sf_dir, "relation_candidates").dropDuplicates(["candidate_id"])
+    rows = once(table(spark, sf_dir, "relation_candidates"), "candidate_id")
     filled = sum((F.when(F.length(F.coalesce(c, F.lit(""))) >= 4, 1.0).otherwise(0.0) for c in ("source", "target", "hypothesis", "next_validation_action")), F.lit(0.0)) / 4
     rows = rows.select("candidate_id", "run_day", filled.alias("quality"), "score")
     w = Window.partitionBy("run_day").orderBy(F.col("quality").desc(), F.col("score").desc_nulls_last(), "candidate_id")

@@ -11,7 +11,7 @@ from ..sources.sinks import markdown, packets
 from ..sources.vault import file_signals
 from ..session import scratch_path
 from ..streaming.stateful import event_sessions, event_windows, spiking_stream
-from ..tables import table
+from ..tables import once, table
 from .common import day_as_text
 from .evidence_queries import ORACLE as EVIDENCE_ORACLE
 from .evidence_queries import _sums
@@ -64,14 +64,14 @@ def src8_file_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels for topics: the hits' roles stand for them."""
-    h = table(spark, sf_dir, "evidence_hits").dropDuplicates(["hit_id"])
+    h = once(table(spark, sf_dir, "evidence_hits"), "hit_id")
     label = F.when(F.array_contains("roles", "completion"), "done").when(F.array_contains("roles", "blocker"), "too_late").when(F.array_contains("roles", "question"), "too_early").when(F.col("score") > 1.5, "useful").otherwise("seen")
     return h.select(F.col("hit_id").alias("seq"), F.explode("topics").alias("topic"), label.alias("label")).where("topic is not null")
 
 
 def dec4_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels folded in order, by topic and week, which keeps each fold short."""
-    days = table(spark, sf_dir, "evidence_hits").dropDuplicates(["hit_id"]).select(F.col("hit_id").alias("seq"), F.date_format(F.trunc("day", "week"), "yyyy-MM-dd").alias("week"))
+    days = once(table(spark, sf_dir, "evidence_hits"), "hit_id").select(F.col("hit_id").alias("seq"), F.date_format(F.trunc("day", "week"), "yyyy-MM-dd").alias("week"))
     rows = _feedback(spark, sf_dir).join(days, "seq").select("seq", F.concat_ws("@", "topic", "week").alias("topic"), "label")
     return folded_feedback(rows)
 

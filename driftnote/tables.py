@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def once(df: DataFrame, key: str) -> DataFrame:
+    """One row for each key, of rows that are equal but for their arrival. Few keys come twice, so the rows are put together first and no combining
+    (which would sort the texts on both sides) is tried before the shuffle."""
+    return df.repartition(key).dropDuplicates([key])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows over all cores, where a scan has fewer splits than there are cores: for costly work on each row of a small table. A large one stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
