@@ -199,14 +199,11 @@ def train(texts: list[str], labels: list[str], dim: int = 10, epochs: int = 10,
 
 def labelled_sample(documents: DataFrame, id_column: str, text: str, language: Column, rows: int = SAMPLE_ROWS, most: int = SAMPLE_SEGMENTS) -> tuple[list[str], list[str]]:
     """Segments of at most ``rows`` labelled documents, those with the least hash of their id, and their labels: at most ``most`` of a label and four of a document."""
-    picked = (
-        documents.select(F.col(text).alias("text"), language.alias("language"), F.xxhash64(id_column).alias("h"))
-        .where("language is not null and text is not null and length(text) >= 40")
-        .orderBy("h", "text")
-        .limit(rows)
-        .select("text", "language")
-        .collect()
-    )
+    usable = documents.select(F.col(text).alias("text"), language.alias("language"), F.xxhash64(id_column).alias("h")).where("language is not null and text is not null and length(text) >= 40")
+    # hashes are spread evenly: below this bound lie about twice as many as are wanted, so what reaches the driver doesn't grow with the number of tasks
+    share = min(1.0, 2.0 * rows / max(1, documents.select(language.alias("language")).where("language is not null").count()))
+    bound = min(2**63 - 1, int(-(2**63) + share * 2**64))
+    picked = usable.where(F.col("h") <= F.lit(bound)).orderBy("h", "text").limit(rows).select("text", "language").collect()
     texts, labels, have = [], [], Counter()
     for t, y in picked:
         for _, _, piece in segments(t)[:4]:
