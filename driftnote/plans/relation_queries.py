@@ -158,8 +158,8 @@ def lif12_controller(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sco12_salience(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of each fragment's terms occur once in the whole collection, and how many terms it has."""
     t = once(table(spark, sf_dir, "fragments"), "fragment_id").select("fragment_id", F.explode(F.filter(F.coalesce("terms", F.array().cast("array<string>")), lambda x: x.isNotNull())).alias("term"))
-    once = t.groupBy("term").count().where("count = 1").select("term", F.lit(1).alias("rare"))
-    return t.join(once, "term", "left").groupBy("fragment_id").agg(F.count("*").alias("terms"), F.count("rare").alias("rare"))
+    single = t.groupBy("term").count().where("count = 1").select("term", F.lit(1).alias("rare"))
+    return t.join(single, "term", "left").groupBy("fragment_id").agg(F.count("*").alias("terms"), F.count("rare").alias("rare"))
 
 
 def sco20_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
