@@ -11,6 +11,7 @@ from ..operators import graph as G
 from ..operators import prediction as P
 from ..operators import recurrence as R
 from ..operators import vectors as V
+from ..session import cut
 from ..tables import table
 from .common import NOTES, day_as_text, notes, sql_any, sql_list
 from .evidence_queries import DAILY, _parameters, _sums
@@ -125,7 +126,7 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vec2_field_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the query raises: similarity, score and modifiers of each note."""
+    """What the query raises without the graph: similarity, score and modifiers of each note. vec2_diffused_hits has the whole field."""
     return _hits(spark, sf_dir).select("note_id", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"), F.array_join("modifiers", "|").alias("modifiers"))
 
 
@@ -144,6 +145,42 @@ def lif10_field_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.calendar_field(daily, ["key"]).select("day", *[F.round(c, 5).alias(c) for c in ("v_fast", "v_slow", "v")], "fired")
 
 
+def _graph_vectors(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
+    """The notes' whole vectors after two rounds over the graph."""
+    return G.diffuse(V.sparse_vectors(notes(spark, sf_dir).select("note_id", "text", "title", "tags")), edges)
+
+
+def _diffused_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits over the diffused vectors, with the bonus of the degree centrality; a note without neighbours has its own vector and no bonus."""
+    n = notes(spark, sf_dir)
+    edges = cut(_neighbours(spark, sf_dir), "edges")
+    similar = V.against(_graph_vectors(spark, sf_dir, edges), _query_vector(spark))
+    degree = edges.groupBy(F.col("src").alias("note_id")).agg(F.count("*").alias("degree"))
+    central = degree.crossJoin(F.broadcast(degree.agg(F.max("degree").alias("most")))).select("note_id", (F.col("degree") / F.col("most")).alias("centrality"))
+    rows = n.select("note_id", "day", "text", "links", "tags").join(central, "note_id", "left")
+    return V.field_hits(rows, similar, F.lit("2025-12-31").cast("date"), time_sigma=365.0, semantic_sigma=0.75)
+
+
+def vec2_diffused_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the query raises over the diffused vectors, with centrality: the whole field of the survey's EXT-6."""
+    return _diffused_hits(spark, sf_dir).select("note_id", F.round("similarity", 6).alias("similarity"), F.round("centrality", 6).alias("centrality"), F.round("score", 6).alias("score"), F.array_join("modifiers", "|").alias("modifiers"))
+
+
+def agg16_diffused_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diffused_hits(spark, sf_dir).groupBy("day").agg(F.round(F.sum("current"), 6).alias("current"), F.round(F.sum("completion"), 6).alias("completion"))
+
+
+def agg17_diffused_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sum of the twelve best scores over the diffused vectors."""
+    return _diffused_hits(spark, sf_dir).orderBy(F.col("score").desc(), "note_id").limit(12).agg(F.round(F.sum("score"), 6).alias("energy"))
+
+
+def lif10_diffused_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recurrence of the diffused field on every calendar day."""
+    daily = _diffused_hits(spark, sf_dir).groupBy("day").agg(F.sum("current").alias("current"), F.sum("completion").alias("completion")).withColumn("key", F.lit("field"))
+    return R.calendar_field(daily, ["key"]).select("day", *[F.round(c, 5).alias(c) for c in ("v_fast", "v_slow", "v")], "fired")
+
+
 def vec5_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashed vectors of 96 places of the notes' shingles and words."""
     tokens = F.concat(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z]{3,})"), 1), T.cjk_shingles(F.col("text")))
@@ -237,6 +274,7 @@ QUERIES = {
     "joi5_diffused_ratios": joi5_diffused_ratios, "lif11_prediction": lif11_prediction, "agg25_homeostasis": agg25_homeostasis, "joi6_meta_energy": joi6_meta_energy, "top5_meta_spikes": top5_meta_spikes,
     "joi2_resolved_links": joi2_resolved_links, "joi3_inbound": joi3_inbound, "agg9_degrees": agg9_degrees, "joi4_neighbourhood": joi4_neighbourhood, "lif14_diffusion": lif14_diffusion,
     "vec1_sparse": vec1_sparse, "vec2_field_hits": vec2_field_hits, "agg16_field_days": agg16_field_days, "agg17_field_energy": agg17_field_energy, "lif10_field_calendar": lif10_field_calendar,
+    "vec2_diffused_hits": vec2_diffused_hits, "agg16_diffused_days": agg16_diffused_days, "agg17_diffused_energy": agg17_diffused_energy, "lif10_diffused_calendar": lif10_diffused_calendar,
     "vec5_hashed": vec5_hashed, "vec6_dense_cosine": vec6_dense_cosine,
 }
 ORACLE = {
@@ -271,4 +309,4 @@ select note_id, position, round(x / (case when sum(x * x) over (partition by not
 s as (select vec_id, e.label, centre, round(list_cosine_similarity(embedding::double[], c), 6) as cosine from embeddings e, ce)
 select vec_id, label, first(centre order by cosine desc, centre) as nearest, max(cosine) as cosine from s group by 1, 2""",
 }
-day_as_text(QUERIES, ORACLE, ["joi5_diffused_ratios", "lif11_prediction", "joi6_meta_energy", "top5_meta_spikes", "agg16_field_days", "lif10_field_calendar"])
+day_as_text(QUERIES, ORACLE, ["joi5_diffused_ratios", "lif11_prediction", "joi6_meta_energy", "top5_meta_spikes", "agg16_field_days", "lif10_field_calendar", "agg16_diffused_days", "lif10_diffused_calendar"])
