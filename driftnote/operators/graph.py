@@ -47,15 +47,16 @@ def neighbourhood(nodes: DataFrame, links: DataFrame, clique: int = CLIQUE) -> D
 def diffuse(vectors: DataFrame, edges: DataFrame, steps: int = 2, alpha: float = 0.35) -> DataFrame:
     """Sparse vectors (note_id, feature, weight) after rounds of (1 - alpha) * own + alpha * the mean of the neighbours', each of unit length.
 
-    A round is a join on the edge and two aggregations, and is written to the shared folder: lineage doesn't grow with the rounds.
+    A round is a join on the edge, one sum of the own and the neighbours' weights, added up before the shuffle, and the norms of each note; it is written to the shared
+    folder: lineage doesn't grow with the rounds.
     """
-    degree = edges.groupBy("src").count()
+    w = Window.partitionBy("note_id")
     for _ in range(steps):
-        near = edges.join(vectors.withColumnRenamed("note_id", "dst"), "dst").groupBy("src", "feature").agg(F.sum("weight").alias("w"))
-        near = unit(near.select(F.col("src").alias("note_id"), "feature", F.col("w").alias("weight")))
-        own = vectors.join(degree.select(F.col("src").alias("note_id"), F.lit(True).alias("near")), "note_id", "left")
-        mixed = own.select("note_id", "feature", F.when(F.col("near"), F.col("weight") * (1 - alpha)).otherwise(F.col("weight")).alias("weight")).unionAll(near.select("note_id", "feature", F.col("weight") * alpha))
-        vectors = cut(unit(mixed.groupBy("note_id", "feature").agg(F.sum("weight").alias("weight"))), "diffused")
+        near = edges.join(vectors.withColumnRenamed("note_id", "dst"), "dst").select(F.col("src").alias("note_id"), "feature", F.lit(0.0).alias("own"), F.col("weight").alias("near"))
+        rows = near.unionAll(vectors.select("note_id", "feature", F.col("weight").alias("own"), F.lit(0.0).alias("near"))).groupBy("note_id", "feature").agg(F.sum("own").alias("own"), F.sum("near").alias("near"))
+        rows = rows.withColumn("norm", F.sqrt(F.sum(F.col("near") * F.col("near")).over(w)))
+        mixed = F.when(F.col("norm") > 0, F.col("own") * (1 - alpha) + F.col("near") / F.col("norm") * alpha).otherwise(F.col("own"))
+        vectors = cut(unit(rows.select("note_id", "feature", mixed.alias("weight"))), "diffused")
     return vectors
 
 

@@ -98,7 +98,7 @@ def joi4_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lif14_diffusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rounds of diffusion of the notes' topics and tags over the graph."""
+    """Two rounds of diffusion of the notes' topics and tags over the graph; lif14_diffused_vectors has the whole vectors."""
     n = notes(spark, sf_dir)
     low = F.lower("text")
     topics = F.array_compact(F.array(*[F.when(T.contains_any(low, ws), F.lit(f"topic:{t}")) for t, ws in V.FIELD_TOPICS.items()]))
@@ -150,6 +150,11 @@ def _graph_vectors(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFr
     return G.diffuse(V.sparse_vectors(notes(spark, sf_dir).select("note_id", "text", "title", "tags")), edges)
 
 
+def lif14_diffused_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds of diffusion of the notes' whole vectors: words, numbers, shingles, topics, tags and titles with their weights."""
+    return _graph_vectors(spark, sf_dir, cut(_neighbours(spark, sf_dir), "edges")).select("note_id", "feature", F.round("weight", 6).alias("weight"))
+
+
 def _diffused_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hits over the diffused vectors, with the bonus of the degree centrality; a note without neighbours has its own vector and no bonus."""
     n = notes(spark, sf_dir)
@@ -274,7 +279,7 @@ QUERIES = {
     "joi5_diffused_ratios": joi5_diffused_ratios, "lif11_prediction": lif11_prediction, "agg25_homeostasis": agg25_homeostasis, "joi6_meta_energy": joi6_meta_energy, "top5_meta_spikes": top5_meta_spikes,
     "joi2_resolved_links": joi2_resolved_links, "joi3_inbound": joi3_inbound, "agg9_degrees": agg9_degrees, "joi4_neighbourhood": joi4_neighbourhood, "lif14_diffusion": lif14_diffusion,
     "vec1_sparse": vec1_sparse, "vec2_field_hits": vec2_field_hits, "agg16_field_days": agg16_field_days, "agg17_field_energy": agg17_field_energy, "lif10_field_calendar": lif10_field_calendar,
-    "vec2_diffused_hits": vec2_diffused_hits, "agg16_diffused_days": agg16_diffused_days, "agg17_diffused_energy": agg17_diffused_energy, "lif10_diffused_calendar": lif10_diffused_calendar,
+    "lif14_diffused_vectors": lif14_diffused_vectors, "vec2_diffused_hits": vec2_diffused_hits, "agg16_diffused_days": agg16_diffused_days, "agg17_diffused_energy": agg17_diffused_energy, "lif10_diffused_calendar": lif10_diffused_calendar,
     "vec5_hashed": vec5_hashed, "vec6_dense_cosine": vec6_dense_cosine,
 }
 ORACLE = {

@@ -70,3 +70,10 @@ def test_hits_and_their_sums(spark, folder):
     days = Q.agg16_diffused_days(spark, folder).collect()
     assert len(days) == 1 and days[0]["current"] >= sum(want.values()) - 1e-5
     assert Q.lif10_diffused_calendar(spark, folder).count() == 1
+
+
+def test_whole_vectors(spark, folder):
+    want = {(i, k): x for i, v in _diffused(_vectors(spark, folder)).items() for k, x in v.items()}
+    got = {(r["note_id"], r["feature"]): r["weight"] for r in Q.lif14_diffused_vectors(spark, folder).collect()}
+    assert got == pytest.approx(want, abs=2e-6)
+    assert {(4, "drift"), (5, "title:five"), (2, "事件")} <= set(got)  # words and titles, and rows of notes without topic and tag
