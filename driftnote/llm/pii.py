@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 KINDS = ("email", "phone", "identity", "address", "name")
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 BLOCK_CHARS = 1_000_000
+_WHOLE_DIGITS, _PART_DIGITS = 25, 18  # of a run that is proposed whole; of its longest part, the 18-character number
 _GAP = "\n\x00\n"
 
 # fixed values: control letters by remainder of 23; weights and control characters of the 18-character number
@@ -43,7 +44,7 @@ _CJK = "一-鿿"
 _EMAIL_ANCHOR = re.compile(r"@|[(\[{<] ?at ?[)\]}>]| at (?=[a-z0-9\-]{1,40}(?:\.| ?[(\[{<] ?dot ?[)\]}>] ?| dot )[a-z])")
 _EMAIL_LEFT = re.compile(rf"{_LOCAL}\s?$", re.A)
 _EMAIL_RIGHT = re.compile(rf"{_AT}[A-Za-z0-9\-]{{1,40}}(?:{_DOT}[A-Za-z0-9\-]{{1,30}}){{0,3}}", re.I | re.A)
-_NUMBER = re.compile(r"\+?\(?(?:(?<=\+)|(?<=\()|(?<!\d))\d(?:(?:[ \-.]|\) ?| ?\()?\d){7,24}(?:-?[A-Za-z](?![A-Za-z]))?", re.A)
+_NUMBER = re.compile(r"\+?\(?(?:(?<=\+)|(?<=\()|(?<!\d))\d(?:(?:[ \-.]|\) ?| ?\()?\d){7,}(?:-?[A-Za-z](?![A-Za-z]))?", re.A)
 _ZH_ANCHOR = re.compile(r"[路街道巷桥]\d{1,4}(?:弄\d{1,4})?号(?:\d{1,3}(?:号楼|单元|栋|幢|座))?(?:\d{1,5}室?)?", re.A)
 _ZH_LEFT = re.compile(rf"(?:[{_CJK}]{{2}}[市县])?(?:[{_CJK}]{{2}}[区镇])?(?:(?![至于在到往和与市区])[{_CJK}]){{1,3}}$")
 _EN = re.compile(r"\d{1,5}[a-z]? (?:[a-z0-9'’\-]+ ){1,3}(?:street|st|road|rd|avenue|ave|lane|ln|drive|dr|court|close|way|square)(?![a-z])\.?(?:,? (?:apt|flat|unit|suite|apartment|#)\.? ?\w{1,5})?", re.A)
@@ -186,6 +187,43 @@ def _row(kind: str, text: str, a: int, b: int) -> list[float]:
     ]
 
 
+def _identity_shape(s: str) -> bool:
+    """Whether a written number is an identity number by its grouping or its check character."""
+    compact = re.sub(r"[^0-9A-Za-z]", "", s)
+    return bool(re.fullmatch(r"\d{3}[\- ]\d\d[\- ]\d{4}", s)) or resident_ok(compact) or (len(compact) == 9 and compact[:8].isdigit() and compact[8].isalpha() and letter_ok(compact[:8], compact[8]))
+
+
+def _numbers(text: str, a: int, b: int) -> list[tuple[int, int, str]]:
+    """The candidates of the run of numbers text[a:b]: the whole, up to _WHOLE_DIGITS, and from each group on as many groups as a plan has digits, where the shape
+    or check of a kind fits. That is a bounded number for each group, however long the run is."""
+    s = text[a:b]
+    tail = len(s) - len(re.sub(r"-?[A-Za-z]$", "", s))
+    groups = [(a + x.start(), a + x.end(), sum(c.isdigit() for c in x[0])) for x in re.finditer(r"[+(]*\d+\)?", s)]
+    out = []
+    if whole := sum(n for _, _, n in groups) <= _WHOLE_DIGITS:
+        for e in [b, b - tail] if tail else [b]:
+            out += [(a, e, "phone"), (a, e, "identity")]
+    if len(groups) == 1:
+        return out
+    resident = whole and resident_ok(re.sub(r"[^0-9A-Za-z]", "", s))
+    as_phone = not resident and not (whole and phone_shape(s))  # a part of a number that fits as a whole is none
+    for i, (x, _, _) in enumerate(groups):
+        digits = 0
+        for j in range(i, len(groups)):
+            digits += groups[j][2]
+            if digits > _PART_DIGITS:
+                break
+            if digits < 8 or (whole and (i, j) == (0, len(groups) - 1)):
+                continue
+            y = groups[j][1]
+            if as_phone and phone_shape(text[x:y]):
+                out.append((x, y, "phone"))
+            if resident:
+                continue
+            out += [(x, e, "identity") for e in ([y, b] if tail and j == len(groups) - 1 else [y]) if _identity_shape(text[x:e])]
+    return out
+
+
 def candidates(text: str, names: re.Pattern | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every proposed span of a narrowed text; they may overlap."""
     out: list[tuple[int, int, str]] = []
@@ -200,17 +238,7 @@ def candidates(text: str, names: re.Pattern | None) -> list[tuple[int, int, str]
         if right:
             out.append((start, right.end(), "email"))
     for m in _NUMBER.finditer(text):
-        s, a, b = m[0], m.start(), m.end()
-        ends = [b] if s[-1].isdigit() else [b, a + len(re.sub(r"-?[A-Za-z]$", "", s))]
-        for e in ends:
-            out += [(a, e, "phone"), (a, e, "identity")]
-        parts = [x.span() for x in re.finditer(r"[+(]*\d+\)?", s)]
-        if 1 < len(parts) <= 10 and not phone_shape(s) and not resident_ok(re.sub(r"[^0-9A-Za-z]", "", s)):
-            for i in range(len(parts)):
-                for j in range(i, len(parts)):
-                    x, y = a + parts[i][0], a + parts[j][1]
-                    if (i, j) != (0, len(parts) - 1) and phone_shape(text[x:y]):
-                        out.append((x, y, "phone"))
+        out += _numbers(text, m.start(), m.end())
     for m in _ZH_ANCHOR.finditer(text):
         if left := _ZH_LEFT.search(text, max(0, m.start() - 9), m.start()):
             out.append((left.start(), m.end(), "address"))

@@ -54,3 +54,20 @@ def test_frames(spark):
     out = sorted((str(r["id"]), r["redacted"]) for r in pii.redact_personal(df.where("id < 4"), "id", "text", PARTS).collect() if r["redacted"] is not None)
     assert out[0] == ("1", "hi [EMAIL] and [EMAIL]") and out[-1] == ("3", "")
     assert pii.find_personal(df.limit(0), "id", "text", []).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("form 2024-05-11 123-45-6789 ok", ("identity", "123-45-6789")),
+        ("form 12 12345678Z ok", ("identity", "12345678Z")),
+        ("dial 07 12345678Z ok", ("identity", "12345678Z")),
+        ("tel 1 2 3 4 5 6 7 8 9 10 13812345678 ok", ("phone", "13812345678")),
+        ("tel 1111 2222 3333 4444 5555 6666 13812345678 ok", ("phone", "13812345678")),
+        ("tel " + "12 " * 3000 + "13812345678 ok", ("phone", "13812345678")),
+        ("id " + "12 " * 3000 + "110105 19491231 002X ok", ("identity", "110105 19491231 002X")),
+    ],
+)
+def test_numbers_side_by_side(text, want):
+    assert want in {(k, text[a:b]) for a, b, k in pii.candidates(text, None)}
+    assert want in kinds(text)
