@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,13 @@ DIMENSIONS = {
 CUES = ["今天", "现在", "必须", "接下来", "不知道", "卡", "失败", "难受"]
 SYMBOLS = ["->", "→", "/", "%", "mV", "Hz", "V", "kΩ", "Ω"]
 
+SLOT_STOP = {"今天", "现在", "这个", "那个", "就是", "然后", "需要", "应该", "感觉", "什么", "一个", "自己", "进行", "目前", "接下来", "the", "and", "with", "that", "this", "from"}
+SLOT_ACTION = ["今天", "接下来", "下一步", "需要", "必须", "应该", "测试", "写", "整理", "投递", "记录", "验证"]
+SLOT_BLOCKER = ["卡", "不知道", "缺", "没有", "失败", "问题", "害怕", "焦虑", "难受", "动不了", "延毕"]
+SLOT_COMPLETION = ["完成", "已经", "跑通", "出结果", "保存", "写完", "测出来", "提交", "搞定"]
+SLOT_INCOMPLETE = ["没完成", "未完成", "还没", "尚未", "没有完成", "缺"]
+SLOT_SYMBOLS = ["->", "→", "/", "%", "mV", "Hz", "Ω"]
+
 
 def observations(blocks: DataFrame) -> DataFrame:
     """Rows of blocks with dimensions, intensity and completion; blocks that touch no dimension are dropped."""
@@ -47,8 +56,69 @@ def latent_cells(obs: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return slow.drop("_d").withColumn("v", 0.72 * F.col("v_fast") + 0.28 * F.col("v_slow"))
 
 
-def slots(vectors: DataFrame, key: str, count: int = 8, least: float = 0.42, rate: float = 0.22) -> DataFrame:
-    """Online clustering of (key, day, seq, vector, intensity, completion) in order of (day, seq): slot, similarity and loss of each row.
+def _fnv(text: str) -> int:
+    h = 2166136261
+    for c in text:
+        h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+    return h
+
+
+@lru_cache(maxsize=200_000)
+def _place(term: str, dimensions: int) -> tuple[int, float]:
+    return _fnv(term) % dimensions, 1.0 if _fnv(term + "#sign") % 2 == 0 else -1.0
+
+
+def slot_observations(blocks: DataFrame, dimensions: int = 96) -> DataFrame:
+    """The rows of blocks (with ``block``) with snippet, terms, hashed vector, intensity and completion; blocks without terms are dropped. Row by row, no shuffle."""
+    import math
+    import re
+    from collections import Counter
+
+    import pandas as pd
+
+    latin, han, number, capitals = re.compile(r"[A-Za-z][A-Za-z0-9_+\-]{1,}"), re.compile(r"[\u4e00-\u9fff]+"), re.compile(r"\d+(?:\.\d+)?"), re.compile(r"\b[A-Z]{2,}\b")
+    units = re.compile(r"\d+(?:\.\d+)?\s*(?:mV|V|Hz|kHz|MHz|Ω|ohm|欧姆|倍|%)", re.I)
+    rest = [c for c in blocks.columns if c != "block"]
+
+    def terms_of(text: str) -> list[str]:
+        out = [m.lower() for m in latin.findall(text)]
+        for run in han.findall(text):
+            out += [run] if len(run) <= 4 else []
+            out += [run[i : i + n] for n in (2, 3, 4) for i in range(len(run) - n + 1)]
+        out += [m.replace(" ", "").lower() for m in units.findall(text)]
+        return [t for t in out if t not in SLOT_STOP]
+
+    def embedded(terms: list[str]) -> list[float]:
+        v = [0.0] * dimensions
+        for term, n in Counter(terms).items():
+            at, sign = _place(term, dimensions)
+            v[at] += sign * (1.0 + math.log1p(n))
+        norm = math.sqrt(sum(x * x for x in v))
+        return [x / norm for x in v] if norm > 0 else v
+
+    def run(batches):
+        for pdf in batches:
+            kept, out = [], []
+            for i, text in enumerate(pdf["block"]):
+                if not (terms := terms_of(text)):
+                    continue
+                low = text.lower()
+                has = lambda words: any(w.lower() in low for w in words)  # noqa: B023, E731
+                done = float(has(SLOT_COMPLETION) and not has(SLOT_INCOMPLETE))
+                named = min(1.0, 0.10 * len(number.findall(text)) + 0.12 * sum(x in text for x in SLOT_SYMBOLS) + 0.08 * len(capitals.findall(text)))
+                level = 0.55 + 0.04 * min(len(terms), 25) + 0.28 * has(SLOT_ACTION) + 0.35 * has(SLOT_BLOCKER) + 0.22 * named - 0.18 * done
+                kept.append(i)
+                out.append((text if len(text) <= 140 else text[:139] + "…", terms, embedded(terms), max(0.15, min(2.2, level)), done))
+            new = pd.DataFrame(out, columns=["snippet", "terms", "vector", "intensity", "completion"])
+            yield pd.concat([pdf.iloc[kept][rest].reset_index(drop=True), new], axis=1)
+
+    kinds = ", ".join(f"{c} {blocks.schema[c].dataType.simpleString()}" for c in rest)
+    return blocks.mapInPandas(run, f"{kinds}, snippet string, terms array<string>, vector array<double>, intensity double, completion double")
+
+
+def slots(vectors: DataFrame, key: str, count: int = 8, least: float = 0.42, rate: float = 0.22, fast: float = 0.84, slow: float = 0.94, order: tuple[str, ...] = ("seq",), carry: tuple[str, ...] = ()) -> DataFrame:
+    """Online clustering of (key, day, order, vector) in order of day and ``order``: slot, similarity and loss of each row; with intensity and completion also the
+    slot's traces after it, which decay by days, and its running mean of the loss. Columns of ``carry`` pass through.
 
     A row goes to the slot with the nearest prototype, or opens an empty one if none is near; the prototype moves towards it. The state is ``count`` prototypes, so a key's rows pass
     through in one sorted stream of Arrow batches, however many there are; keys run beside each other.
@@ -56,7 +126,9 @@ def slots(vectors: DataFrame, key: str, count: int = 8, least: float = 0.42, rat
     import numpy as np
     import pandas as pd
 
-    kind = vectors.schema[key].dataType.simpleString()
+    charged = {"intensity", "completion"} <= set(vectors.columns)
+    passed = [key, "day", *order, *carry]
+    named = [*passed, "slot", "similarity", "loss", *(["v_fast", "v_slow", "loss_mean"] if charged else [])]
 
     def run(batches):
         state: dict = {}
@@ -66,7 +138,7 @@ def slots(vectors: DataFrame, key: str, count: int = 8, least: float = 0.42, rat
                 k = getattr(r, key)
                 if k not in state:
                     state.clear()  # rows come sorted by key, so the last one is over
-                    state[k] = {"p": np.zeros((count, len(r.vector))), "n": np.zeros(count, int)}
+                    state[k] = {"p": np.zeros((count, len(r.vector))), "n": np.zeros(count, int), "f": np.zeros(count), "s": np.zeros(count), "l": np.zeros(count), "day": None}
                 s, v = state[k], np.asarray(r.vector, float)
                 used = np.flatnonzero(s["n"])
                 norm = np.linalg.norm(v)
@@ -82,11 +154,25 @@ def slots(vectors: DataFrame, key: str, count: int = 8, least: float = 0.42, rat
                 length = np.linalg.norm(mixed)
                 s["p"][slot] = mixed / length if length > 0 else mixed
                 s["n"][slot] += 1
-                out.append((k, r.day, r.seq, slot, similarity, max(0.0, 1.0 - similarity)))
-            yield pd.DataFrame(out, columns=[key, "day", "seq", "slot", "similarity", "loss"])
-
-    rows = vectors.select(key, "day", "seq", "vector").repartition(key).sortWithinPartitions(key, "day", "seq")
-    return rows.mapInPandas(run, f"{key} {kind}, day date, seq bigint, slot int, similarity double, loss double")
+                loss = max(0.0, 1.0 - similarity)
+                row = (*(getattr(r, c) for c in passed), slot, similarity, loss)
+                if charged:
+                    if not pd.isna(r.day):
+                        gap = (r.day - s["day"]).days if s["day"] is not None else 0
+                        s["f"] *= fast**gap
+                        s["s"] *= slow**gap
+                        s["day"] = r.day
+                    held = 0.55 * r.completion
+                    s["f"][slot] = max(0.0, s["f"][slot] + r.intensity - held)
+                    s["s"][slot] = max(0.0, s["s"][slot] + 0.45 * r.intensity - 0.25 * held)
+                    s["l"][slot] = loss if s["n"][slot] == 1 else 0.78 * s["l"][slot] + 0.22 * loss
+                    row += (s["f"][slot], s["s"][slot], s["l"][slot])
+                out.append(row)
+            yield pd.DataFrame(out, columns=named)
+
+    kinds = ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in passed)
+    rows = vectors.select(*passed, "vector", *(["intensity", "completion"] if charged else [])).repartition(key).sortWithinPartitions(key, "day", *order)
+    return rows.mapInPandas(run, f"{kinds}, slot int, similarity double, loss double" + (", v_fast double, v_slow double, loss_mean double" if charged else ""))
 
 
 def kept_fragments(daily: DataFrame, key: str, theta: float, decay: float, reset: float, cooldown: int = 1, least: int = 3, keep: int = 16, after: int = 2) -> DataFrame:

@@ -111,16 +111,30 @@ def lif9_latent_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("vault", "dimension", "observations", *[F.round(f"s.{c}", 5).alias(c) for c in ("v_fast", "v_slow", "v")], F.round(F.col("s.v") / theta[F.col("dimension")], 5).alias("pressure"))
 
 
+def _slot_rows(spark: SparkSession, sf_dir: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Each block of each vault's notes with the slot that it enters."""
+    blocks = E.note_blocks(notes(spark, sf_dir).select("note_id", "vault", "day", "path", "text"), 6)
+    return M.slots(M.slot_observations(blocks, V.DIMENSIONS), "vault", order=("path", "snippet", "note_id", "block_index"), carry=carry)
+
+
 def lif13_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slots that form over each vault's notes, by their hashed vectors: rows, mean loss and mean similarity of each slot."""
-    n = notes(spark, sf_dir)
-    tokens = F.concat(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z]{3,})"), 1), T.cjk_shingles(F.col("text"), 2, 4))
-    long = V.hashed_vectors(n.select("note_id", F.explode(tokens).alias("term")))
-    dense = long.groupBy("note_id").agg(F.map_from_entries(F.collect_list(F.struct("position", "value"))).alias("m"))
-    dense = dense.select("note_id", F.transform(F.sequence(F.lit(0), F.lit(V.DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vector"))
-    rows = n.select("note_id", "vault", "day").join(dense, "note_id").select("vault", "day", F.col("note_id").alias("seq"), "vector")
-    found = M.slots(rows, "vault")
-    return found.groupBy("vault", "slot").agg(F.count("*").alias("notes"), F.avg("loss").alias("loss"), F.avg("similarity").alias("similarity"))
+    """Slots that form over the blocks of each vault's notes, by their hashed vectors: rows and notes, mean loss and similarity, the running loss, and the traces on the vault's last day."""
+    last = F.max(F.struct("day", "path", "snippet", "note_id", "block_index", "v_fast", "v_slow", "loss_mean")).alias("s")
+    found = _slot_rows(spark, sf_dir).groupBy("vault", "slot").agg(F.count("*").alias("observations"), F.countDistinct("note_id").alias("notes"), F.avg("loss").alias("loss"), F.avg("similarity").alias("similarity"), last)
+    gap = F.coalesce(F.datediff(F.max("s.day").over(Window.partitionBy("vault")), "s.day"), F.lit(0))
+    rows = found.withColumn("v_fast", F.col("s.v_fast") * F.pow(F.lit(0.84), gap)).withColumn("v_slow", F.col("s.v_slow") * F.pow(F.lit(0.94), gap))
+    return rows.select("vault", "slot", "observations", "notes", "loss", "similarity", F.col("s.loss_mean").alias("loss_mean"), "v_fast", "v_slow", (0.72 * F.col("v_fast") + 0.28 * F.col("v_slow")).alias("v"))
+
+
+def agg27_slot_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each slot's blocks hold each term."""
+    return _slot_rows(spark, sf_dir, ("terms",)).select("vault", "slot", F.explode("terms").alias("term")).groupBy("vault", "slot", "term").agg(F.count("*").alias("count"))
+
+
+def top10_high_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight blocks of each vault with the greatest loss, the first in order on a tie."""
+    w = Window.partitionBy("vault").orderBy(F.col("loss").desc(), "day", "path", "snippet", "note_id", "block_index")
+    return _slot_rows(spark, sf_dir).withColumn("rank", F.row_number().over(w)).where("rank <= 8").select("vault", "rank", "note_id", "block_index", "slot", "loss")
 
 
 def lif7_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +207,7 @@ select w.vault, w.dimension, w.r as observations, round(f, 5) as v_fast, round(s
 
 QUERIES = {
     "agg10_concepts": agg10_concepts, "lif15_selected_concepts": lif15_selected_concepts, "agg11_relations": agg11_relations, "joi11_topic_edges": joi11_topic_edges, "agg13_topic_nodes": agg13_topic_nodes, "agg15_merged_views": agg15_merged_views,
-    "top7_view_evidence": top7_view_evidence, "sco11_view_scores": sco11_view_scores, "agg12_rule_scores": agg12_rule_scores, "ext1_observations": ext1_observations, "lif9_latent_cells": lif9_latent_cells, "lif13_slots": lif13_slots,
+    "top7_view_evidence": top7_view_evidence, "sco11_view_scores": sco11_view_scores, "agg12_rule_scores": agg12_rule_scores, "ext1_observations": ext1_observations, "lif9_latent_cells": lif9_latent_cells, "lif13_slots": lif13_slots, "agg27_slot_terms": agg27_slot_terms, "top10_high_loss": top10_high_loss,
     "lif7_fragments": lif7_fragments, "agg18_dominant": agg18_dominant, "lif12_controller": lif12_controller, "sco12_salience": sco12_salience, "sco20_quality": sco20_quality,
 }
 ORACLE = {
