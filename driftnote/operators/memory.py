@@ -21,6 +21,14 @@ DIMENSIONS = {
 CUES = ["今天", "现在", "必须", "接下来", "不知道", "卡", "失败", "难受"]
 SYMBOLS = ["->", "→", "/", "%", "mV", "Hz", "V", "kΩ", "Ω"]
 
+SIGNALS = {
+    "novelty": ["新", "引入", "更新", "第一次", "突破", "发现", "重构", "新增", "v0", "agent", "智能体"],
+    "conflict": ["矛盾", "冲突", "不理解", "卡", "失败", "不稳", "质疑", "缺", "漏洞", "反驳", "链接不起来"],
+    "risk": ["风险", "危险", "延毕", "截止", "不会", "不能", "丢失", "崩", "错误", "幻觉", "不可复现"],
+    "value": ["论文", "闭环", "证据", "求职", "项目", "简历", "核心", "主线", "实验", "代码", "可执行"],
+    "urgency": ["今天", "现在", "今晚", "明天", "马上", "最近", "截止", "提交", "答辩", "版本"],
+    "fatigue": ["重复", "旧", "已经", "太多", "空转", "低价值", "无效", "泛泛", "废话"],
+}
 SLOT_STOP = {"今天", "现在", "这个", "那个", "就是", "然后", "需要", "应该", "感觉", "什么", "一个", "自己", "进行", "目前", "接下来", "the", "and", "with", "that", "this", "from"}
 SLOT_ACTION = ["今天", "接下来", "下一步", "需要", "必须", "应该", "测试", "写", "整理", "投递", "记录", "验证"]
 SLOT_BLOCKER = ["卡", "不知道", "缺", "没有", "失败", "问题", "害怕", "焦虑", "难受", "动不了", "延毕"]

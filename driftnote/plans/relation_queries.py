@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -170,12 +172,30 @@ def lif12_controller(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sco12_salience(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many of each fragment's terms occur once in the whole collection, and how many terms it has."""
+    """How many of each fragment's terms occur once in the whole collection, and how many terms it has. sco12_signals has the score."""
     t = once(table(spark, sf_dir, "fragments"), "fragment_id").select("fragment_id", F.explode(F.filter(F.coalesce("terms", F.array().cast("array<string>")), lambda x: x.isNotNull())).alias("term"))
     single = t.groupBy("term").count().where("count = 1").select("term", F.lit(1).alias("rare"))
     return t.join(single, "term", "left").groupBy("fragment_id").agg(F.count("*").alias("terms"), F.count("rare").alias("rare"))
 
 
+def sco12_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six signals of each fragment's text: word counts with a length factor, novelty from tokens that occur once in the whole collection, fatigue rules. One row for every
+    fragment; the table has no metadata columns for the bonus on value."""
+    f = once(table(spark, sf_dir, "fragments").select("fragment_id", "text"), "fragment_id").withColumn("text", F.coalesce("text", F.lit("")))
+    tokens = F.transform(F.regexp_extract_all("text", F.lit(r"([A-Za-z][A-Za-z0-9_\-]{2,}|[\x{4e00}-\x{9fff}]{2,})"), 1), lambda t: F.lower(t))
+    # a token that occurs once has one fragment, so its count needs no join back
+    single = f.select("fragment_id", F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.min("fragment_id").alias("owner")).where("n = 1")
+    rare = single.groupBy("owner").agg(F.count("*").alias("rare"))
+    low, unit = F.lower("text"), lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    factor = F.greatest(F.lit(0.15), F.least(F.lit(1.0), F.log1p(F.length("text")) / math.log(500)))
+    times = lambda w: (F.length(low) - F.length(F.replace(low, F.lit(w.lower()), F.lit("")))) / len(w)
+    rows = f.select("fragment_id", F.size(F.array_distinct(tokens)).alias("tokens"), *[unit(sum((times(w) for w in words), F.lit(0.0)) / 6.0 + 0.06 * factor).alias(name) for name, words in M.SIGNALS.items()])
+    rows = rows.join(rare, F.col("fragment_id").eqNullSafe(F.col("owner")), "left").na.fill(0, ["rare"])
+    rows = rows.withColumn("novelty", unit(F.col("novelty") + F.least("rare", F.lit(12)) / 30.0)).withColumn("fatigue", F.when(F.col("tokens") < 8, unit(F.col("fatigue") + 0.25)).otherwise(F.col("fatigue")))
+    rows = rows.withColumn("fatigue", F.when((F.col("urgency") > 0.35) | (F.col("risk") > 0.35), F.greatest(F.lit(0.0), F.col("fatigue") - 0.15)).otherwise(F.col("fatigue")))
+    return rows.select("fragment_id", *[F.round(name, 4).alias(name) for name in M.SIGNALS])
+
+
 def sco20_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each candidate's text fields of at least four characters, and its rank within its day."""
     rows = once(table(spark, sf_dir, "relation_candidates"), "candidate_id")
@@ -208,7 +228,7 @@ select w.vault, w.dimension, w.r as observations, round(f, 5) as v_fast, round(s
 QUERIES = {
     "agg10_concepts": agg10_concepts, "lif15_selected_concepts": lif15_selected_concepts, "agg11_relations": agg11_relations, "joi11_topic_edges": joi11_topic_edges, "agg13_topic_nodes": agg13_topic_nodes, "agg15_merged_views": agg15_merged_views,
     "top7_view_evidence": top7_view_evidence, "sco11_view_scores": sco11_view_scores, "agg12_rule_scores": agg12_rule_scores, "ext1_observations": ext1_observations, "lif9_latent_cells": lif9_latent_cells, "lif13_slots": lif13_slots, "agg27_slot_terms": agg27_slot_terms, "top10_high_loss": top10_high_loss,
-    "lif7_fragments": lif7_fragments, "agg18_dominant": agg18_dominant, "lif12_controller": lif12_controller, "sco12_salience": sco12_salience, "sco20_quality": sco20_quality,
+    "lif7_fragments": lif7_fragments, "agg18_dominant": agg18_dominant, "lif12_controller": lif12_controller, "sco12_salience": sco12_salience, "sco12_signals": sco12_signals, "sco20_quality": sco20_quality,
 }
 ORACLE = {
     "agg10_concepts": f"with {_FRAG} select term, count(*)::bigint as count, count(distinct day)::bigint as days, round(count(*) * (1 + ln(1 + count(distinct day))) * (0.7::double + least(length(term), 8) / 8.0::double), 5) as score from tk group by term having count(*) >= 3",
