@@ -18,16 +18,25 @@ def concept_scores(terms: DataFrame, least: int = 3) -> DataFrame:
 def selected_concepts(scored: DataFrame, top: int = 32, pool: int = 2000) -> list[str]:
     """The ``top`` concepts taken greedily by score: a term is passed over if it lies within a taken one, or holds a taken one that is at least as frequent.
 
-    The greedy choice is over a bounded, ranked pool, on the driver.
+    The greedy choice is on the driver, over ``pool`` ranked concepts at a time. If they don't fill the list, the next by rank follow, without those that a taken one
+    rules out, until it is full or the table ends.
     """
     taken: list[tuple[str, int]] = []
-    for r in scored.orderBy(F.round("score", 9).desc(), F.col("term").desc()).limit(pool).select("term", "count").toLocalIterator():
-        if any(r["term"] in t and len(r["term"]) < len(t) for t, _ in taken) or any(t in r["term"] and n >= r["count"] for t, n in taken):
-            continue
-        taken.append((r["term"], r["count"]))
-        if len(taken) >= top:
-            break
-    return [t for t, _ in taken]
+    rest = scored.select("term", "count", F.round("score", 9).alias("rank"))
+    while True:
+        rows = rest.orderBy(F.col("rank").desc(), F.col("term").desc()).limit(pool).collect()
+        for r in rows:
+            if any(r["term"] in t and len(r["term"]) < len(t) for t, _ in taken) or any(t in r["term"] and n >= r["count"] for t, n in taken):
+                continue
+            taken.append((r["term"], r["count"]))
+            if len(taken) >= top:
+                break
+        if len(taken) >= top or len(rows) < pool:
+            return [t for t, _ in taken]
+        rank, term = rows[-1]["rank"], rows[-1]["term"]
+        rest = scored.select("term", "count", F.round("score", 9).alias("rank")).where((F.col("rank") < rank) | ((F.col("rank") == rank) & (F.col("term") < term)))
+        for t, n in taken:
+            rest = rest.where(~(F.contains(F.lit(t), "term") & (F.length("term") < len(t))) & ~(F.contains("term", F.lit(t)) & (F.col("count") <= n)))
 
 
 def relation_scores(pairs: DataFrame) -> DataFrame:
