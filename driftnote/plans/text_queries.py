@@ -52,10 +52,15 @@ def txt10_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionAll(own).groupBy("tag").count().withColumnRenamed("count", "uses")
 
 
-def txt11_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many notes have each shingle of Han characters, of those in at least ten."""
+def txt11_all_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many notes have each shingle of Han characters."""
     rows = notes(spark, sf_dir).select("note_id", F.explode(F.array_distinct(T.cjk_shingles(F.col("text")))).alias("shingle"))
-    return rows.groupBy("shingle").agg(F.count("*").alias("notes")).where("notes >= 10")
+    return rows.groupBy("shingle").agg(F.count("*").alias("notes"))
+
+
+def txt11_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many notes have each shingle of Han characters, of those in at least ten. txt11_all_shingles has every one."""
+    return txt11_all_shingles(spark, sf_dir).where("notes >= 10")
 
 
 def txt13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +122,7 @@ _SHINGLES = """flatten(list_transform(regexp_extract_all(text, '[\\x{4e00}-\\x{9
 
 QUERIES = {
     "txt1_normalize": txt1_normalize, "txt5_blocks": txt5_blocks, "txt6_paragraph_blocks": txt6_paragraph_blocks, "txt7_fragments": txt7_fragments, "txt9_links": txt9_links, "txt10_tags": txt10_tags,
-    "txt11_shingles": txt11_shingles, "txt13_tokens": txt13_tokens, "txt16_titles": txt16_titles, "vec4_fnv": vec4_fnv,
+    "txt11_shingles": txt11_shingles, "txt11_all_shingles": txt11_all_shingles, "txt13_tokens": txt13_tokens, "txt16_titles": txt16_titles, "vec4_fnv": vec4_fnv,
 }
 ORACLE = {
     "txt1_normalize": "select doc_id, " + ", ".join(f"length({_norm(k)}) as {k}_length, md5({_norm(k)}) as {k}_md5" for k in ("target", "alias", "page")) + " from documents",
