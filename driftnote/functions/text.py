@@ -1,7 +1,12 @@
-"""Text as columns: normalising, blocks, snippets, links, tags, shingles. All JVM-side."""
+"""Text as columns: normalising, blocks, snippets, links, tags, shingles, all JVM-side; only the scan for the words of lexicons is an Arrow function."""
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,6 +82,49 @@ def matched(lowered: Column, lexicon: list[str]) -> Column:
     return F.transform(F.filter(words, lambda w: F.contains(lowered, w["l"])), lambda w: w["w"])
 
 
+@lru_cache(maxsize=32)
+def _automaton(words: tuple[str, ...]):
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for k, w in enumerate(words):
+        a.add_word(w, k)
+    a.make_automaton()
+    return a
+
+
+def found(lowered: Column, *lexicons: list[str]) -> Column:
+    """The words of the lexicons that lower-cased text holds, lower-cased and distinct; none of null.
+
+    One automaton of all the words runs once over each text, in an Arrow function: as expressions every word is a scan of its own, and a pattern of alternatives tries them all at every place.
+    ``held`` and ``holds`` then look single lists up in what was found.
+    """
+    words = tuple(dict.fromkeys(w.lower() for x in lexicons for w in x))
+
+    @F.arrow_udf("array<string>")
+    def scan(v: pa.Array) -> pa.Array:
+        search = _automaton(words).iter
+        hits = [{k for _, k in search(t)} if t else () for t in v.to_pylist()]
+        offsets = np.zeros(len(hits) + 1, np.int32)
+        np.cumsum(np.fromiter(map(len, hits), np.int32, len(hits)), out=offsets[1:])
+        codes = pa.array(np.fromiter(chain.from_iterable(hits), np.int32, int(offsets[-1])))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(words, pa.string()).take(codes))
+
+    return scan(lowered)
+
+
+def holds(words: Column, lexicon: list[str]) -> Column:
+    """Whether any of the lexicon is among the found words."""
+    return F.arrays_overlap(words, F.expr("array(" + ", ".join(quoted(w) for w in dict.fromkeys(w.lower() for w in lexicon)) + ")"))
+
+
+def held(words: Column, lexicon: list[str]) -> Column:
+    """The lexicon's words that are among the found ones, distinct, in the lexicon's order and spelling."""
+    each = F.expr("array(" + ", ".join(f"named_struct('l', {quoted(w.lower())}, 'w', {quoted(w)})" for w in dict.fromkeys(lexicon)) + ")")
+    hits = F.transform(F.filter(each, lambda w: F.array_contains(words, w["l"])), lambda w: w["w"])
+    return F.when(holds(words, lexicon), hits).otherwise(F.expr("cast(array() as array<string>)"))  # most texts hold no word of most lists
+
+
 def specificity(text: Column, number: float = 0.12, upper: float = 0.10, symbol: float = 0.12, symbols: list[str] | None = None) -> Column:
     """How much a text names: numbers, words in capitals and symbols, capped at 1."""
     from ..lexicon import SYMBOLS

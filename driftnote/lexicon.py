@@ -20,7 +20,7 @@ KEYWORDS = {
     "Experiment": ["负阻", "测试", "波形", "KS1092", "LIF", "SSVEP", "EEG", "事件率", "RMS", "后向散射", "USRP", "实验", "数据", "ADC", "前端", "阈值", "压缩比", "恢复"],
     "Thesis": ["论文", "第三章", "第四章", "盲审", "答辩", "提交", "证据", "图", "章节", "导师", "逻辑", "写进论文", "创新点", "摘要"],
     "Career": ["简历", "实习", "工作", "求职", "面试", "大模型", "国企", "央企", "应届", "岗位", "投递", "机会", "华为", "GitHub"],
-    "AI_Memory": ["AI", "大模型", "agent", "智能体", "记忆", "主动", "RAG", "Obsidian", "skill", "LIF-Memory", "snn", "SNN", "脉冲", "Codex"],
+    "AI_Memory": ["AI", "大模型", "agent", "智能体", "记忆", "主动", "RAG", "Obsidian", "skill", "snn", "SNN", "脉冲", "Codex"],
     "Health": ["焦虑", "累", "崩", "睡", "身体", "情绪", "宿舍", "运动", "恢复", "压力", "疲惫", "害怕", "撕扯", "难受", "色情", "吃"],
 }
 CONTEXT = {
@@ -37,7 +37,7 @@ TOPICS = {
     "AI求职转向": ["AI求职", "AI 世界", "大模型机会", "all in AI", "实习", "简历", "大模型"],
     "论文闭环": ["论文", "第三章", "第四章", "摘要", "图", "逻辑", "证据", "主线"],
     "求职": ["简历", "实习", "找工作", "求职", "岗位", "投递", "国企", "应届", "面试"],
-    "AI记忆": ["AI", "agent", "智能体", "Obsidian", "LIF-Memory", "记忆", "向量", "主动"],
+    "AI记忆": ["AI", "agent", "智能体", "Obsidian", "记忆", "向量", "主动"],
     "健康恢复": ["焦虑", "累", "崩", "睡", "身体", "情绪", "宿舍", "压力", "害怕", "撕扯", "难受"],
 }
 TOPIC_PRIORS = {

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from ..functions import text as T
+from ..tables import bound
 
 
 def note_blocks(notes: DataFrame, least: int = 4) -> DataFrame:
@@ -19,11 +20,11 @@ def note_blocks(notes: DataFrame, least: int = 4) -> DataFrame:
 
 def _weight() -> tuple[Column, Column]:
     """Target weight of a block for its state and what disambiguated it."""
-    low, state, keywords = F.col("low"), F.col("state"), F.col("keywords")
+    found, state, keywords = F.col("found"), F.col("state"), F.col("keywords")
     weight = F.least(0.20 + F.least(F.size("keywords"), F.lit(5)) * 0.20 + F.least(F.size("context"), F.lit(4)) * 0.08, F.lit(1.0))
-    recovery = F.array_contains("keywords", "恢复") & T.contains_any(low, L.SIGNAL_RECOVERY)
+    recovery = F.array_contains("keywords", "恢复") & T.holds(found, L.SIGNAL_RECOVERY)
     why = (
-        F.when((state == "Health") & recovery & ~T.contains_any(low, L.STRONG_HEALTH), "signal_recovery_not_health_recovery")
+        F.when((state == "Health") & recovery & ~T.holds(found, L.STRONG_HEALTH), "signal_recovery_not_health_recovery")
         .when((state == "Experiment") & recovery, "signal_recovery_as_experiment_evidence")
         .when((state == "Thesis") & (keywords == F.array(F.lit("导师"))), "mentor_without_thesis_context")
     )
@@ -41,24 +42,26 @@ def block_evidence(blocks: DataFrame, states: list[str] | None = None) -> DataFr
     """A row for each block and state that it is evidence for, with its vector, score, modifiers and completion.
 
     Blocks without a keyword and with under two context words of a state are none for it, nor are those of target weight or score under 0.18.
-    The lexicons are literals in the plan, so matching is a projection without a join, and everything else is worked out for matching rows only.
+    One scan of a block finds the words of every list; lists and cues are then looked up among them, and everything else is worked out for matching rows only.
     """
-    low = F.col("low")
-    each = [F.struct(F.lit(s).alias("state"), T.matched(low, L.KEYWORDS[s]).alias("keywords"), T.matched(low, L.CONTEXT[s]).alias("context")) for s in states or list(L.KEYWORDS)]
-    rows = blocks.withColumn("low", F.lower("block")).withColumn("s", F.explode(F.filter(F.array(*each), lambda s: (F.size(s["keywords"]) > 0) | (F.size(s["context"]) >= 2))))
+    found, states = F.col("found"), states or list(L.KEYWORDS)
+    each = [F.struct(F.lit(s).alias("state"), T.held(found, L.KEYWORDS[s]).alias("keywords"), T.held(found, L.CONTEXT[s]).alias("context")) for s in states]
+    lists = [x for s in states for x in (L.KEYWORDS[s], L.CONTEXT[s])] + [L.ACTION, L.TIME_PRESSURE, L.BLOCKER, L.COMPLETION, L.INCOMPLETE, L.NOVELTY, L.SIGNAL_RECOVERY, L.STRONG_HEALTH]
+    rows = bound(blocks, {"found": T.found(F.lower("block"), *lists)}).where(F.size("found") > 0).withColumn("s", F.explode(F.filter(F.array(*each), lambda s: (F.size(s["keywords"]) > 0) | (F.size(s["context"]) >= 2))))
     rows = rows.select("*", "s.*").drop("s")
     weight, why = _weight()
-    rows = rows.withColumn("disambiguation", why).withColumn("target_weight", weight).where("target_weight >= 0.18")
-    rows = rows.withColumns(
+    rows = bound(bound(rows, {"disambiguation": why}), {"target_weight": weight}).where("target_weight >= 0.18")
+    rows = bound(
+        rows,
         {
-            "actionability": T.contains_any(low, L.ACTION).cast("double"),
-            "urgency": T.contains_any(low, L.TIME_PRESSURE).cast("double"),
-            "blocker": T.contains_any(low, L.BLOCKER).cast("double"),
-            "completion": (T.contains_any(low, L.COMPLETION) & ~T.contains_any(low, L.INCOMPLETE)).cast("double"),
+            "actionability": T.holds(found, L.ACTION).cast("double"),
+            "urgency": T.holds(found, L.TIME_PRESSURE).cast("double"),
+            "blocker": T.holds(found, L.BLOCKER).cast("double"),
+            "completion": (T.holds(found, L.COMPLETION) & ~T.holds(found, L.INCOMPLETE)).cast("double"),
             "specificity": T.specificity(F.col("block")),
-            "novelty": T.contains_any(low, L.NOVELTY).cast("double"),
-        }
-    ).drop("low")
+            "novelty": T.holds(found, L.NOVELTY).cast("double"),
+        },
+    ).drop("found")
     confidence = F.least(0.42 + F.size("keywords") * 0.10 + F.size("context") * 0.04 + F.col("specificity") * 0.18, F.lit(1.0))
     multiplier = 0.72 + 0.22 * F.col("actionability") + 0.18 * F.col("urgency") + 0.30 * F.col("blocker") + 0.16 * F.col("specificity") + 0.18 * F.col("novelty")
     rows = rows.withColumn("confidence", confidence).withColumn("score", (0.35 + 2.45 * F.col("target_weight")) * multiplier * F.col("confidence")).where("score >= 0.18")
@@ -78,7 +81,7 @@ def block_evidence(blocks: DataFrame, states: list[str] | None = None) -> DataFr
 
 
 def daily_evidence(evidence: DataFrame, keys: list[str], order: list[str], top: int = 6) -> DataFrame:
-    """evidence (capped by the state), completion (capped) and the ``top`` items by score, for each of ``keys`` and state.
+    """evidence (capped by the state), completion (capped) and the ``top`` items (score, snippet, words, modifiers) by score, for each of ``keys`` and state.
 
     The sums are combined map-side; only the ranked items' rows are sorted, and the window keeps ``top`` of a group before it collects.
     """
@@ -88,7 +91,7 @@ def daily_evidence(evidence: DataFrame, keys: list[str], order: list[str], top:
     )
     w = Window.partitionBy(*keys, "state").orderBy(F.col("score").desc(), *order)
     best = evidence.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-    item = F.struct("rank", F.round("score", 6).alias("score"), T.snippet(F.col("block")).alias("snippet"), "words", "modifiers")
+    item = F.struct("rank", F.round("score", 6).alias("score"), "snippet", "words", "modifiers")
     items = best.groupBy(*keys, "state").agg(F.sort_array(F.collect_list(item)).alias("items"))
     joined = sums.join(items, [*keys, "state"])
     return joined.select(*keys, "state", F.least("_score", caps).alias("evidence"), F.least("_completion", F.lit(2.2)).alias("completion"), "blocks", "items")
@@ -96,24 +99,28 @@ def daily_evidence(evidence: DataFrame, keys: list[str], order: list[str], top:
 
 def item_topics(text: Column) -> Column:
     """The topics whose words a text holds, in the lexicon's order."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(T.contains_any(low, ws), F.lit(t)) for t, ws in L.TOPICS.items()]))
+    found = T.found(F.lower(text), *L.TOPICS.values())
+    return F.transform(F.array(found), lambda f: F.array_compact(F.array(*[F.when(T.holds(f, ws), F.lit(t)) for t, ws in L.TOPICS.items()])))[0]
 
 
 def topic_scores(text: Column, score: Column, state: Column) -> Column:
     """map of topic -> match score times the state's prior, of the topics that a text holds."""
-    low = F.lower(text)
+    more = {"实验数据模板": ["实验", "跑数据", "记录数据", "数据模板", "数据闭环"], "AI求职转向": ["简历", "实习", "岗位", "大模型", "all in AI"]}
+    return F.transform(F.array(T.found(F.lower(text), *L.TOPICS.values(), *more.values())), lambda f: _topic_entries(f, more, score, state))[0]
+
+
+def _topic_entries(found: Column, more: dict[str, list[str]], score: Column, state: Column) -> Column:
     entries = []
     for topic, ws in L.TOPICS.items():
-        value = score * (1.0 + F.least(F.size(T.matched(low, ws)), F.lit(4)) * 0.25)
+        value = score * (1.0 + F.least(F.size(T.held(found, ws)), F.lit(4)) * 0.25)
         if topic == "实验数据模板":
-            value = F.when(T.contains_any(low, ["实验", "跑数据", "记录数据", "数据模板", "数据闭环"]), value * 1.8).otherwise(value)
+            value = F.when(T.holds(found, more[topic]), value * 1.8).otherwise(value)
         if topic == "求职":
-            value = F.when(~T.contains_any(low, L.TOPICS["求职"]), value * 0.1).otherwise(value)
+            value = F.when(~T.holds(found, L.TOPICS["求职"]), value * 0.1).otherwise(value)
         if topic == "AI求职转向":
-            value = F.when(T.contains_any(low, ["简历", "实习", "岗位", "大模型", "all in AI"]), value * 1.6).otherwise(value)
+            value = F.when(T.holds(found, more[topic]), value * 1.6).otherwise(value)
         prior = reduce(lambda a, n, t=topic: a.when(state == n, L.TOPIC_PRIORS[n].get(t, 1.0)), L.TOPIC_PRIORS, F.when(F.lit(False), 1.0))
-        entries.append(F.when(T.contains_any(low, ws), F.struct(F.lit(topic).alias("key"), (value * prior).alias("value"))))
+        entries.append(F.when(T.holds(found, ws), F.struct(F.lit(topic).alias("key"), (value * prior).alias("value"))))
     return F.array_compact(F.array(*entries))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, discard
 
 CLIQUE = 25
 
@@ -50,13 +50,15 @@ def diffuse(vectors: DataFrame, edges: DataFrame, steps: int = 2, alpha: float =
     A round is a join on the edge, one sum of the own and the neighbours' weights, added up before the shuffle, and the norms of each note; it is written to the shared
     folder: lineage doesn't grow with the rounds.
     """
-    w = Window.partitionBy("note_id")
+    w, before = Window.partitionBy("note_id"), ""
     for _ in range(steps):
         near = edges.join(vectors.withColumnRenamed("note_id", "dst"), "dst").select(F.col("src").alias("note_id"), "feature", F.lit(0.0).alias("own"), F.col("weight").alias("near"))
         rows = near.unionAll(vectors.select("note_id", "feature", F.col("weight").alias("own"), F.lit(0.0).alias("near"))).groupBy("note_id", "feature").agg(F.sum("own").alias("own"), F.sum("near").alias("near"))
         rows = rows.withColumn("norm", F.sqrt(F.sum(F.col("near") * F.col("near")).over(w)))
         mixed = F.when(F.col("norm") > 0, F.col("own") * (1 - alpha) + F.col("near") / F.col("norm") * alpha).otherwise(F.col("own"))
-        vectors = cut(unit(rows.select("note_id", "feature", mixed.alias("weight"))), "diffused")
+        after = cut(unit(rows.select("note_id", "feature", mixed.alias("weight"))), "diffused")
+        discard(before)
+        vectors = before = after
     return vectors
 
 

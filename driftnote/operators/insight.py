@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from ..functions import text as T
+from ..tables import bound
 
 # -- fixed values: a latent question's words and its parameters
 QUESTION = {
@@ -55,30 +56,35 @@ def bounded(lowered: Column, words: list[str]) -> Column:
 def question_fragments(blocks: DataFrame, question: dict | None = None) -> DataFrame:
     """Blocks that hold a keyword of the question, with score, role (conflict, evidence, completion) and inhibition."""
     q = question or QUESTION
-    low = F.lower("block")
-    rows = blocks.withColumn("hits", bounded(low, q["keywords"])).where(F.size("hits") > 0)
-    rows = rows.withColumns({"conflict": T.contains_any(low, q["conflict"]), "closed": T.contains_any(low, q["completion"])})
-    score = 0.75 + F.least(F.size("hits"), F.lit(6)) * 0.28 + F.when(F.col("conflict"), 0.75).otherwise(0.0) + F.when(T.contains_any(low, L.ACTION), 0.35).otherwise(0.0) + F.when(T.contains_any(low, L.TIME_PRESSURE), 0.25).otherwise(0.0)
+    low, found = F.col("_low"), F.col("_found")
+    rows = bound(blocks, {"_low": F.lower("block"), "_found": T.found(F.lower("block"), q["keywords"], q["conflict"], q["completion"], L.ACTION, L.TIME_PRESSURE)})
+    # whether a word stands by itself is only looked up where the scan has found it
+    rows = bound(rows.where(T.holds(found, q["keywords"])), {"hits": bounded(low, q["keywords"])}).where(F.size("hits") > 0)
+    rows = rows.withColumns({"conflict": T.holds(found, q["conflict"]), "closed": T.holds(found, q["completion"])})
+    score = 0.75 + F.least(F.size("hits"), F.lit(6)) * 0.28 + F.when(F.col("conflict"), 0.75).otherwise(0.0) + F.when(T.holds(found, L.ACTION), 0.35).otherwise(0.0) + F.when(T.holds(found, L.TIME_PRESSURE), 0.25).otherwise(0.0)
     role = F.when(F.col("conflict"), "conflict").when(F.col("closed"), "completion").otherwise("evidence")
-    return rows.withColumns({"score": score, "role": role, "inhibition": F.when(F.col("closed"), 0.85).otherwise(0.0)}).drop("conflict", "closed")
+    return rows.withColumns({"score": score, "role": role, "inhibition": F.when(F.col("closed"), 0.85).otherwise(0.0)}).drop("conflict", "closed", "_low", "_found")
 
 
-def _labels(low: Column, table: dict[str, list[str]]) -> tuple[Column, Column]:
-    hits = {k: T.matched(low, ws) for k, ws in table.items()}
-    return F.array_compact(F.array(*[F.when(F.size(h) > 0, F.lit(k)) for k, h in hits.items()])), F.size(F.array_distinct(F.concat(*hits.values())))
+def _labels(found: Column, table: dict[str, list[str]]) -> tuple[Column, Column]:
+    """The labels that hold a found word, and the hits: a word counts once for each list that has it."""
+    hits = {k: T.held(found, ws) for k, ws in table.items()}
+    return F.array_compact(F.array(*[F.when(F.size(h) > 0, F.lit(k)) for k, h in hits.items()])), sum((F.size(h) for h in hits.values()), F.lit(0))
 
 
 def inspiration_fragments(blocks: DataFrame) -> DataFrame:
-    """Blocks with roles, domains and a score of at least 0.75."""
-    low = F.lower("block")
-    roles, role_hits = _labels(low, ROLES)
-    domains, domain_hits = _labels(low, DOMAINS)
-    rows = blocks.withColumns({"roles": roles, "role_hits": role_hits, "domains": domains, "domain_hits": domain_hits})
+    """Blocks with roles, domains and a score of at least 0.75; one with domains only has the role ``domain_evidence``."""
+    found = F.col("_found")
+    roles, role_hits = _labels(found, ROLES)
+    domains, domain_hits = _labels(found, DOMAINS)
+    rows = bound(blocks, {"_found": T.found(F.lower("block"), *ROLES.values(), *DOMAINS.values())}).where(F.size("_found") > 0)
+    rows = bound(rows, {"roles": roles, "role_hits": role_hits, "domains": domains, "domain_hits": domain_hits})
     has = lambda r: F.array_contains("roles", r)
     weights = sum((F.when(has(r), w).otherwise(0.0) for r, w in ROLE_WEIGHTS.items()), F.lit(0.0))
     bonus = F.when(has("tension") & has("bridge"), 0.65).otherwise(0.0) + F.when(has("compression") & has("validation"), 0.40).otherwise(0.0) + F.when(has("spark") & (has("tension") | has("bridge")), 0.55).otherwise(0.0)
     score = 0.30 + weights + F.least("domain_hits", F.lit(8)) * 0.12 + F.greatest(F.size("domains") - 1, F.lit(0)) * 0.55 + F.least("role_hits", F.lit(8)) * 0.08 + T.specificity(F.col("block")) * 0.55 + bonus
-    return rows.where((F.size("roles") > 0) | (F.size("domains") > 0)).withColumn("score", score).where("score >= 0.75")
+    rows = bound(rows.where((F.size("roles") > 0) | (F.size("domains") > 0)), {"score": score}).where("score >= 0.75").drop("_found")
+    return rows.withColumn("roles", F.when(F.size("roles") == 0, F.array(F.lit("domain_evidence"))).otherwise(F.col("roles")))
 
 
 def daily_inspiration(fragments: DataFrame, keys: list[str]) -> DataFrame:

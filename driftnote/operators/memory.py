@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..tables import bound
 from .recurrence import leaky_closed
 
 # -- fixed values: dimensions of the field
@@ -16,7 +17,7 @@ DIMENSIONS = {
     "thesis_loop": (0.86, 0.94, 4.0, ["论文", "章节", "第四章", "第三章", "盲审", "主线", "逻辑", "证据", "图", "创新点", "写作"], ["写完", "放进论文", "改完", "整理", "形成"]),
     "career_transition": (0.88, 0.96, 3.6, ["简历", "求职", "岗位", "投递", "实习", "工作", "AI", "大模型", "嵌入式", "项目表达"], ["投递", "写入简历", "改简历", "收藏岗位"]),
     "emotion_load": (0.76, 0.88, 3.2, ["焦虑", "难受", "害怕", "崩", "延毕", "动不了", "压力", "失败", "累", "迷茫", "羞耻"], ["休息", "散步", "睡觉", "恢复", "吃饭", "运动"]),
-    "ai_memory_design": (0.84, 0.94, 3.8, ["LIF-Memory", "记忆", "agent", "智能体", "NeRF", "重建", "一致性", "状态场", "洞察", "Obsidian"], ["升级", "测试", "跑一次", "规则", "模块"]),
+    "ai_memory_design": (0.84, 0.94, 3.8, ["记忆", "agent", "智能体", "NeRF", "重建", "一致性", "状态场", "洞察", "Obsidian"], ["升级", "测试", "跑一次", "规则", "模块"]),
 }
 CUES = ["今天", "现在", "必须", "接下来", "不知道", "卡", "失败", "难受"]
 SYMBOLS = ["->", "→", "/", "%", "mV", "Hz", "V", "kΩ", "Ω"]
@@ -39,16 +40,18 @@ SLOT_SYMBOLS = ["->", "→", "/", "%", "mV", "Hz", "Ω"]
 
 def observations(blocks: DataFrame) -> DataFrame:
     """Rows of blocks with dimensions, intensity and completion; blocks that touch no dimension are dropped."""
-    low = F.lower("block")
-    hits = {d: T.matched(low, words) for d, (_, _, _, words, _) in DIMENSIONS.items()}
+    found = F.col("_found")
+    hits = {d: T.held(found, words) for d, (_, _, _, words, _) in DIMENSIONS.items()}
     dims = F.array_compact(F.array(*[F.when(F.size(h) > 0, F.lit(d)) for d, h in hits.items()]))
     words = F.array_distinct(F.concat(*hits.values()))
     done = F.lit(False)
     for d, (_, _, _, _, completion) in DIMENSIONS.items():
-        done = done | ((F.size(hits[d]) > 0) & T.contains_any(low, completion))
+        done = done | ((F.size(hits[d]) > 0) & T.holds(found, completion))
     base = F.least(F.lit(2.2), 0.55 + 0.28 * F.size("words") + 0.45 * T.specificity(F.col("block"), 0.10, 0.08, 0.12, SYMBOLS))
-    rows = blocks.withColumns({"dimensions": dims, "words": words, "completion": F.when(done, 0.75).otherwise(0.0)}).where(F.size("dimensions") > 0)
-    return rows.withColumn("intensity", F.round(F.least(base + F.when(T.contains_any(low, CUES), 0.35).otherwise(0.0), F.lit(2.5)), 4))
+    lists = [x for _, _, _, words_, completion in DIMENSIONS.values() for x in (words_, completion)] + [CUES]
+    blocks = bound(blocks, {"_found": T.found(F.lower("block"), *lists)}).where(F.size("_found") > 0)
+    rows = bound(blocks, {"dimensions": dims, "words": words, "completion": F.when(done, 0.75).otherwise(0.0)}).where(F.size("dimensions") > 0)
+    return rows.withColumn("intensity", F.round(F.least(base + F.when(T.holds(found, CUES), 0.35).otherwise(0.0), F.lit(2.5)), 4)).drop("_found")
 
 
 def latent_cells(obs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

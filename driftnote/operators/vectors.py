@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..tables import bound
 from .graph import unit
 
 # -- fixed values: topics of the field and its cue words
 FIELD_TOPICS = {
     "LIF链路": ["LIF", "脑电", "EEG", "SSVEP", "后向散射", "USRP", "事件", "事件率", "阈值", "压缩"],
     "连续问题场": ["连续", "离散", "问题场", "记忆场", "NeRF", "隐式场", "重建", "Obsidian", "知识库"],
-    "AI记忆": ["AI", "agent", "智能体", "记忆", "RAG", "Obsidian", "LIF-Memory", "向量", "检索"],
+    "AI记忆": ["AI", "agent", "智能体", "记忆", "RAG", "Obsidian", "向量", "检索"],
     "论文闭环": ["论文", "第三章", "第四章", "盲审", "答辩", "主线", "证据", "图", "创新点"],
     "负阻": ["负阻", "NDR", "negative resistance", "斜率", "偏置", "增益", "抵消"],
     "求职": ["简历", "实习", "工作", "求职", "岗位", "投递", "面试", "大模型"],
@@ -31,12 +32,11 @@ def _weighted(tokens: Column, weight: float, prefix: str = "") -> Column:
     return F.transform(tokens, lambda t: F.struct(F.concat(F.lit(prefix), F.lower(t)).alias("feature"), F.lit(weight).alias("weight")))
 
 
-def features(text: Column, title: Column, tags: Column) -> Column:
-    """array<struct<feature, weight>>: words, numbers, shingles, topics with their words, tags and title words, not yet added up."""
-    low = F.lower(text)
+def features(found: Column, text: Column, title: Column, tags: Column) -> Column:
+    """array<struct<feature, weight>>: words, numbers, shingles, topics with their words (``found``: those in the text), tags and title words, not yet added up."""
     topics = []
     for topic, words in FIELD_TOPICS.items():
-        hits = T.matched(low, words)
+        hits = T.held(found, words)
         topics.append(F.when(F.size(hits) > 0, F.concat(F.array(F.struct(F.lit(f"topic:{topic}".lower()).alias("feature"), F.lit(3.0).alias("weight"))), _weighted(F.filter(hits, lambda w: F.length(w) >= 2), 1.4))).otherwise(
             F.array().cast("array<struct<feature:string,weight:double>>")
         ))
@@ -53,7 +53,7 @@ def features(text: Column, title: Column, tags: Column) -> Column:
 
 def sparse_vectors(notes: DataFrame) -> DataFrame:
     """note_id, feature, weight of unit length for notes (note_id, text, title, tags): the long form, which joins and adds up on any number of features."""
-    rows = notes.select("note_id", F.explode(features(F.col("text"), F.col("title"), F.col("tags"))).alias("f"))
+    rows = bound(notes, {"_found": T.found(F.lower("text"), *FIELD_TOPICS.values())}).select("note_id", F.explode(features(F.col("_found"), F.col("text"), F.col("title"), F.col("tags"))).alias("f"))
     return unit(rows.groupBy("note_id", F.col("f.feature").alias("feature")).agg(F.sum("f.weight").alias("weight")))
 
 
@@ -83,15 +83,16 @@ def dense_cosine(a: Column, b: Column) -> Column:
 
 def field_hits(notes: DataFrame, similarities: DataFrame, today: Column, time_sigma: float = 30.0, semantic_sigma: float = 0.35) -> DataFrame:
     """The notes (note_id, day, text, links, tags, centrality) that a query raises: similarity, kernels of time and meaning, score, modifiers and the current they add to their day."""
-    low = F.lower("text")
+    found, open_ = F.col("_found"), ["未完成", "没有完成", "还没", "尚未"]
     rows = notes.join(similarities, "note_id").where("similarity > 0")
     delta = F.greatest(F.datediff(today, "day"), F.lit(0))
     rows = rows.withColumn("time_weight", F.exp(-(delta * delta) / (2.0 * time_sigma * time_sigma))).withColumn(
         "semantic_weight", F.exp(-F.pow(1 - F.least("similarity", F.lit(1.0)), F.lit(2.0)) / (2.0 * semantic_sigma * semantic_sigma))
     )
     rows = rows.withColumn("score", F.col("similarity") * F.col("semantic_weight") * F.col("time_weight") * (1 + 0.25 * F.coalesce("centrality", F.lit(0.0)))).where("score > 0.001")
-    marks = {"action": T.contains_any(low, FIELD_ACTION), "blocker": T.contains_any(low, FIELD_BLOCKER), "completion_signal": T.contains_any(low, FIELD_COMPLETION), "novelty": T.contains_any(low, FIELD_NOVELTY), "wikilinked": F.size("links") > 0, "tagged": F.size("tags") > 0}
+    rows = bound(rows, {"_found": T.found(F.lower("text"), FIELD_ACTION, FIELD_BLOCKER, FIELD_COMPLETION, FIELD_NOVELTY, open_)})
+    marks = {"action": T.holds(found, FIELD_ACTION), "blocker": T.holds(found, FIELD_BLOCKER), "completion_signal": T.holds(found, FIELD_COMPLETION), "novelty": T.holds(found, FIELD_NOVELTY), "wikilinked": F.size("links") > 0, "tagged": F.size("tags") > 0}
     rows = rows.withColumn("modifiers", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in marks.items()])))
     boost = 1.0 + sum((F.when(F.array_contains("modifiers", n), b).otherwise(0.0) for n, b in (("action", 0.20), ("blocker", 0.30), ("novelty", 0.25))), F.lit(0.0))
-    done = F.array_contains("modifiers", "completion_signal") & ~T.contains_any(low, ["未完成", "没有完成", "还没", "尚未"])
-    return rows.withColumn("current", F.col("score") * boost).withColumn("completion", F.when(done, 0.45).otherwise(0.0))
+    done = F.array_contains("modifiers", "completion_signal") & ~T.holds(found, open_)
+    return rows.withColumn("current", F.col("score") * boost).withColumn("completion", F.when(done, 0.45).otherwise(0.0)).drop("_found")

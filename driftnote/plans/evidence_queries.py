@@ -9,18 +9,21 @@ from .. import lexicon as L
 from ..operators import evidence as E
 from ..operators import recurrence as R
 from ..session import cut
-from .common import NOTES, day_as_text, notes, sql_any, sql_list
+from ..functions import text as T
+from ..tables import spread
+from .common import NOTES, arrivals, day_as_text, sql_any, sql_list
 from .text_queries import _norm, blocks_sql, snippet_sql
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = notes(spark, sf_dir).select("note_id", "vault", "day", "text")
-    return E.block_evidence(E.note_blocks(rows))
+    """Scored blocks; notes that came twice are taken once among them, so no text is shuffled."""
+    rows = spread(arrivals(spark, sf_dir).select("note_id", "vault", "day", "text"))
+    return E.block_evidence(E.note_blocks(rows)).dropDuplicates(["note_id", "block_index", "state"])
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scored blocks are written once: sums and ranks both read them, and scoring costs more than they weigh."""
-    scored = _evidence(spark, sf_dir).select("note_id", "block_index", "vault", "day", "state", "block", "score", "inhibition", "words", "modifiers")
+    scored = _evidence(spark, sf_dir).select("note_id", "block_index", "vault", "day", "state", "score", "inhibition", T.snippet(F.col("block")).alias("snippet"), "words", "modifiers")
     return E.daily_evidence(cut(scored, "scored"), ["vault", "day"], ["note_id", "block_index"])
 
 

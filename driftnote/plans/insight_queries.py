@@ -12,24 +12,34 @@ from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import insight as I
 from ..sources.vault import file_signals
-from ..tables import table
-from .common import NOTES, day_as_text, notes, sql_any, sql_list
+from ..tables import spread, table
+from .common import NOTES, arrivals, day_as_text, notes, sql_any, sql_list
 from .evidence_queries import DAILY, _sums
 from .stream_queries import ORACLE as STREAM_ORACLE
+from .stream_queries import PROJECTS
 from .text_queries import _norm, blocks_sql
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.note_blocks(notes(spark, sf_dir).select("note_id", "vault", "day", "text"))
+    return E.note_blocks(spread(arrivals(spark, sf_dir).select("note_id", "vault", "day", "text")))
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments that bear on the question; notes that came twice are taken once among them."""
+    return I.question_fragments(_blocks(spark, sf_dir)).dropDuplicates(["note_id", "block_index"])
+
+
+def _inspiration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.inspiration_fragments(_blocks(spark, sf_dir)).dropDuplicates(["note_id", "block_index"])
 
 
 def mat3_question_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks that bear on a latent question, ASCII words at their boundaries only."""
-    return I.question_fragments(_blocks(spark, sf_dir)).select("note_id", "block_index", F.array_join("hits", "|").alias("hits"), F.round("score", 6).alias("score"), "role", "inhibition")
+    return _questions(spark, sf_dir).select("note_id", "block_index", F.array_join("hits", "|").alias("hits"), F.round("score", 6).alias("score"), "role", "inhibition")
 
 
 def agg2_question_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = I.question_fragments(_blocks(spark, sf_dir))
+    f = _questions(spark, sf_dir)
     return f.groupBy("vault", "day").agg(F.round(F.least(F.sum("score"), F.lit(I.QUESTION["cap"])), 6).alias("evidence"), F.least(F.sum("inhibition"), F.lit(2.5)).alias("inhibition"), F.count("*").alias("fragments"))
 
 
@@ -43,18 +53,18 @@ def mat4_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sco7_inspiration_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.inspiration_fragments(_blocks(spark, sf_dir))
+    rows = _inspiration(spark, sf_dir)
     return rows.select("note_id", "block_index", F.array_join("roles", "|").alias("roles"), F.array_join("domains", "|").alias("domains"), F.round("score", 6).alias("score"))
 
 
 def agg3_daily_inspiration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = I.daily_inspiration(I.inspiration_fragments(_blocks(spark, sf_dir)), ["vault", "day"])
+    d = I.daily_inspiration(_inspiration(spark, sf_dir), ["vault", "day"])
     return d.select("vault", "day", *[F.round(c, 6).alias(c) for c in ("input", "tension", "bridge", "spark", "validation")], "fragments")
 
 
 def lif8_inspiration_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four traces and the material that they need to fire."""
-    f = I.inspiration_fragments(_blocks(spark, sf_dir))
+    f = _inspiration(spark, sf_dir)
     w = Window.partitionBy("vault", "day").orderBy(F.col("score").desc(), "note_id", "block_index")
     top = f.withColumn("rn", F.row_number().over(w)).where("rn <= 10").groupBy("vault", "day").agg(F.sort_array(F.collect_list(F.struct("score", T.snippet(F.col("block"), 120).alias("snippet"), "roles")), False).alias("top"))
     return I.inspiration_spikes(I.daily_inspiration(f, ["vault", "day"]).join(top, ["vault", "day"]), "vault")
@@ -63,7 +73,7 @@ def lif8_inspiration_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def joi8_completed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily evidence with the completion that files of the day add (0.7 a file, 1.4 at most, 2.2 in all): a left join."""
     days = table(spark, sf_dir, "note_observations").select("day")
-    signals = file_signals(table(spark, sf_dir, "files").select("path", "modified"), days)
+    signals = file_signals(table(spark, sf_dir, "files").select("path", "modified"), days, PROJECTS)
     rows = _sums(spark, sf_dir).join(signals, ["day", "state"], "left")
     more = F.least(F.coalesce("files", F.lit(0)) * 0.7, F.lit(1.4))
     return rows.select("vault", "day", "state", F.round(F.least(F.col("completion") + more, F.lit(2.2)), 6).alias("completion"), F.coalesce("files", F.lit(0)).alias("files"))
@@ -91,13 +101,13 @@ _QF = f"""{_BL}, qf0 as (select *, {_HIT} as hits, {sql_any('low', I.QUESTION['c
 qf as (select *, 0.75::double + least(len(hits), 6) * 0.28::double + case when cf then 0.75::double else 0 end + case when {sql_any('low', L.ACTION)} then 0.35::double else 0 end + case when {sql_any('low', L.TIME_PRESSURE)} then 0.25::double else 0 end as score,
  case when cf then 'conflict' when cl then 'completion' else 'evidence' end as role, case when cl then 0.85::double else 0 end as inhibition from qf0 where len(hits) > 0)"""
 _KINDS = lambda t: "list_filter([" + ", ".join(f"case when {sql_any('low', ws)} then '{k}' end" for k, ws in t.items()) + "], lambda x: x is not null)"
-_COUNT = lambda t: f"len(list_filter({sql_list(list(dict.fromkeys(w for ws in t.values() for w in ws)))}, lambda w: contains(low, lower(w))))"
+_COUNT = lambda t: "(" + " + ".join(f"len(list_filter({sql_list(ws)}, lambda w: contains(low, lower(w))))" for ws in t.values()) + ")"
 _RH = lambda r: f"list_contains(roles, '{r}')"
 _IF = f"""{_BL}, i0 as (select *, {_KINDS(I.ROLES)} as roles, {_COUNT(I.ROLES)} as rh, {_KINDS(I.DOMAINS)} as domains, {_COUNT(I.DOMAINS)} as dh from bl),
 i1 as (select *, 0.30::double + {' + '.join(f"case when {_RH(r)} then {w}::double else 0 end" for r, w in I.ROLE_WEIGHTS.items())} + least(dh, 8) * 0.12::double + greatest(len(domains) - 1, 0) * 0.55::double + least(rh, 8) * 0.08::double
  + 0.55::double * least(1.0::double, len(regexp_extract_all(block, '[0-9]+(?:\\.[0-9]+)?')) * 0.12::double + len(list_filter(regexp_split_to_array(block, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z]{{2,}}'))) * 0.10::double + len(list_filter({sql_list(L.SYMBOLS)}, lambda s: contains(block, s))) * 0.12::double)
  + case when {_RH('tension')} and {_RH('bridge')} then 0.65::double else 0 end + case when {_RH('compression')} and {_RH('validation')} then 0.40::double else 0 end + case when {_RH('spark')} and ({_RH('tension')} or {_RH('bridge')}) then 0.55::double else 0 end as score
- from i0 where len(roles) > 0 or len(domains) > 0), inf as (select * from i1 where score >= 0.75)"""
+ from i0 where len(roles) > 0 or len(domains) > 0), inf as (select * replace (case when len(roles) = 0 then ['domain_evidence'] else roles end as roles) from i1 where score >= 0.75)"""
 _PART = lambda when, share: f"round(least(sum(case when {when} then score else 0 end), {I.CAP * share}::double), 6)"
 
 QUERIES = {

@@ -14,8 +14,8 @@ from ..operators import memory as M
 from ..operators import relations as R
 from ..operators import vectors as V
 from ..operators.recurrence import leaky_fold
-from ..tables import once, table
-from .common import NOTES, day_as_text, notes, sql_any, sql_list
+from ..tables import once, spread, table
+from .common import NOTES, arrivals, day_as_text, notes, sql_any, sql_list
 from .orphan_queries import term_key_sql
 from .text_queries import _norm, blocks_sql
 
@@ -97,8 +97,9 @@ def agg12_rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = E.note_blocks(notes(spark, sf_dir).select("note_id", "vault", "day", "text"), 6)
-    return M.observations(blocks)
+    """Notes that came twice are taken once among the observations."""
+    blocks = E.note_blocks(spread(arrivals(spark, sf_dir).select("note_id", "vault", "day", "text")), 6)
+    return M.observations(blocks).drop("block").dropDuplicates(["note_id", "block_index"])
 
 
 def ext1_observations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,9 @@ from .evidence_queries import ORACLE as EVIDENCE_ORACLE
 from .evidence_queries import _sums
 
 
+PROJECTS = ["agent"]
+
+
 def _drain(stream: DataFrame, path: str, mode: str) -> None:
     """Run a stream over all there is; each batch replaces (complete) or extends (append) the result."""
 
@@ -59,7 +62,7 @@ def str2_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def src8_file_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = table(spark, sf_dir, "note_observations").select("day")
-    return file_signals(table(spark, sf_dir, "files").select("path", "modified"), days)
+    return file_signals(table(spark, sf_dir, "files").select("path", "modified"), days, PROJECTS)
 
 
 def _feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +111,7 @@ ORACLE = {
 s as (select user_id, sum(n) over (partition by user_id order by ts, n desc rows unbounded preceding) as k from o), c as (select user_id, k, count(*) as events from s group by 1, 2) select user_id, count(*)::bigint as sessions, max(events)::bigint as longest from c group by 1""",
     "src8_file_signals": """with f as (select path, modified as day, lower(path) as p, regexp_extract(lower(path), '(\\.[^./]*)$', 1) as s from files),
 c as (select *, case when s in ('.csv', '.xlsx', '.xls', '.png', '.jpg', '.jpeg', '.svg') and regexp_matches(p, '实验|数据|wave|figure|plot|result') then 'Experiment' when s in ('.docx', '.tex', '.md', '.pdf') and regexp_matches(p, '论文|thesis|章节|盲审') then 'Thesis'
- when s in ('.pdf', '.docx') and regexp_matches(p, '简历|resume|cv') then 'Career' when s in ('.py', '.md', '.json') and regexp_matches(p, 'lif-memory') then 'AI_Memory' end as state from f)
+ when s in ('.pdf', '.docx') and regexp_matches(p, '简历|resume|cv') then 'Career' when s in ('.py', '.md', '.json') and contains(p, 'agent') then 'AI_Memory' end as state from f)
 select day, state, count(distinct path)::bigint as files from c where state is not null and day in (select day from note_observations) group by 1, 2""",
     "dec4_feedback": f"""with recursive {_FEED}, g as (select topic || '@' || strftime(date_trunc('week', day), '%Y-%m-%d') as topic, label, row_number() over (partition by topic || '@' || strftime(date_trunc('week', day), '%Y-%m-%d') order by seq, label) as r from f where topic is not null),
 e as (select topic, r, case label when 'useful' then -0.25::double when 'too_early' then 0.75::double when 'too_late' then -0.75::double else 0 end as d, case label when 'too_early' then 2 when 'done' then 7 else 0 end as le, case when label in ('useful', 'too_late') then -1 else 0 end as st from g),

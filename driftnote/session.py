@@ -44,17 +44,48 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/driftnote/{name}-{uuid.uuid4().hex[:12]}"
+    """A path of its own in the application's part of the shared folder, which is deleted when the driver ends."""
+    root = f"{shared_dir(spark)}/driftnote/{spark.sparkContext.applicationId}"
+    fs, p = file_system(spark, root)
+    if not fs.exists(p):
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
+    """Write ``df`` to the shared folder and read it again: lineage ends there, and a lost executor costs nothing.
+
+    The table stays until ``discard`` of the result, ``clean`` or the driver's end.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._driftnote_path = path
+    return written
+
+
+def discard(*tables: DataFrame | str) -> None:
+    """Delete tables that ``cut`` wrote, or paths: those that nothing will read any more."""
+    for t in tables:
+        path = t if isinstance(t, str) else t.__dict__.get("_driftnote_path")
+        if path:
+            fs, p = file_system(SparkSession.getActiveSession(), path)
+            fs.delete(p, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete everything that this application has written to the shared folder; results that weren't read yet can't be read afterwards."""
+    fs, p = file_system(spark, f"{shared_dir(spark)}/driftnote/{spark.sparkContext.applicationId}")
+    fs.delete(p, True)
 
 
 def ship(spark: SparkSession) -> None:

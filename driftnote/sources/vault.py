@@ -47,16 +47,22 @@ def scanned(vault: DataFrame, excluded: list[str] | None = None, most: int = 0)
     return rows.limit(most) if most else rows
 
 
-def file_signals(files: DataFrame, note_days: DataFrame) -> DataFrame:
-    """day, state, files: files (path, modified) that by suffix and words speak for a state, on days that have notes (a left-semi join)."""
+def file_signals(files: DataFrame, note_days: DataFrame, projects: list[str] | None = None) -> DataFrame:
+    """day, state, files: files (path, modified) that by suffix and words speak for a state, on days that have notes (a left-semi join).
+
+    ``projects``: words in the paths of the caller's own memory project; without any no file speaks for that state.
+    """
     p = F.lower("path")
     suffix = F.regexp_extract(p, r"(\.[^./]*)$", 1)
     holds = lambda ws: F.rlike(p, F.lit("|".join(ws)))
+    own = F.lit(False)
+    for w in projects or []:
+        own = own | F.contains(p, F.lit(w.lower()))
     state = (
         F.when(suffix.isin(".csv", ".xlsx", ".xls", ".png", ".jpg", ".jpeg", ".svg") & holds(["实验", "数据", "wave", "figure", "plot", "result"]), "Experiment")
         .when(suffix.isin(".docx", ".tex", ".md", ".pdf") & holds(["论文", "thesis", "章节", "盲审"]), "Thesis")
         .when(suffix.isin(".pdf", ".docx") & holds(["简历", "resume", "cv"]), "Career")
-        .when(suffix.isin(".py", ".md", ".json") & holds(["lif-memory"]), "AI_Memory")
+        .when(suffix.isin(".py", ".md", ".json") & own, "AI_Memory")
     )
     rows = files.select("path", F.col("modified").alias("day"), state.alias("state")).where("state is not null")
     return rows.join(note_days.select("day").distinct(), "day", "left_semi").groupBy("day", "state").agg(F.countDistinct("path").alias("files"))
