@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import keyed_rows, term_key
+from ..session import cut
 
 FLUSH = 400_000
 
@@ -55,24 +56,16 @@ def _counters(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[pa.Reco
         rows, codes, keys = keyed_rows(batch.column(1), term_key)
         ok = new[rows]
         rows, codes = rows[ok], codes[ok]
-        # two spellings of one key get one code
-        place: dict[str, int] = {}
-        remap = np.array([place.setdefault(k, len(place)) if k is not None else -1 for k in keys] or [0], np.int64)
-        codes = remap[codes] if len(codes) else codes
-        order = np.argsort(codes, kind="stable")
-        c, r = codes[order], rows[order]
-        fresh = np.ones(len(c), bool)  # the counter's last record is another one
-        fresh[1:] = (c[1:] != c[:-1]) | (r[1:] != r[:-1])
-        occurrences = np.bincount(c, minlength=len(place))
-        held = np.bincount(c[fresh], minlength=len(place))
-        for key, j in place.items():
-            if occurrences[j]:
-                counter = seen.setdefault(key, [0, 0, -1])
-                counter[0] += int(occurrences[j])
-                counter[1] += int(held[j])
-                counter[2] = number
+        # two spellings of one key share a counter
+        counters = [seen.setdefault(k, [0, 0, -1]) if k is not None else None for k in keys]
+        for code, record in zip(codes.tolist(), (rows + number).tolist()):
+            counter = counters[code]
+            counter[0] += 1
+            if counter[2] != record:  # the last record that held it is another one
+                counter[1] += 1
+                counter[2] = record
         number += n
-        if len(seen) >= flush:
+        if len(seen) >= flush:  # records don't span batches' ends: later arrivals of one are passed over
             yield out()
             seen, records = {}, 0
     yield out()
@@ -91,10 +84,11 @@ def term_frequencies(df: DataFrame, id_column: str, terms: str, arrived: str | N
     # null ids carry no key to share, so they are spread
     spread = F.when(F.col("id").isNull(), F.xxhash64("terms")).otherwise(F.xxhash64("id"))
     rows = rows.repartition(spread).sortWithinPartitions(*order).select("id", "terms")
-    partial = rows.mapInArrow(lambda it: _counters(it, flush), "term string, occurrences bigint, records bigint")
-    sums = partial.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-    # the null term is the count of all records: one row, so this broadcast has a fixed size
-    total = sums.where("term is null").select(F.col("records").alias("n_records"))
-    named = sums.where("term is not null").crossJoin(F.broadcast(total))
+    # written once: the records' number and the terms' counts both read it
+    partial = cut(rows.mapInArrow(lambda it: _counters(it, flush), "term string, occurrences bigint, records bigint"), "counters")
+    named = partial.where("term is not null").groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    # the null term counts all records: a single number
+    total = partial.where("term is null").agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    named = named.withColumn("n_records", F.lit(total).cast("bigint"))
     mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") * common_one_in >= F.col("n_records"), "common")
     return named.withColumn("mark", mark)

@@ -1,9 +1,10 @@
 """Filling containers of fixed capacity with texts measured in tokens.
 
 Pattern packing by non-negative least squares. The sizes of all pieces form a histogram with at most ``capacity`` entries, whatever
-the number of texts. Patterns of up to three sizes (in bins, rounded up) that fill a container are enumerated, their repeat counts
-fitted to the histogram by non-negative least squares and rounded down; what they don't cover is packed by best fit, decreasing, first into the room
-the patterns leave and then into new containers, a whole run of equal sizes at a time. So the plan is made on the driver from the bounded histogram
+the number of texts. Patterns of up to four bins of sizes that fill a container are enumerated, their repeat counts fitted to the histogram by
+non-negative least squares and rounded down. A pattern takes the greatest sizes there are of its bins, and for the last two of them a pair that fills the container to the last token;
+one that can't be filled so any more is left. The fit is repeated on what remains until no pattern is filled; what the patterns don't cover is packed by best fit, decreasing, a whole run of equal sizes at a time.
+As no container of a pattern has room left, they cost nothing against best fit alone. So the plan is made on the driver from the bounded histogram
 alone, in time that doesn't grow with the texts. Each piece is then numbered within its size, and looks its container up in the plan.
 
 Scale: counting tokens is a scan; the numbering sorts within (size, salt), so one size may hold a third of all texts; the plan (a few entries
@@ -13,11 +14,13 @@ for each size) goes to the tasks, and assigning is a map over the numbered piece
 from __future__ import annotations
 
 import base64
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,11 +43,16 @@ def tokenizer(path: str):
 
 
 def token_pieces(df: DataFrame, id_column: str, text: str, capacity: int, path: str = TOKENIZER) -> DataFrame:
-    """id, piece, size: the tokens of each text; a text longer than the capacity is cut into full pieces and a rest. Null texts have none."""
+    """id, piece, size: the tokens of each text; a text longer than the capacity is cut into full pieces and a rest. Null texts have none.
+
+    ``path`` is read by the driver, which sends the file along with the job: executors need not have it.
+    """
     kind = df.schema[id_column].dataType.simpleString()
+    df.sparkSession.sparkContext.addFile(path)
+    name = path.rstrip("/").rpartition("/")[2]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode_ordinary
+        encode = tokenizer(SparkFiles.get(name)).encode_ordinary
         for batch in batches:
             sizes = np.fromiter((len(encode(t)) for t in batch.column(1).to_pylist()), np.int64, batch.num_rows)
             n = np.maximum(1, -(-sizes // capacity))
@@ -56,17 +64,20 @@ def token_pieces(df: DataFrame, id_column: str, text: str, capacity: int, path:
     return df.where(F.col(text).isNotNull()).select(id_column, text).mapInArrow(count, f"id {kind}, piece int, size int")
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """x >= 0 with the least |a x - b|, by active sets."""
+def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x >= 0 with the least |a x - b|, by active sets: until no column would lower it, or none does any more."""
     x, right = np.zeros(a.shape[1]), a.T @ b
     at: list[int] = []  # the passive columns, and their products with each other
     gram = np.zeros((0, 0))
-    for _ in range(rounds):
-        w = right - a.T @ (a @ x)
+    least = np.inf
+    while True:
+        rest = b - a @ x
+        w = a.T @ rest
         w[at] = -np.inf
         j = int(w.argmax())
-        if w[j] <= 1e-7 * max(1.0, np.abs(b).max()):
+        if w[j] <= 1e-7 * max(1.0, np.abs(b).max()) or rest @ rest >= least:
             break
+        least = (rest @ rest) * (1 - 1e-12)
         cross = a[:, at].T @ a[:, j] if at else np.zeros(0)
         own = a[:, j] @ a[:, j] + 1e-9  # patterns may depend on each other
         gram = np.block([[gram, cross[:, None]], [cross[None, :], np.array([[own]])]])
@@ -88,7 +99,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
     return x
 
 
-def patterns(bins: int, most: int = 3) -> list[tuple[int, ...]]:
+def patterns(bins: int, most: int = 4) -> list[tuple[int, ...]]:
     """Every multiset of up to ``most`` bins, in falling order, that adds up to ``bins``."""
     out: list[tuple[int, ...]] = []
 
@@ -103,50 +114,68 @@ def patterns(bins: int, most: int = 3) -> list[tuple[int, ...]]:
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int, width: int | None = None, most: int = 3) -> list[tuple[tuple[int, ...], int]]:
-    """(sizes, containers): how many containers hold pieces of these sizes. Sizes are from 1 to the capacity; the plan holds every piece."""
-    width = width or max(1, capacity // 256)
+def _fitted(left: dict[int, int], every: list[tuple[int, ...]], bins: int, width: int, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Groups of containers that patterns fill to the last token, taken out of ``left``: repeat counts are fitted to what is left, rounded down, and filled with sizes of the bins."""
+    target = np.zeros(bins)
+    for size, n in left.items():
+        if n and -(-size // width) <= bins:
+            target[-(-size // width) - 1] += n
+    used = [p for p in every if all(target[b - 1] > 0 for b in p)]
+    if not used:
+        return []
+    a = np.zeros((bins, len(used)))
+    for j, p in enumerate(used):
+        np.add.at(a[:, j], np.array(p) - 1, 1)
+    repeats, groups = nnls(a, target), []
+
+    def of(b: int, most: int, taken: Counter) -> Iterator[int]:
+        """The sizes of a bin that are left, the greatest first."""
+        return (x for x in range(min(b * width, most), (b - 1) * width, -1) if left.get(x, 0) > taken[x])
+
+    for j in np.argsort(-repeats, kind="stable").tolist():
+        repeat, pattern = int(repeats[j] + 1e-9), used[j]
+        while repeat > 0:
+            taken: Counter = Counter()
+            room = capacity
+            for b in pattern[:-2]:
+                if (size := next(of(b, room, taken), None)) is None:
+                    break
+                taken[size] += 1
+                room -= size
+            if sum(taken.values()) < len(pattern) - 2:
+                break
+            # the last two together fill what is left
+            pair = next(((x, room - x) for x in of(pattern[-2], room - 1, taken) if left.get(room - x, 0) > taken[room - x] + (2 * x == room)), None) if len(pattern) > 1 else None
+            if pair is None:
+                break
+            taken.update(pair)
+            n = min(repeat, *(left[x] // k for x, k in taken.items()))  # as many at once as all of them last
+            for x, k in taken.items():
+                left[x] -= n * k
+            groups.append((tuple(sorted(taken.elements(), reverse=True)), n))
+            repeat -= n
+    return groups
+
+
+def plan(histogram: dict[int, int], capacity: int, width: int | None = None, most: int = 4) -> list[tuple[tuple[int, ...], int]]:
+    """(sizes, containers): how many containers hold pieces of these sizes. Sizes are from 1 to the capacity; the plan holds every piece.
+
+    Where lengths leave no small pieces, filling by patterns may need more containers than best fit alone would; then the plan is that of best fit, so it never has more.
+    """
+    width = width or max(1, capacity // 64)
     left = {s: n for s, n in histogram.items() if n > 0}
-    groups: list[tuple[tuple[int, ...], int]] = []
-    if left.get(capacity):
-        groups.append(((capacity,), left.pop(capacity)))
+    full = [((capacity,), left.pop(capacity))] if left.get(capacity) else []
+    rest, groups = dict(left), list(full)
     bins = capacity // width
-    queue: dict[int, list[int]] = {}
-    for s in sorted(left, reverse=True):
-        queue.setdefault(-(-s // width), []).append(s)
-    target = np.zeros(bins)
-    for b, sizes in queue.items():
-        if b <= bins:
-            target[b - 1] = sum(left[s] for s in sizes)
-    if target.any():
-        used = [p for p in patterns(bins, most) if all(target[b - 1] > 0 for b in p)]
-        if used:
-            a = np.zeros((bins, len(used)))
-            for j, p in enumerate(used):
-                for b in p:
-                    a[b - 1, j] += 1
-            for j in np.argsort(-(x := nnls(a, target)), kind="stable").tolist():
-                repeat = int(x[j] + 1e-9)
-                while repeat > 0:
-                    # the largest exact size left in each bin of the pattern; as many containers at once as all of them last
-                    take: dict[int, int] = {}
-                    sizes = []
-                    for b in used[j]:
-                        s = next((s for s in queue[b] if left.get(s, 0) > take.get(s, 0)), None)
-                        if s is None:
-                            break
-                        take[s] = take.get(s, 0) + 1
-                        sizes.append(s)
-                    if len(sizes) < len(used[j]):
-                        break
-                    n = min(repeat, *(left[s] // k for s, k in take.items()))
-                    if n == 0:
-                        break
-                    for s, k in take.items():
-                        left[s] -= n * k
-                    groups.append((tuple(sizes), n))
-                    repeat -= n
-    # best fit, decreasing, of what is left: rooms[r] are groups with that much room
+    every = patterns(bins, most)
+    while fitted := _fitted(rest, every, bins, width, capacity):
+        groups += fitted
+    by_patterns, by_fit = _best_fit(groups, rest, capacity), _best_fit(full, left, capacity)
+    return min(by_patterns, by_fit, key=lambda groups: sum(n for _, n in groups))
+
+
+def _best_fit(groups: list[tuple[tuple[int, ...], int]], left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The groups with what is left added, best fit, decreasing, first into the room that they leave."""
     rooms: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     for sizes, n in groups:
         rooms.setdefault(capacity - sum(sizes), []).append((sizes, n))

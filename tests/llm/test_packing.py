@@ -28,6 +28,16 @@ def test_plans():
     check(P.plan({6: 9}, 10), {6: 9}, 10)
 
 
+def test_no_more_than_best_fit():
+    r = Random(3)
+    for repeat in (1, 10):
+        for draw in (lambda: int(r.lognormvariate(6, 1)), lambda: r.randint(400, 2048), lambda: r.choice([700, 650, 33, 5])):
+            h = Counter(min(2048, max(1, draw())) for _ in range(3000))
+            h = Counter({s: n * repeat for s, n in h.items()})
+            alone = P._best_fit([], {s: n for s, n in h.items()}, 2048)
+            assert check(P.plan(h, 2048), h, 2048) <= check(alone, h, 2048)
+
+
 def test_nnls():
     a, x = np.array([[1.0, 0, 1], [0, 1, 1]]), np.array([2.0, 0, 3])
     got = P.nnls(a, a @ x)
