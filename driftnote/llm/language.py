@@ -4,8 +4,8 @@ The model is averaged hashed subword embeddings with a linear softmax: every cha
 the text (NFKC, lower case) is hashed into one of 2**16 rows of an embedding table, the rows are averaged, and a linear
 layer turns the average into a language. Table and layer are trained together by stochastic gradient descent in numpy,
 on a bounded sample of labelled texts; rows that the first model firmly contradicts (wrong labels) are left out of the
-second. A temperature, fitted on held-out rows, calibrates the confidence, and the least confidence that keeps
-the held-out precision is the rejection threshold.
+second's training. Documents are held out whole, with all of their rows, rightly labelled or not: they give the temperature that calibrates the confidence, together with the share of wrong
+labels among them, and the rejection threshold, the least confidence above which the model is right as often as asked for.
 
 Being linear, table and layer fold into one table of a score per n-gram and language, so a text is scored by lookups
 and a sum: additive, in blocks of fixed size, over the whole text however long it is. Scoring is one pass over the
@@ -18,7 +18,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cache
 
 import numpy as np
@@ -87,6 +87,9 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float = 1.0
     reject_below: float = 0.0
+    wrong_labels: float = 0.0
+    #: of the held-out rows by confidence: (from, to, rows, mean confidence, share whose label the model gives)
+    reliability: list[tuple[float, float, int, float, float]] = field(default_factory=list)
 
     def logits(self, texts: list[str]) -> np.ndarray:
         """One row for each text; a text of under two characters gets the bias."""
@@ -146,21 +149,45 @@ def _descend(bags: list[np.ndarray], labels: np.ndarray, k: int, dim: int, epoch
     return table, layer, bias
 
 
-def train(texts: list[str], labels: list[str], dim: int = 10, epochs: int = 10, rate: float = 1.0, window: int = 300, precision: float = 0.99, seed: int = 7) -> LanguageModel:
+def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The temperature and the share of wrong labels under which held-out logits give their labels best.
+
+    A label is the text's language, or with the share of wrong labels any other. One row more stands in whose language the model gets wrong by a middling margin, so a model
+    without errors isn't certain of everything.
+    """
+    k = z.shape[1]
+    if k < 2 or not len(z):
+        return 1.0, 0.0
+    order = np.argsort(z, axis=1)
+    rows = np.arange(len(z))
+    middle = np.argsort(z[rows, order[:, -1]] - z[rows, order[:, -2]])[len(z) // 2]
+    z, y = np.vstack([z, z[middle]]), np.r_[y, order[middle, -2]]
+    doubtful = np.arange(len(z)) == len(z) - 1
+    best = (np.inf, 1.0, 0.0)
+    for t in np.geomspace(0.002, 5, 60):
+        q = np.exp(z / t - (z / t).max(axis=1, keepdims=True))
+        own = (q / q.sum(axis=1, keepdims=True))[np.arange(len(z)), y]
+        for wrong in (0.0, 0.002, 0.005, *np.arange(0.01, 0.31, 0.01)):
+            p = np.where(doubtful, own, (1 - wrong) * own + wrong * (1 - own) / (k - 1))
+            best = min(best, (float(-np.log(np.maximum(p, 1e-300)).mean()), float(t), float(wrong)))
+    return best[1], best[2]
+
+
+def train(texts: list[str], labels: list[str], documents: list[int] | None = None, dim: int = 10, epochs: int = 10, rate: float = 1.0, window: int = 300, precision: float = 0.99, seed: int = 7) -> LanguageModel:
     """Fit a model on labelled texts of at least two characters, some of whose labels may be wrong.
 
-    A fifth of the rows is held out for the temperature and the rejection threshold. ``window`` characters from the middle of each
-    text are trained on; scoring reads whole texts. With no usable text at all a ValueError is raised.
+    A fifth of the documents (``documents``: the one of each text; else each is its own) is held out for the temperature, the rejection threshold and the reliability. ``window`` characters from the
+    middle of each text are trained on; scoring reads whole texts. With no usable text at all a ValueError is raised.
     """
-    rows = [(t, y) for t, y in zip(texts, labels) if t and len(t) >= 3 and y]
+    rows = [(t, y, d) for t, y, d in zip(texts, labels, documents or range(len(texts))) if t and len(t) >= 3 and y]
     if not rows:
         raise ValueError("no labelled text to train on")
-    languages = sorted({y for _, y in rows})
+    languages = sorted({y for _, y, _ in rows})
     number = {y: i for i, y in enumerate(languages)}
-    mid = [t[max(0, len(t) // 2 - window // 2) :][:window] for t, _ in rows]
-    bags, y = _bags(mid), np.array([number[v] for _, v in rows])
-    rng = np.random.default_rng(seed)
-    held = rng.random(len(rows)) < 0.2
+    mid = [t[max(0, len(t) // 2 - window // 2) :][:window] for t, _, _ in rows]
+    bags, y = _bags(mid), np.array([number[v] for _, v, _ in rows])
+    _, document = np.unique(np.array([d for _, _, d in rows]), return_inverse=True)
+    held = (np.random.default_rng(seed).random(document.max() + 1) < 0.2)[document]
     if held.all() or not held.any() or len(rows) < 20:
         held[:] = False
     keep = ~held
@@ -172,46 +199,44 @@ def train(texts: list[str], labels: list[str], dim: int = 10, epochs: int = 10,
 
     m = model(keep)
     got, sure = m.predict(mid)
-    wrong = (got != y) & (sure > 0.5)
-    if wrong.any() and (keep & ~wrong).any() and len(np.unique(y[keep & ~wrong])) == len(np.unique(y)):
+    wrong = keep & (got != y) & (sure > 0.5)
+    if wrong.any() and len(np.unique(y[keep & ~wrong])) == len(np.unique(y)):
         m = model(keep & ~wrong)
     if held.any():
-        at = np.flatnonzero(held & ~wrong)
-        z = m.logits([mid[i] for i in at])
-        best = (np.inf, 1.0)
-        # as many errors as were made and one more: without it a model without errors would be certain of everything
-        doubt = (1 + int((z.argmax(axis=1) != y[at]).sum())) / (len(at) + 2)
-        for t in np.geomspace(0.002, 5, 60):
-            q = z / t - (z / t).max(axis=1, keepdims=True)
-            q = q - np.log(np.exp(q).sum(axis=1, keepdims=True))
-            own = q[np.arange(len(at)), y[at]]
-            loss = -np.mean((1 - doubt) * own + doubt * (q.sum(axis=1) - own) / max(1, len(languages) - 1)) if len(at) else 0.0
-            best = min(best, (loss, t))
-        m.temperature = float(best[1])
+        at = np.flatnonzero(held)
+        m.temperature, m.wrong_labels = calibrated(m.logits([mid[i] for i in at]), y[at])
         got, sure = m.predict([mid[i] for i in at])
+        agreed = got == y[at]
         order = np.argsort(-sure)
-        right = np.cumsum((got == y[at])[order]) / np.arange(1, len(at) + 1)
+        # of labels that are wrong in part the model can only meet the others
+        right = np.cumsum(agreed[order]) / np.arange(1, len(at) + 1) / (1 - m.wrong_labels)
         good = np.flatnonzero(right >= precision)
         # never below an even chance
         m.reject_below = max(0.5, float(sure[order][good[-1]]) if len(good) and good[-1] + 1 < len(at) else 0.0)
+        edges = [0.0, 0.5, 0.7, 0.8, 0.9, 0.95, 0.99, 1.0 + 1e-9]
+        for low, high in zip(edges, edges[1:]):
+            own = (sure >= low) & (sure < high)
+            if own.any():
+                m.reliability.append((low, min(high, 1.0), int(own.sum()), float(sure[own].mean()), float(agreed[own].mean())))
     return m
 
 
-def labelled_sample(documents: DataFrame, id_column: str, text: str, language: Column, rows: int = SAMPLE_ROWS, most: int = SAMPLE_SEGMENTS) -> tuple[list[str], list[str]]:
-    """Segments of at most ``rows`` labelled documents, those with the least hash of their id, and their labels: at most ``most`` of a label and four of a document."""
+def labelled_sample(documents: DataFrame, id_column: str, text: str, language: Column, rows: int = SAMPLE_ROWS, most: int = SAMPLE_SEGMENTS) -> tuple[list[str], list[str], list[int]]:
+    """Segments of at most ``rows`` labelled documents, those with the least hash of their id, their labels, and the document of each: at most ``most`` of a label and four of a document."""
     usable = documents.select(F.col(text).alias("text"), language.alias("language"), F.xxhash64(id_column).alias("h")).where("language is not null and text is not null and length(text) >= 40")
     # hashes are spread evenly: below this bound lie about twice as many as are wanted, so what reaches the driver doesn't grow with the number of tasks
     share = min(1.0, 2.0 * rows / max(1, documents.select(language.alias("language")).where("language is not null").count()))
     bound = min(2**63 - 1, int(-(2**63) + share * 2**64))
     picked = usable.where(F.col("h") <= F.lit(bound)).orderBy("h", "text").limit(rows).select("text", "language").collect()
-    texts, labels, have = [], [], Counter()
-    for t, y in picked:
+    texts, labels, own, have = [], [], [], Counter()
+    for i, (t, y) in enumerate(picked):
         for _, _, piece in segments(t)[:4]:
             if have[y] < most:
                 have[y] += 1
                 texts.append(piece)
                 labels.append(y)
-    return texts, labels
+                own.append(i)
+    return texts, labels, own
 
 
 def detect_languages(df: DataFrame, id_column: str, text: str, model: LanguageModel, named: str | None = None) -> DataFrame:

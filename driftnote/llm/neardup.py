@@ -1,25 +1,28 @@
 """Near-duplicate texts by a generalised pigeonhole over partitions of a binary code.
 
-A text's key becomes the set of its three-character substrings, the set a binary code: min-wise values (one-permutation
-hashing, several functions of 32 bins each), whose bits agree or differ together and so always share a partition. Several values, of different
-functions, make up a partition. Two codes whose sets have a Jaccard similarity s agree in a value with probability s, so a partition of w values differs in at most t of
-them with a known probability, and the misses of the partitions multiply. That gives the pigeonhole's budget: the thresholds t (-1: the partition is not
-probed; 0: all values agree; 1: one may differ) must together leave at most ``miss`` of the pairs at the threshold unfound. Dynamic programming
-allocates them: of all allocations within the budget the one with the least estimated cost, from the number of signatures and the number of
-candidates that each partition gives in all the data (a signed count sketch of every record).
-
-Probing: each record leaves one signature for each probed partition, in hash buckets; records of a bucket with equal signatures are candidates.
-Verifying: candidates are made distinct and their similarity computed from the keys.
-
-Scale: copies of one key are represented once, by the least id. Signatures travel as packed arrays, one row for each batch and bucket, so the JVM sorts
-buckets, not signatures; the number of buckets follows the number of records. A signature shared by more than ``HOT`` records isn't paired off: its
-records are searched again among themselves with fresh functions, and only groups that stay together through ``DEPTH`` such searches (which are
-almost surely alike) are paired, in a join. Nothing is capped or dropped.
+A text's key becomes the set of its three-character substrings, the set a binary code: min-wise values (one-permutation hashing, several functions of 32 bins
+each), whose bits agree or differ together. Two codes whose sets have a Jaccard similarity s agree in a value with probability s.
+
+1. Grouping. Which values agree together is measured over all records: how many records of its batch share each value of a record, and how these numbers go together
+   from value to value. Boilerplate makes some values agree in many records at once; correlated ones are grouped into one partition, so what many records share ends up
+   in few partitions and the others tell records apart.
+2. Allocating. The candidates that each partition gives, with all of its values equal (threshold 0) or all but one (1), are estimated over all records. A
+   partition of w values differs in at most t of them with a known probability, and the misses of the partitions multiply: the budget is that they leave at most
+   ``miss`` of the pairs at the threshold unfound. Dynamic programming gives each partition its threshold (-1: not probed), at the least cost in candidates and
+   signatures.
+3. Probing. Each record leaves a signature for each way to meet a partition's threshold, in hash buckets; records of a bucket with equal signatures are candidates.
+4. Verifying. Candidates are made distinct and their similarity computed from the keys.
+
+Scale: copies of one key are represented once, by the least id. Signatures travel as packed arrays, six bytes each, one row for each batch and bucket, so the JVM sorts
+buckets, not signatures; buckets grow with the records, what a batch sends doesn't. A signature of very many records is known from the estimate and never enters a bucket, one shared by more
+than ``HOT`` isn't paired off there: its records are searched again among themselves with fresh functions, and groups that stay together through ``DEPTH`` such
+searches (which are almost surely alike) are compared in pairs of blocks, each a task of its own that gives off similar pairs only. Nothing is capped or dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import ceil, comb, log
 
 import numpy as np
@@ -28,13 +31,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, discard
 
 BINS = 32
 SLOTS = 1024
+VALUE_SLOTS = 4096
 HOT = 256
 DEPTH = 2
+BLOCK = 2000
 BUCKET_SIGNATURES = 1_500_000
+PAIRS_AT_ONCE = 500_000
+#: a signature of one record in so many or more is kept out of the buckets
+OFTEN = 128
+#: fewer records of a batch are not looked at for that
+FEW = 8
+#: in pairs that are compared: what a signature of a record costs, its share of a sort, beside a candidate with its part in two joins
+SIGNATURE_COST = 0.1
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -81,42 +93,71 @@ def values(codes: np.ndarray, row: np.ndarray, n: int, functions: range, seed: i
     return out.reshape(n, -1)
 
 
+def _mix64(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 class Partitions:
-    """Partitions of the code: each takes values of different functions."""
-
-    def __init__(self, functions: int = 12, width: int = 5, seed: int = 0):
-        self.functions, self.width, self.seed = functions, width, seed
-        rng = np.random.default_rng(101 + seed)
-        bins = np.stack([rng.permutation(BINS) for _ in range(functions)])
-        flat = [f * BINS + int(bins[f, i]) for i in range(BINS) for f in range(functions)]  # neighbours come from different functions
-        self.columns = [flat[i : i + width] for i in range(0, len(flat) - width + 1, width)]
-
-    def signatures(self, v: np.ndarray, scope: np.ndarray, part: int, drop: int | None = None) -> np.ndarray:
-        """A 64-bit signature of a partition's values (but the one at place ``drop``), of the scope and of which partition it is."""
-        h = scope + np.uint64((0x9E3779B97F4A7C15 * (part * 16 + 1 + (0 if drop is None else drop + 1)) + self.seed) & 0xFFFFFFFFFFFFFFFF)
-        for i, c in enumerate(self.columns[part]):
-            if i != drop:
-                h = (h ^ v[:, c]) * np.uint64(0xD6E8FEB86659FD93)
-                h ^= h >> np.uint64(32)
-        return h * np.uint64(0xBF58476D1CE4E5B9)
-
-
-def allocate(candidates: list[float], wider: list[float], width: int, threshold: float, miss: float, signature_cost: float) -> list[int]:
-    """The threshold of each partition: -1, 0 or 1.
-
-    candidates: the estimated candidates of each at 0; wider: at 1. Dynamic programming over the budget -log(miss), in 400 steps: the least sum of candidates and of
-    ``signature_cost`` for each signature of all records.
+    """Partitions of the code: each takes ``width`` values."""
+
+    def __init__(self, columns: list[list[int]], functions: int, seed: int = 0):
+        self.columns, self.functions, self.seed = columns, functions, seed
+        self.width = len(columns[0])
+
+    def mixed(self, keys: list[str]) -> np.ndarray:
+        """(records, partitions, values): a 64-bit hash of each value, whose sums are signatures."""
+        codes, row = gram_codes(keys)
+        v = values(codes, row, len(keys), range(self.functions), self.seed)
+        at = np.array(self.columns)
+        salted = v[:, at.ravel()].astype(np.uint64) + (at.ravel().astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        return _mix64(salted).reshape(len(keys), *at.shape)
+
+    def signatures(self, mixed: np.ndarray, scope: np.ndarray, part: int, drop: int | None = None) -> np.ndarray:
+        """A signature of a partition's values (but the one at place ``drop``), of the scope and of which partition it is."""
+        h = mixed[:, part].sum(axis=1)
+        if drop is not None:
+            h = h - mixed[:, part, drop]
+        own = np.uint64(((part * 16 + 1 + (0 if drop is None else drop + 1)) * 0xD6E8FEB86659FD93 + self.seed) & 0xFFFFFFFFFFFFFFFF)
+        return _mix64(h + _mix64(scope + own))
+
+
+def grouped(correlation: np.ndarray, level: np.ndarray, width: int) -> list[list[int]]:
+    """Partitions of ``width`` columns each: the column left that agrees most often, with those that are most correlated with the ones taken."""
+    rest, out = set(range(len(level))), []
+    while len(rest) >= width:
+        part = [max(rest, key=lambda c: (level[c], -c))]
+        rest.discard(part[0])
+        while len(part) < width:
+            near = correlation[part].sum(axis=0)
+            part.append(max(rest, key=lambda c: (near[c], -c)))
+            rest.discard(part[-1])
+        out.append(part)
+    return out
+
+
+def passes(width: int, t: int, similarity: float) -> float:
+    """The probability that at most ``t`` of a partition's values differ."""
+    return sum(comb(width, k) * similarity ** (width - k) * (1 - similarity) ** k for k in range(t + 1))
+
+
+def allocate(candidates: list[list[float]], width: int, threshold: float, miss: float, signature_cost: float) -> list[int]:
+    """The threshold of each partition, from -1 up; candidates: the estimated ones of each partition at 0, 1 and so on.
+
+    Dynamic programming over the budget -log(miss), in 400 steps: the least sum of candidates and of ``signature_cost`` for each signature of all records. A budget that no
+    allocation meets raises a ValueError.
     """
-    passes = {0: threshold**width, 1: threshold**width + comb(width, 1) * threshold ** (width - 1) * (1 - threshold)}
     steps = 400
     unit = -log(miss) / steps
-    gain = {t: int(-log(1 - p) / unit) for t, p in passes.items()}
+    gain = [int(-log(1 - passes(width, t, threshold)) / unit) for t in range(len(candidates[0]))]
     best = np.full(steps + 1, np.inf)
     best[0] = 0.0
     came: list[list[tuple[int, int]]] = []  # for each partition and level: the threshold taken and the level before it
-    for c0, c1 in zip(candidates, wider):
+    for costs in candidates:
         new, how = best.copy(), [(-1, level) for level in range(steps + 1)]
-        for t, cost in ((0, c0 + signature_cost), (1, c1 + signature_cost * width)):
+        for t, cost in enumerate(costs):
+            cost = cost + signature_cost * comb(width, t)
             for level in np.flatnonzero(np.isfinite(best)).tolist():
                 to = min(steps, level + gain[t])  # the last level stands for any more
                 if best[level] + cost < new[to]:
@@ -124,7 +165,7 @@ def allocate(candidates: list[float], wider: list[float], width: int, threshold:
         best = new
         came.append(how)
     if not np.isfinite(best[steps]):
-        return [0] * len(candidates)  # the budget is out of reach: probe everything
+        raise ValueError("these partitions can't keep the misses within the budget: more functions are needed")
     out, level = [], steps
     for how in reversed(came):
         t, level = how[level]
@@ -132,6 +173,12 @@ def allocate(candidates: list[float], wider: list[float], width: int, threshold:
     return out[::-1]
 
 
+def functions_for(width: int, threshold: float, miss: float, least: int) -> int:
+    """As many functions as keep the misses within the budget twice over with thresholds of 1, and at least ``least``."""
+    needed = -log(miss) / -log(1 - passes(width, 1, threshold))
+    return max(least, ceil(2 * needed * width / BINS))
+
+
 def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str]]:
     rec = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
     scope = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
@@ -151,127 +198,254 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 8192) -> Iterator[pa.
             at = end
 
 
-def estimated(reps: DataFrame, parts: Partitions) -> tuple[list[float], float]:
-    """The candidates of each partition over all records, and how many times more a partition has with one value less."""
-    n_parts = len(parts.columns)
+def _added(df: DataFrame) -> DataFrame:
+    """Rows (at, s, sums) of every task added up by ``at`` and ``s``."""
+
+    def add(t: pa.Table) -> pa.Table:
+        first = t.slice(0, 1)
+        return pa.table({"at": first.column("at"), "s": first.column("s"), "sums": pa.array([np.sum([np.array(x) for x in t.column("sums").to_pylist()], axis=0)], pa.list_(pa.float64()))})
+
+    return df.groupBy("at", "s").applyInArrow(add, "at int, s bigint, sums array<double>")
+
+
+def _sums(rows: dict[int, np.ndarray], probe: int = 0, often: np.ndarray | None = None, counts: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows of sums by number, or the counts of a probe's signatures with a negative number."""
+    at, s, sums = list(rows), [0] * len(rows), list(rows.values())
+    if often is not None:
+        at, s, sums = [-1 - probe] * len(often), often.view(np.int64), [[float(c)] for c in counts]
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(s, pa.int64()), pa.array(sums, pa.list_(pa.float64()))], names=["at", "s", "sums"])
+
+
+def correlations(reps: DataFrame, functions: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The correlation of the code's values with each other, and how often each is shared, over all records: for each record and value the logarithm of how many
+    records of its batch have the same one."""
+    n_columns = functions * BINS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, seen = np.zeros((n_parts + 1, SLOTS), np.int64), 0
+        products, sums, n = np.zeros((n_columns, n_columns)), np.zeros(n_columns), 0
+        base = np.arange(n_columns, dtype=np.int64) * VALUE_SLOTS
         for batch in _slices(batches):
-            _, scope, keys = _unpacked(batch)
+            keys = batch.column(2).to_pylist()
             codes, row = gram_codes(keys)
-            v = values(codes, row, len(keys), range(parts.functions), parts.seed)
-            for p in range(n_parts + 1):
-                s = parts.signatures(v, scope, p) if p < n_parts else parts.signatures(v, scope, 0, 0)
-                sign = np.where((s >> np.uint64(20)) & np.uint64(1), 1.0, -1.0)
-                sums[p] += np.bincount((s >> np.uint64(54)).astype(np.int64), sign, SLOTS).astype(np.int64)
-            seen += len(keys)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_parts + 2), pa.int32()), pa.array([*map(list, sums), [seen]], pa.list_(pa.int64()))], names=["part", "sums"])
+            slots = (values(codes, row, len(keys), range(functions), seed) % np.uint32(VALUE_SLOTS)).astype(np.int64) + base
+            shared = np.log(np.maximum(np.bincount(slots.ravel(), minlength=n_columns * VALUE_SLOTS), 1).astype(np.float32))[slots]
+            products += shared.T @ shared
+            sums += shared.sum(axis=0)
+            n += len(keys)
+        yield _sums({c: np.r_[products[c], sums[c], n] for c in range(n_columns)})
+
+    # as many rows as there are values, whatever the number of records
+    rows = {r[0]: r[1] for r in _added(reps.select("rec", "scope", "key").mapInArrow(count, "at int, s bigint, sums array<double>")).select("at", "sums").collect()}
+    table = np.array([rows[c] for c in range(n_columns)]) if rows else np.zeros((n_columns, n_columns + 2))
+    n = max(1.0, table[0, -1])
+    mean = table[:, -2] / n
+    covariance = table[:, :n_columns] / n - np.outer(mean, mean)
+    spread = np.sqrt(np.maximum(np.diag(covariance), 1e-12))
+    return covariance / np.outer(spread, spread), mean
 
-    def add(t: pa.Table) -> pa.Table:
-        total = np.sum([np.array(x) for x in t.column("sums").to_pylist()], axis=0)
-        # the second moment, as the sketch has it; for the last row the number of records
-        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "moment": pa.array([float((total.astype(float) ** 2).sum()) if len(total) > 1 else float(total[0])])})
 
-    moments = dict(reps.select("rec", "scope", "key").mapInArrow(count, "part int, sums array<bigint>").groupBy("part").applyInArrow(add, "part int, moment double").collect())
-    n = moments.pop(n_parts + 1)
-    pairs = [max(0.0, (moments[p] - n) / 2) for p in range(n_parts)]
-    noise = max(1.0, n * (2 / SLOTS) ** 0.5)  # a difference below it means nothing
-    wider = max(0.0, (moments[n_parts] - n) / 2)
-    return pairs, max(4.0, wider / max(pairs[0], noise))
+def _ways(parts: Partitions, t: int) -> list[int | None]:
+    """The values left out to meet a threshold: none, or each in turn."""
+    return [None] if t == 0 else list(range(parts.width))
 
 
-def _emitter(parts: Partitions, thresholds: list[int], buckets: int):
-    probes = [(p, d) for p, t in enumerate(thresholds) if t >= 0 for d in ([None] if t == 0 else range(len(parts.columns[p])))]
+def _probes(parts: Partitions, thresholds: list[int]) -> list[tuple[int, int | None]]:
+    return [(p, d) for p, t in enumerate(thresholds) if t >= 0 for d in _ways(parts, t)]
+
+
+def estimated(reps: DataFrame, parts: Partitions) -> tuple[list[list[float]], int, dict[tuple[int, int | None], list[int]]]:
+    """For each partition its candidates over all records at thresholds 0 and 1, the number of records, and for each probe the signatures that about one record in
+    ``OFTEN`` has.
+
+    A signed count sketch of each signature's records gives the number of pairs. A signature that frequent makes up half as much of some batches, which hold most of its records; those batches
+    count it. There are at most 2 * OFTEN of a probe.
+    """
+    probes = [(p, d) for p in range(len(parts.columns)) for d in (None, *range(parts.width))]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, seen = np.zeros((len(probes), SLOTS)), 0
+        for batch in _slices(batches):
+            _, scope, keys = _unpacked(batch)
+            m = parts.mixed(keys)
+            least = max(FEW, len(keys) / (2 * OFTEN))
+            for k, (p, d) in enumerate(probes):
+                s = parts.signatures(m, scope, p, d)
+                slot = (s >> np.uint64(54)).astype(np.int64)
+                sums[k] += np.bincount(slot, np.where((s >> np.uint64(20)) & np.uint64(1), 1.0, -1.0), SLOTS)
+                full = np.bincount(slot, minlength=SLOTS) >= least + len(keys) / SLOTS
+                if full.any():
+                    often, c = np.unique(s[full[slot]], return_counts=True)
+                    often, c = often[c >= least], c[c >= least]
+                    yield _sums({}, k, often, c)
+            seen += len(keys)
+        yield _sums({**{k: sums[k] for k in range(len(probes))}, len(probes): np.array([float(seen)])})
+
+    table = cut(_added(reps.select("rec", "scope", "key").mapInArrow(count, "at int, s bigint, sums array<double>")), "estimates")
+    rows = {r[0]: np.array(r[1]) for r in table.where("at >= 0").select("at", "sums").collect()}
+    n = int(rows[len(probes)][0]) if rows else 0
+    often = table.where("at < 0").where(F.col("sums")[0] * 2 * OFTEN >= max(n, 2 * OFTEN * HOT)).select("at", "s").collect()
+    discard(table)
+    pairs = [max(0.0, ((rows[k] ** 2).sum() - n) / 2) if rows else 0.0 for k in range(len(probes))]
+    of = {x: pairs[k] for k, x in enumerate(probes)}
+    costs = [[of[p, None], sum(of[p, d] for d in range(parts.width))] for p in range(len(parts.columns))]
+    by_probe: dict[tuple[int, int | None], list[int]] = {}
+    for r in often:
+        by_probe.setdefault(probes[-1 - r[0]], []).append(r[1])
+    return costs, n, by_probe
+
+
+def _emitter(parts: Partitions, thresholds: list[int], buckets: int, often: np.ndarray):
+    probes = _probes(parts, thresholds)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             rec, scope, keys = _unpacked(batch)
             n = len(keys)
-            codes, row = gram_codes(keys)
-            v = values(codes, row, n, range(parts.functions), parts.seed)
+            m = parts.mixed(keys)
             s = np.empty((n, len(probes)), np.uint64)
             for i, (p, d) in enumerate(probes):
-                s[:, i] = parts.signatures(v, scope, p, d)
-            s = s.ravel()
+                s[:, i] = parts.signatures(m, scope, p, d)
+            s, local = s.ravel(), np.repeat(np.arange(n, dtype=np.uint16), len(probes))
+            where, at, sigs, hot = [], [], [], []
+            if len(often):
+                k = np.clip(np.searchsorted(often, s), 0, len(often) - 1)
+                hot = often[k] == s
+                for x in np.unique(s[hot]):  # a row for each, with no signatures beside it
+                    where.append(int(x.view(np.int64))), at.append(local[hot & (s == x)].tobytes()), sigs.append(None)
+                s, local = s[~hot], local[~hot]
             bucket = ((s & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.uint16 if buckets < 65536 else np.int64)
             order = np.argsort(bucket, kind="stable")
-            local = order // len(probes)
-            short = (s[order] >> np.uint64(32)).astype(np.uint32)
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            where, marks, sigs = [], [], []
-            for b in range(buckets):
-                lo, hi = ends[b], ends[b + 1]
-                if hi > lo:
-                    # how many signatures each record has here, in unary: a one for each, a nought for each next record
-                    bits = np.zeros(hi - lo + n, bool)
-                    bits[np.arange(hi - lo) + local[lo:hi]] = True
-                    where.append(b), marks.append(np.packbits(bits).tobytes()), sigs.append(short[lo:hi].tobytes())
+            local, short = local[order], (s[order] >> np.uint64(32)).astype(np.uint32)
+            held, starts = np.unique(bucket[order], return_index=True)
+            for b, lo, hi in zip(held.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)]):
+                where.append(b), at.append(local[lo:hi].tobytes()), sigs.append(short[lo:hi].tobytes())
             runs = np.flatnonzero(np.r_[True, np.diff(rec) != 1])
             first, size = rec[runs].tolist(), np.diff(np.r_[runs, n]).tolist()
             k = len(where)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(where, pa.int32()), pa.array([first] * k, pa.list_(pa.int64())), pa.array([size] * k, pa.list_(pa.int32())), pa.array(marks, pa.binary()), pa.array(sigs, pa.binary())],
-                names=["bucket", "first", "size", "marks", "sigs"],
+                [pa.array(where, pa.int64()), pa.array([first] * k, pa.list_(pa.int64())), pa.array([size] * k, pa.list_(pa.int32())), pa.array(at, pa.binary()), pa.array(sigs, pa.binary())],
+                names=["bucket", "first", "size", "at", "sigs"],
             )
 
     return emit
 
 
+def _records(first: list[int], size: list[int], at: bytes) -> np.ndarray:
+    return np.concatenate([np.arange(f, f + n) for f, n in zip(first, size)])[np.frombuffer(at, np.uint16)]
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+    rows = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)] if not len(hot) else [a, hot], axis=1), axis=0)
+    rows = rows[rows[:, 0] != rows[:, 1]] if not len(hot) else rows
+    none = pa.array(np.zeros(len(rows), np.int64), mask=np.ones(len(rows), bool))
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), none if len(hot) else pa.array(rows[:, 1]), pa.array(rows[:, 1]) if len(hot) else none], names=["a", "b", "hot"])
+
+
 def _paired(hot: int):
-    def pair(t: pa.Table) -> pa.Table:
-        recs, sigs = [], []
-        for first, size, marks, sig in zip(*(t.column(c).to_pylist() for c in ("first", "size", "marks", "sigs"))):
-            s = np.frombuffer(sig, np.uint32)
-            own = np.concatenate([np.arange(f, f + n) for f, n in zip(first, size)])
-            at = np.flatnonzero(np.unpackbits(np.frombuffer(marks, np.uint8)))[: len(s)] - np.arange(len(s))
-            recs.append(own[at]), sigs.append(s)
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recs, sigs, bucket = [], [], 0
+        for batch in batches:
+            for b, first, size, at, sig in zip(*(batch.column(c).to_pylist() for c in ("bucket", "first", "size", "at", "sigs"))):
+                recs.append(_records(first, size, at)), sigs.append(np.frombuffer(sig, np.uint32))
+                bucket = b
         rec, sig = np.concatenate(recs), np.concatenate(sigs)
         order = np.argsort(sig, kind="stable")
         rec, sig = rec[order], sig[order]
         starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         sizes = np.diff(np.r_[starts, len(sig)])
-        a, b, group = [], [], []
+        none = np.empty(0, np.int64)
         for size in np.unique(sizes[(sizes > 1) & (sizes <= hot)]).tolist():
-            at = starts[sizes == size]
+            every = starts[sizes == size]
             i, j = np.triu_indices(size, 1)
-            x, y = rec[(at[:, None] + i).ravel()], rec[(at[:, None] + j).ravel()]
-            a.append(np.minimum(x, y)), b.append(np.maximum(x, y)), group.append(np.full(len(x), -1))
-        bucket = t.column("bucket")[0].as_py()
+            step = max(1, PAIRS_AT_ONCE // len(i))
+            for k in range(0, len(every), step):
+                at = every[k : k + step, None]
+                yield _pairs(rec[(at + i).ravel()], rec[(at + j).ravel()], none)
         for at, size in zip(starts[sizes > hot].tolist(), sizes[sizes > hot].tolist()):
-            a.append(rec[at : at + size]), b.append(np.full(size, -1)), group.append(np.full(size, (bucket << 32) | int(sig[at])))
-        if not a:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "hot": pa.array([], pa.int64())})
-        rows = np.unique(np.stack([np.concatenate(a), np.concatenate(b), np.concatenate(group)], axis=1), axis=0)
-        rows = rows[rows[:, 0] != rows[:, 1]]
-        return pa.table({"a": rows[:, 0], "b": rows[:, 1], "hot": rows[:, 2]})
+            yield _pairs(rec[at : at + size], none, np.full(size, (bucket << 32) | int(sig[at])))
 
     return pair
 
 
-def candidate_pairs(reps: DataFrame, threshold: float, miss: float, functions: int = 12, width: int = 5, depth: int = 0) -> DataFrame:
-    """Candidates (a, b), a < b, of records (rec, scope, key): distinct within a bucket."""
-    parts = Partitions(functions, width, seed=depth)
-    n = reps.count()
-    pairs, ratio = estimated(reps, parts)
-    # a signature costs its share of a sort, a candidate its part in two joins
-    thresholds = allocate(pairs, [p * ratio * width for p in pairs], width, threshold, miss, 0.1 * n)
-    probes = sum((t >= 0) + (t == 1) * (width - 1) for t in thresholds)
-    buckets = max(8, ceil(n * probes / BUCKET_SIGNATURES))
-    emitted = reps.select("rec", "scope", "key").mapInArrow(_emitter(parts, thresholds, buckets), "bucket int, first array<bigint>, size array<int>, marks binary, sigs binary")
-    found = cut(emitted.groupBy("bucket").applyInArrow(_paired(HOT), "a bigint, b bigint, hot bigint"), "candidates")
-    out = found.where("b >= 0").select("a", "b")
-    hot = found.where("b < 0").select(F.col("a").alias("rec"), F.col("hot").alias("scope"))
-    if hot.limit(1).count():
-        if depth < DEPTH:
-            again = cut(hot.join(reps.select("rec", "key"), "rec"), "hot")
-            out = out.unionAll(candidate_pairs(again, threshold, miss, functions, width, depth + 1))
-        else:
-            x, y = hot.select(F.col("rec").alias("a"), "scope"), hot.select(F.col("rec").alias("b"), "scope")
-            out = out.unionAll(x.join(y, "scope").where("a < b").select("a", "b"))
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of frequent signatures, a row for each."""
+    for batch in batches:
+        for bucket, first, size, at in zip(*(batch.column(c).to_pylist() for c in ("bucket", "first", "size", "at"))):
+            rec = _records(first, size, at)
+            yield pa.RecordBatch.from_arrays([pa.array(rec), pa.array(np.full(len(rec), bucket))], names=["rec", "scope"])
+
+
+@dataclass
+class Plan:
+    """The partitions of records, the threshold of each, the estimates that they go by, the number of records, and the signatures that are too frequent for a bucket."""
+
+    parts: Partitions
+    thresholds: list[int]
+    costs: list[list[float]]
+    records: int
+    often: np.ndarray
+
+    @property
+    def probes(self) -> list[tuple[int, int | None]]:
+        return _probes(self.parts, self.thresholds)
+
+    def candidates(self) -> float:
+        return sum(c[t] for c, t in zip(self.costs, self.thresholds) if t >= 0)
+
+
+def planned(reps: DataFrame, threshold: float, miss: float, functions: int, width: int, seed: int = 0) -> Plan:
+    """Partitions and thresholds for records (rec, scope, key)."""
+    functions = functions_for(width, threshold, miss, functions)
+    correlation, level = correlations(reps, functions, seed)
+    parts = Partitions(grouped(correlation, level, width), functions, seed)
+    costs, n, often = estimated(reps, parts)
+    thresholds = allocate(costs, width, threshold, miss, SIGNATURE_COST * n)
+    own = [s for x in _probes(parts, thresholds) for s in often.get(x, [])]
+    return Plan(parts, thresholds, costs, n, np.sort(np.array(own, np.int64).view(np.uint64)))
+
+
+def similar_pairs(reps: DataFrame, threshold: float, miss: float, functions: int = 6, width: int = 5, depth: int = 0) -> DataFrame:
+    """(a, b, similarity), a < b, of records (rec, scope, key) at or above the threshold; a pair may come twice."""
+    plan = planned(reps, threshold, miss, functions, width, depth)
+    parts, thresholds, n, often = plan.parts, plan.thresholds, plan.records, plan.often
+    buckets = max(8, ceil(n * len(plan.probes) / BUCKET_SIGNATURES))
+    emitted = reps.select("rec", "scope", "key").mapInArrow(_emitter(parts, thresholds, buckets, often), "bucket bigint, first array<bigint>, size array<int>, at binary, sigs binary")
+    hot = None
+    if len(often):
+        emitted = cut(emitted, "signatures")
+        hot = emitted.where("sigs is null").mapInArrow(_listed, "rec bigint, scope bigint")
+    found = cut(emitted.where("sigs is not null").groupBy("bucket").applyInArrow(_paired(HOT), "a bigint, b bigint, hot bigint"), "candidates")
+    keys = reps.select("rec", "key")
+    left, right = keys.select(F.col("rec").alias("a"), F.col("key").alias("key_a")), keys.select(F.col("rec").alias("b"), F.col("key").alias("key_b"))
+    out = _similarity(found.where("b is not null").select("a", "b").distinct().join(left, "a").join(right, "b"), threshold)
+    shared = found.where("hot is not null").select(F.col("a").alias("rec"), F.col("hot").alias("scope"))
+    if shared.limit(1).count() or hot is not None:
+        again = cut((shared if hot is None else shared.unionAll(hot)).join(keys, "rec"), "hot")
+        out = out.unionAll(similar_pairs(again, threshold, miss, functions, width, depth + 1) if depth < DEPTH else _by_blocks(again, threshold))
     return out
 
 
+def _by_blocks(hot: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """The similar pairs within each scope of (rec, scope, key): a scope is cut into blocks, and each pair of blocks compared in a task of its own."""
+    n = hot.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = hot.join(n, "scope").withColumn("own", F.pmod(F.xxhash64("rec"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("scope", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rec", "key")
+    check = _measured(threshold)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        i, own, rec, keys = t.column("i")[0].as_py(), t.column("own").to_numpy(), t.column("rec").to_numpy(), np.array(t.column("key").to_pylist(), object)
+        same = t.column("j")[0].as_py() == i
+        first, second = np.flatnonzero(own == i), np.flatnonzero(own != i)
+        for k, at in enumerate(first.tolist()):
+            mate = first[k + 1 :] if same else second
+            a, b = np.minimum(rec[at], rec[mate]), np.maximum(rec[at], rec[mate])
+            yield check(pa.array(a), pa.array(b), [keys[at]] * len(mate), keys[mate].tolist())
+
+    return rows.groupBy("scope", "i", "j").applyInArrow(compare, "a bigint, b bigint, similarity double")
+
+
 def _most_similar(x: list[str], y: list[str], rows: int = 2048) -> np.ndarray:
     """An upper bound of the similarity of each pair: substrings folded into 256 bits; a bit that one side only has is a substring that one side only has."""
     out = np.empty(len(x))
@@ -289,20 +463,27 @@ def _most_similar(x: list[str], y: list[str], rows: int = 2048) -> np.ndarray:
     return out
 
 
+def _measured(threshold: float):
+    def check(a: pa.Array, b: pa.Array, x: list[str], y: list[str]) -> pa.RecordBatch:
+        s = np.zeros(len(x))
+        for i in np.flatnonzero(_most_similar(x, y) >= threshold).tolist():
+            p, q = x[i], y[i]
+            g, h = {p[k : k + 3] for k in range(max(1, len(p) - 2))}, {q[k : k + 3] for k in range(max(1, len(q) - 2))}
+            both = len(g & h)
+            s[i] = both / (len(g) + len(h) - both)
+        ok = pa.array((s >= threshold) & (np.asarray(a) != np.asarray(b)))
+        return pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok), pa.array(s).filter(ok)], names=["a", "b", "similarity"])
+
+    return check
+
+
 def _similarity(df: DataFrame, threshold: float) -> DataFrame:
     """Rows of (a, b, key_a, key_b) with a similarity of at least the threshold, and that similarity."""
+    check = _measured(threshold)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            s = np.zeros(len(x))
-            for i in np.flatnonzero(_most_similar(x, y) >= threshold).tolist():
-                p, q = x[i], y[i]
-                g, h = {p[k : k + 3] for k in range(max(1, len(p) - 2))}, {q[k : k + 3] for k in range(max(1, len(q) - 2))}
-                both = len(g & h)
-                s[i] = both / (len(g) + len(h) - both)
-            ok = pa.array(s >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok), pa.array(s).filter(ok)], names=["a", "b", "similarity"])
+            yield check(batch.column(0), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist())
 
     return df.select("a", "b", "key_a", "key_b").mapInArrow(measure, "a bigint, b bigint, similarity double")
 
@@ -316,7 +497,7 @@ class NearDuplicates:
     """
 
     def __init__(self, rows: DataFrame, threshold: float = 0.65, least: int = 20, miss: float = 1e-3):
-        """Rows whose id or key is null, or whose key has under ``least`` characters, take no part. Equal (scope, id, key) rows count once, scopes aren't mixed;
+        """``miss``: the share of pairs just at the threshold that may stay unfound; functions are added until it can be met. Rows whose id or key is null, or whose key has under ``least`` characters, take no part. Equal (scope, id, key) rows count once, scopes aren't mixed;
         a null scope is one of its own. Keys of any length are read whole. No rows give no pairs.
         """
         usable = rows.where("id is not null and key is not null").where(F.length("key") >= least)
@@ -326,10 +507,7 @@ class NearDuplicates:
         repeated = self.representatives.where("last > id").select("scope", "h1", "h2", F.col("id").alias("representative"))
         self.members = hashed.select("scope", "h1", "h2", "id").join(repeated, ["scope", "h1", "h2"]).select("id", "representative").distinct()
         reps = self.representatives.select("rec", "scope", "key")
-        pairs = candidate_pairs(reps, threshold, miss).distinct()
-        left = self.representatives.select(F.col("rec").alias("a"), F.col("key").alias("key_a"))
-        right = self.representatives.select(F.col("rec").alias("b"), F.col("key").alias("key_b"))
-        similar = cut(_similarity(pairs.join(left, "a").join(right, "b"), threshold), "similar")
+        similar = cut(similar_pairs(reps, threshold, miss).dropDuplicates(["a", "b"]), "similar")
         ids = self.representatives.select("rec", "id")
         self.pairs = (
             similar.join(ids.select(F.col("rec").alias("a"), F.col("id").alias("id_a")), "a")

@@ -41,8 +41,14 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
 _KEYS = " union ".join(f"select '{name}' as scope, {key} as id, {text_key_sql('snippet')} as k from {name} where snippet is not null" for name, key in SOURCES.items())
 #: the substrings of all snippets meet each other: for small tables only
+_SIMILAR = f"""k as (select * from ({_KEYS}) where length(k) >= 20), g as (select distinct scope, id, substring(k, i, 3) as g from (select scope, id, k, unnest(range(1, length(k) - 1)) as i from k)), n as (select scope, id, count(*) as n from g group by 1, 2),
+c as (select a.scope, a.id as x, b.id as y, count(*) as c from g a join g b on a.scope = b.scope and a.g = b.g and a.id < b.id group by 1, 2, 3),
+s as (select x as id_a, y as id_b from c join n p on p.scope = c.scope and p.id = x join n q on q.scope = c.scope and q.id = y where c.c >= 0.65::double * (p.n + q.n - c.c))"""
 ORACLE = {
-    "p2_found": f"""with k as (select * from ({_KEYS}) where length(k) >= 20), g as (select distinct scope, id, substring(k, i, 3) as g from (select scope, id, k, unnest(range(1, length(k) - 1)) as i from k)), n as (select scope, id, count(*) as n from g group by 1, 2),
-c as (select a.scope, a.id as x, b.id as y, count(*) as c from g a join g b on a.scope = b.scope and a.g = b.g and a.id < b.id group by 1, 2, 3)
-select x as id_a, y as id_b from c join n p on p.scope = c.scope and p.id = x join n q on q.scope = c.scope and q.id = y where c.c >= 0.65::double * (p.n + q.n - c.c)"""
+    "p2_found": f"with {_SIMILAR} select id_a, id_b from s",
+    # the least id of each text stands for it; groups are what the pairs connect, grown from every end until nothing is added
+    "p2_groups": f"""with recursive {_SIMILAR}, rep as (select id, min(id) over (partition by scope, k) as rep from (select distinct scope, id, k from k)), two as (select id_a as a, id_b as b from s union all select id_b, id_a from s),
+reach(id, other) as (select distinct a, a from two union select r.id, t.b from reach r join two t on t.a = r.other),
+grp as (select id, min(other) as group_id from reach group by 1), lk as (select p.rep, count(distinct q.rep) as links from two join rep p on p.id = a join rep q on q.id = b where p.rep <> q.rep group by 1)
+select grp.id as record_id, group_id, coalesce(links, 0)::bigint as links from grp join rep using (id) left join lk on lk.rep = rep.rep""",
 }

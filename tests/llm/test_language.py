@@ -35,6 +35,25 @@ def test_held_out(model):
     assert ((sure > 0) & (sure <= 1)).all()
 
 
+def test_calibration_keeps_errors():
+    """Held-out rows with wrong labels stay in: their share is found, and confidence says how often the model is right about the true language."""
+    r = Random(5)
+    truth = [(lang := r.choice(list(WORDS)), text(lang, r, r.choice([2, 3, 30]))) for _ in range(1600)]
+    labels = [r.choice([x for x in WORDS if x != lang]) if r.random() < 0.08 else lang for lang, _ in truth]
+    m = L.train([t for _, t in truth], labels, documents=[k // 2 for k in range(len(truth))])
+    assert 0.02 < m.wrong_labels < 0.16
+    assert sum(x[2] for x in m.reliability) > 200  # a fifth of the documents, whatever their labels
+    agreed = sum(x[2] * x[4] for x in m.reliability) / sum(x[2] for x in m.reliability)
+    assert agreed < 0.97
+    fresh = [(lang := r.choice(list(WORDS)), text(lang, r, r.choice([2, 3, 30]))) for _ in range(1500)]
+    got, sure = m.predict([t for _, t in fresh])
+    right = [m.languages[g] == lang for g, (lang, _) in zip(got, fresh)]
+    for low, high in ((0.0, 0.9), (0.9, 1.01)):
+        at = [k for k, s in enumerate(sure) if low <= s < high]
+        if len(at) >= 50:
+            assert abs(sum(right[k] for k in at) / len(at) - sum(sure[k] for k in at) / len(at)) < 0.12
+
+
 def test_segments():
     t = "front\n\n---\n" + "x" * 60 + "\n \n```\n" + "y" * 60 + "\n\n" + "z" * 39 + "\n\n" + "w" * 40 + " 1234"
     assert [(k, n) for k, n, _ in L.segments(t)] == [(4, 40)]

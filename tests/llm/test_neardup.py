@@ -1,5 +1,8 @@
 from random import Random
 
+import numpy as np
+import pytest
+
 from driftnote.functions.keys import text_key
 from driftnote.llm import neardup as N
 
@@ -62,10 +65,44 @@ def test_hot_signatures(spark, monkeypatch):
     assert found(spark, [(s, i, text_key(k)) for s, i, k in rows]) == brute([(s, i, text_key(k)) for s, i, k in rows])
 
 
+def test_frequent_signatures(spark, monkeypatch):
+    """Signatures of very many records stay out of the buckets; their records are found all the same."""
+    monkeypatch.setattr(N, "HOT", 4)
+    monkeypatch.setattr(N, "OFTEN", 4)
+    monkeypatch.setattr(N, "FEW", 2)
+    monkeypatch.setattr(N, "BLOCK", 7)
+    r = Random(8)
+    rows = texts(9, 30) + [("s", 9000 + i, "the same boilerplate for every single record of this feed" + "".join(r.choice("abcdefgh") for _ in range(4))) for i in range(60)]
+    reps = spark.createDataFrame([(i, 0, k) for i, (_, _, k) in enumerate(rows)], "rec long, scope long, key string")
+    plan = N.planned(reps, 0.65, 1e-3, 6, 5)
+    assert len(plan.often) > 0
+    assert found(spark, rows) == brute(rows)
+
+
+def test_blocks(spark):
+    rows = [(i, s, f"text number {s} and some more words of it {i % 9}") for s in (1, 2) for i in range(40)]
+    df = spark.createDataFrame([(100 * s + i, s, k) for i, s, k in rows], "rec long, scope long, key string")
+    got = {(r[0], r[1]) for r in N._by_blocks(df, 0.65, block=6).collect()}
+    want = {(100 * s + i, 100 * s + j) for i, s, k in rows for j, t, m in rows if s == t and i < j and len(grams(k) & grams(m)) / len(grams(k) | grams(m)) >= 0.65}
+    assert got == want
+
+
 def test_allocation():
-    t = N.allocate([10.0, 1e9, 20.0] * 40, [100.0, 1e10, 200.0] * 40, 5, 0.65, 1e-3, 50.0)
-    assert t[1::3] == [-1] * 40 and t.count(0) >= 50
-    assert N.allocate([1.0], [1.0], 5, 0.65, 1e-3, 1.0) == [0]
+    # one budget, unequal costs: the dear partitions are left out, the cheap ones probed with one value less, those between with all
+    t = N.allocate([[1e6, 1e7]] * 10 + [[5e3, 1e5]] * 20 + [[10.0, 200.0]] * 10, 5, 0.65, 1e-3, 1000.0)
+    assert t[:10] == [-1] * 10 and set(t[10:30]) == {-1, 0} and t[30:] == [1] * 10
+    with pytest.raises(ValueError):
+        N.allocate([[1.0, 1.0]], 5, 0.65, 1e-3, 1.0)
+    assert N.functions_for(5, 0.3, 1e-3, 6) > 6  # a lower threshold takes more of them
+
+
+def test_grouping():
+    """Values that agree together come into one partition."""
+    r = np.random.default_rng(1)
+    shared = r.normal(size=(500, 3))
+    x = np.stack([shared[:, c % 3] + 0.1 * r.normal(size=500) for c in range(15)], axis=1)
+    parts = N.grouped(np.corrcoef(x.T), x.mean(axis=0), 5)
+    assert sorted(c for p in parts for c in p) == list(range(15)) and all(len({c % 3 for c in p}) == 1 for p in parts)
 
 
 def test_bound():
