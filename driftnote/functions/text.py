@@ -152,6 +152,27 @@ def cjk_shingles(text: Column, least: int = 2, most: int = 3, whole: int = 4) ->
     return F.flatten(F.transform(runs, grams))
 
 
+def named_terms(text: Column) -> Column:
+    """The n-grams of 2 to 6 of each run of Han characters but generic ones, and Latin phrases of up to four words, cleaned of signs at their ends; repeated as they occur."""
+    from ..lexicon import GENERIC, GENERIC_PIECES
+
+    generic = F.expr("array(" + ", ".join(quoted(w) for w in GENERIC) + ")")
+    han = F.filter(cjk_shingles(text, 2, 6, 0), lambda t: ~F.array_contains(generic, t) & ~F.rlike(t, F.lit("|".join(GENERIC_PIECES))))
+    latin = F.regexp_extract_all(text, F.lit(r"([A-Za-z][A-Za-z0-9_+\-]*(?:\s+[A-Za-z][A-Za-z0-9_+\-]*){0,3})"), 1)
+    latin = F.transform(latin, lambda t: F.btrim(F.regexp_replace(t, r"\s+", " "), F.lit("-_ ")))
+    return F.concat(han, F.filter(latin, lambda t: F.length(t) >= 2))
+
+
+def slot_tokens(text: Column, stop: list[str]) -> Column:
+    """Lower-cased words, the n-grams of 2 to 4 of each run of Han characters with runs of up to 4 whole, and numbers with their unit; without stop words."""
+    runs = F.regexp_extract_all(text, F.lit(r"([\x{4e00}-\x{9fff}]+)"), 1)
+    words_ = F.transform(F.regexp_extract_all(text, F.lit(r"([A-Za-z][A-Za-z0-9_+\-]+)"), 1), lambda w: F.lower(w))
+    units = F.transform(F.regexp_extract_all(text, F.lit(r"(?iu)([0-9]+(?:\.[0-9]+)?\s*(?:mV|V|Hz|kHz|MHz|Ω|ohm|欧姆|倍|%))"), 1), lambda u: F.lower(F.replace(u, F.lit(" "), F.lit(""))))
+    every = F.concat(words_, F.filter(runs, lambda r: F.length(r) <= 4), cjk_shingles(text, 2, 4, 0), units)
+    listed = F.expr("array(" + ", ".join(quoted(w) for w in stop) + ")")
+    return F.filter(every, lambda t: ~F.array_contains(listed, t))
+
+
 def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a over code points."""
     return F.aggregate(

@@ -50,6 +50,44 @@ TOPIC_PRIORS = {
 FALLBACK_TOPIC = {"Experiment": "实验闭环", "Thesis": "论文闭环", "Career": "求职", "AI_Memory": "AI记忆", "Health": "健康恢复"}
 
 
+# -- fixed values: topics that relations know besides, and the words of each role in a relation
+MORE_TOPICS = {
+    "经济周期": ["经济周期", "周期", "衰退", "复苏", "就业", "库存", "危机", "需求", "供给"],
+    "债务金融": ["债务", "杠杆", "信用", "融资", "资产负债表", "银行", "地产", "违约"],
+    "激励制度": ["激励", "制度", "产权", "博弈", "监管", "寻租", "道德风险", "委托代理"],
+}
+RELATION_ROLES = {
+    "claim": ["我认为", "本质", "意味着", "创新", "创新点", "核心", "可以理解为", "应该表述为", "主张", "证明", "定义"],
+    "conflict": ["但是", "可是", "然而", "矛盾", "冲突", "不理解", "质疑", "难道", "问题", "不对", "不够", "说不通"],
+    "failure": ["失败", "测不到", "没有测出来", "没有放大", "不稳定", "不稳", "乱跳", "卡住", "做不出来", "推进不下去", "差点意思"],
+    "metric": ["Hz", "hz", "mV", "mv", "Vpp", "RMS", "uA", "μA", "PSD", "FFT", "事件率", "压缩比", "阈值", "sigma", "采样", "数据", "截图", "曲线"],
+    "decision": ["决定", "转向", "降级", "主线", "补充", "暂不", "接下来", "下一步", "只做", "收束", "隔离", "关闭", "保留"],
+    "emotion": ["焦虑", "害怕", "难受", "崩", "动不了", "失败了", "压力", "延毕", "丢脸", "撕扯"],
+    "externality": ["导师", "实验室", "宿舍", "毕业", "延毕", "简历", "投递", "岗位", "公司", "面试", "时间"],
+    "question": ["为什么", "如何", "到底", "怎么办", "能不能", "是不是", "该不该", "怎么证明"],
+    "novelty": ["新", "第一次", "突然", "发现", "洞察", "涌现", "重新理解", "关系", "连接"],
+}
+# -- fixed values: terms that name nothing, and pieces that no term has
+GENERIC = ["这个", "那个", "什么", "怎么", "为什么", "就是", "然后", "其实", "因为", "所以", "但是", "如果", "现在", "目前", "问题", "东西", "感觉", "可能", "应该", "需要", "一下", "一个", "没有", "还是", "或者", "来说", "的话", "对于", "进行", "比较", "发现"]
+GENERIC_PIECES = ["这个", "那个", "什么", "就是", "然后"]
+# -- fixed values: spellings of relation types; what a relation does to the topics at its ends: threshold, priority, action, cooldown
+RELATION_TYPES = {
+    "supports": "support", "supporting": "support", "supported_by": "support", "blocks": "inhibition", "block": "inhibition", "inhibits": "inhibition", "inhibit": "inhibition", "downgrades": "downgrade",
+    "downgraded": "downgrade", "reframes": "reframe", "reframing": "reframe", "causes": "causal", "cause": "causal", "co_activation": "bridge", "coactivation": "bridge",
+}
+RELATION_EFFECTS = {
+    "support": [("target", -0.45, "P0", "continue", 0), ("source", -0.15, "P1", "continue", 0)],
+    "conflict": [("source", 0.35, "P1", "isolate", 1), ("target", 0.25, "P1", "isolate", 1)],
+    "inhibition": [("target", 0.75, "P0", "recover_first", 1), ("source", -0.10, "P1", "continue", 0)],
+    "reframe": [("target", -0.25, "P1", "continue", 0), ("source", 0.15, "P2", "downgrade", 2)],
+    "downgrade": [("source", 1.00, "P2", "downgrade", 7), ("target", -0.25, "P0", "continue", 0)],
+    "causal": [("source", -0.10, "P1", "continue", 0), ("target", -0.25, "P1", "continue", 0)],
+    "bridge": [("source", -0.10, "P1", "continue", 0), ("target", -0.10, "P1", "continue", 0)],
+    "": [("source", 0.0, "P1", "continue", 0), ("target", 0.0, "P1", "continue", 0)],
+}
+ACTIONS = ["continue", "downgrade", "isolate", "recover_first", "stop"]
+
+
 @dataclass(frozen=True)
 class Neuron:
     """Parameters of one state's recurrence."""

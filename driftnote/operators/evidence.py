@@ -132,3 +132,18 @@ def inferred_topics(items: DataFrame, keys: list[str]) -> DataFrame:
     best = sums.groupBy(*keys, "state").agg(F.max_by("topic", F.struct(F.round("score", 9), -F.array_position(order, F.col("topic")))).alias("topic"), F.round(F.max("score"), 6).alias("score"))
     fallback = reduce(lambda a, n: a.when(F.col("state") == n, L.FALLBACK_TOPIC[n]), L.FALLBACK_TOPIC, F.when(F.lit(False), ""))
     return best.select(*keys, "state", F.coalesce("topic", fallback).alias("topic"), "score")
+
+
+def relation_evidence(blocks: DataFrame) -> DataFrame:
+    """Blocks that hold a topic's word, with topics, roles (``evidence`` where there is none), the number of words and the score. A number with a unit makes a block a metric."""
+    topics, found = {**L.TOPICS, **L.MORE_TOPICS}, F.col("_found")
+    rows = bound(blocks, {"_found": T.found(F.lower("block"), *topics.values(), *L.RELATION_ROLES.values())})
+    measured = F.rlike("block", F.lit(r"[0-9]+(\.[0-9]+)?\s*(Hz|hz|mV|mv|V|Vpp|RMS|uA|μA|ms|s)(?![\p{L}\p{N}_])"))
+    roles = F.array_compact(F.array(*[F.when(T.holds(found, ws) | measured if r == "metric" else T.holds(found, ws), F.lit(r)) for r, ws in L.RELATION_ROLES.items()]))
+    words = F.size(F.array_distinct(F.concat(*[T.held(found, ws) for ws in topics.values()])))
+    rows = bound(rows.where(F.size("_found") > 0), {"topics": F.array_compact(F.array(*[F.when(T.holds(found, ws), F.lit(t)) for t, ws in topics.items()])), "words": words, "_roles": roles}).where(F.size("topics") > 0)
+    rows = rows.withColumn("roles", F.when(F.size("_roles") > 0, F.col("_roles")).otherwise(F.array(F.lit("evidence"))))
+    has = lambda *rs: F.arrays_overlap("roles", F.array(*map(F.lit, rs)))
+    score = F.lit(0.6) + F.least(F.size("topics"), F.lit(4)) * 0.55 + F.least("words", F.lit(8)) * 0.12 + F.least(F.size("roles"), F.lit(5)) * 0.35
+    more = F.when(has("conflict", "failure"), 0.35).otherwise(0.0) + F.when(has("metric"), 0.25).otherwise(0.0) + F.when(has("decision"), 0.25).otherwise(0.0) + F.when(F.size("topics") >= 2, 0.55).otherwise(0.0)
+    return rows.withColumn("score", score + more).drop("_found", "_roles")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import lexicon as L
 from ..functions import text as T
 from ..tables import bound
+from .memory import ranked_fragments
 
 # -- fixed values: a latent question's words and its parameters
 QUESTION = {
@@ -99,30 +100,32 @@ def daily_inspiration(fragments: DataFrame, keys: list[str]) -> DataFrame:
 def inspiration_spikes(daily: DataFrame, key: str, least: int = 4) -> DataFrame:
     """The four traces of each key over its days, firing once a day at most, with material enough: ``least`` fragments and two roles, one of them tension, bridge or compression.
 
-    daily: key, day, the sums of ``daily_inspiration`` and top array<struct<score, snippet, roles>>. Comes out: key, day, the traces, v, held, fired.
+    daily: key, day, the sums of ``daily_inspiration`` and top array<struct<score, snippet, roles, domains>> in order. Fragments are held by spark, bridge, tension, domains, score and day. Comes out: key, day, the traces, v, held, fired.
     """
     import pandas as pd
 
     kind = daily.schema[key].dataType.simpleString()
 
+    rank = lambda f: ("spark" in f["roles"], "bridge" in f["roles"], "tension" in f["roles"], f["domains"], f["score"], f["day"])
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, last, fired_on, held, out = dict.fromkeys(TRACES, 0.0), None, None, {}, []
+        t, last, fired_on, held, out = dict.fromkeys(TRACES, 0.0), None, None, [], []
         for r in pdf.sort_values("day").itertuples(index=False):
             gap = 1 if last is None else max((r.day - last).days, 1)
             last = r.day
             add = {"incubation": 0.35 * r.input + 0.20 * r.validation, "tension": r.tension, "bridge": r.bridge, "spark": r.spark}
             t = {n: max(0.0, d**gap * t[n] + add[n]) for n, (d, _) in TRACES.items()}
             v = sum(w * t[n] for n, (_, w) in TRACES.items())
-            for f in r.top:
-                held.setdefault(f["snippet"], (f["score"], tuple(f["roles"])))
-            held = dict(sorted(held.items(), key=lambda x: (-x[1][0], x[0]))[:24])
-            roles = {x for _, rs in held.values() for x in rs}
-            hit = v >= THETA and len(held) >= least and len(roles) >= 2 and bool(roles & {"tension", "bridge", "compression"}) and (fired_on is None or (r.day - fired_on).days >= 1)
+            if len(r.top):
+                held = ranked_fragments(held + [{"snippet": f["snippet"], "score": f["score"], "roles": list(f["roles"]), "domains": len(f["domains"]), "day": r.day} for f in r.top], rank, 24)
+            material = ranked_fragments(held, rank, 16)
+            roles = {x for f in material for x in f["roles"]}
+            hit = v >= THETA and len(material) >= least and len(roles) >= 2 and bool(roles & {"tension", "bridge", "compression"}) and (fired_on is None or (r.day - fired_on).days >= 1)
             out.append((getattr(r, key), r.day, *t.values(), v, len(held), hit))
             if hit:
                 fired_on = r.day
                 t = {n: 0.0 if n == "spark" else x * RESET for n, x in t.items()}
-                held = dict(list(held.items())[-4:])
+                held = held[-4:]
         return pd.DataFrame(out, columns=[key, "day", *TRACES, "v", "held", "fired"])
 
     return daily.groupBy(key).applyInPandas(fold, f"{key} {kind}, day date, " + ", ".join(f"{n} double" for n in TRACES) + ", v double, held int, fired boolean")

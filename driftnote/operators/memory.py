@@ -186,29 +186,37 @@ def slots(vectors: DataFrame, key: str, count: int = 8, least: float = 0.42, rat
     return rows.mapInPandas(run, f"{kinds}, slot int, similarity double, loss double" + (", v_fast double, v_slow double, loss_mean double" if charged else ""))
 
 
+def ranked_fragments(fragments: list[dict], rank, keep: int) -> list[dict]:
+    """The ``keep`` fragments that rank highest, each snippet once, in order of days; equal ones stay in the order they came in."""
+    seen: dict[str, dict] = {}
+    for f in sorted(fragments, key=rank, reverse=True):
+        seen.setdefault(f["snippet"], f)
+    return sorted(list(seen.values())[:keep], key=lambda f: f["day"])
+
+
 def kept_fragments(daily: DataFrame, key: str, theta: float, decay: float, reset: float, cooldown: int = 1, least: int = 3, keep: int = 16, after: int = 2) -> DataFrame:
-    """A trace that gathers fragments until it fires: it needs ``least`` of them, holds the ``keep`` best without repetition, and after firing only ``after``.
+    """A trace that gathers fragments until it fires: it needs ``least`` of them that are no completion, holds the ``keep`` best (conflicts first, then evidence, by score and day), and after firing the last ``after``.
 
-    daily: key, day, input, completion, fragments array<struct<score, snippet>>. One series a key, of days; comes out: key, day, v, held, fired.
+    daily: key, day, input, completion, fragments array<struct<score, snippet, role>> in order. One series a key, of days; comes out: key, day, v, held, fired.
     """
     import pandas as pd
 
     kind = daily.schema[key].dataType.simpleString()
+    rank = lambda f: (f["role"] == "conflict", f["role"] == "evidence", f["score"], f["day"])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, last, fired_on, held, out = 0.0, None, None, {}, []
+        v, last, fired_on, held, out = 0.0, None, None, [], []
         for r in pdf.sort_values("day").itertuples(index=False):
             gap = 1 if last is None else max((r.day - last).days, 1)
             last = r.day
             v = max(0.0, decay**gap * v + r.input - r.completion)
-            for f in r.fragments:
-                held.setdefault(f["snippet"], f["score"])
-            held = dict(sorted(held.items(), key=lambda x: (-x[1], x[0]))[:keep])
-            hit = v >= theta and len(held) >= least and (fired_on is None or (r.day - fired_on).days >= cooldown)
+            if len(r.fragments):
+                held = ranked_fragments(held + [{"snippet": f["snippet"], "score": f["score"], "role": f["role"], "day": r.day} for f in r.fragments], rank, keep)
+            hit = v >= theta and sum(f["role"] != "completion" for f in held) >= least and (fired_on is None or (r.day - fired_on).days >= cooldown)
             out.append((getattr(r, key), r.day, v, len(held), hit))
             if hit:
                 fired_on, v = r.day, theta * reset
-                held = dict(list(held.items())[:after])
+                held = held[-after:]
         return pd.DataFrame(out, columns=[key, "day", "v", "held", "fired"])
 
     return daily.groupBy(key).applyInPandas(fold, f"{key} {kind}, day date, v double, held int, fired boolean")

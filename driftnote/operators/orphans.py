@@ -13,9 +13,9 @@ A parent may hold for a while only: from ``since`` up to, not including, ``until
 
 Scale: of the references only the distinct (key, instant) pairs meet the parents, after a
 map-side combine, so that a key holding a third of all references comes down to one row an
-instant. The verdict goes back to the references over a salted key: the orphan keys (a small
-part) are repeated once a salt, the references spread over the salts, whatever key is hot.
-Nothing is broadcast by force and nothing is collected.
+instant, with their number. The verdict goes back to the references over a salted key: an orphan key is repeated as often as it
+has ``rows_a_salt`` references, those spread over as many salts, whatever key is hot. How often that is for the few keys with more than one salt goes along with the
+references, as a broadcast of at most ``SPLIT`` rows (``rows_a_salt`` is at least that part of all references). Nothing else is broadcast by force and nothing is collected but a count.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 8
+ROWS_A_SALT = 2_000_000
+SPLIT = 10_000
 
 
 def orphan_references(
@@ -38,7 +39,7 @@ def orphan_references(
     at: str | None = None,
     since: str | None = None,
     until: str | None = None,
-    salts: int = SALTS,
+    rows_a_salt: int = ROWS_A_SALT,
 ) -> DataFrame:
     """The rows of ``refs`` that refer to no row of ``parents``.
 
@@ -64,6 +65,8 @@ def orphan_references(
         (F.col(f"`{until}`") if until else F.lit(None).cast("date")).alias("until"),
     ).distinct()
     every = (1 << k) - 1
+    total = refs.count()
+    rows_a_salt = max(rows_a_salt, -(-total // SPLIT))
     out = []
     for bits in product((0, 1), repeat=k):
         m = sum(b << i for i, b in enumerate(bits))
@@ -78,14 +81,21 @@ def orphan_references(
             continue
         on = [i for i, b in enumerate(bits) if not b]
         keys = [f"k{i}" for i in on]
-        wanted = part.select(*keys, "t").distinct()
+        wanted = part.groupBy(*keys, "t").agg(F.count("*").alias("n"))
         met = reduce(lambda a, b: a & b, [F.col(f"k{i}") == F.col(f"p{i}") for i in on])
         if since or until:
             t = F.col("t")
             met = met & (t.isNull() | F.col("since").isNull() | (F.col("since") <= t)) & (t.isNull() | F.col("until").isNull() | (F.col("until") > t))
-        missing = wanted.join(held, met, "left_anti").select(*[F.col(c).alias(f"o_{c}") for c in keys], F.col("t").alias("o_t"))
-        missing = missing.withColumn("o_salt", F.explode(F.array(*map(F.lit, range(salts)))))
-        salted = part.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
+        missing = wanted.join(held, met, "left_anti").select(*[F.col(c).alias(f"o_{c}") for c in keys], F.col("t").alias("o_t"), (F.ceil(F.col("n") / rows_a_salt)).cast("int").alias("salts"), F.xxhash64(*keys, "t").alias("h"))
+        salts = F.lit(1)
+        if total > rows_a_salt:
+            # at most SPLIT keys; two of one hash get the salts of both, which is as right
+            hot = missing.where("salts > 1").groupBy("h").agg(F.max("salts").alias("hot_salts")).withColumnRenamed("h", "hot_h")
+            missing = missing.join(F.broadcast(hot), F.col("h") == F.col("hot_h"), "left")
+            part = part.join(F.broadcast(hot), F.xxhash64(*keys, "t") == F.col("hot_h"), "left")
+            salts = F.coalesce("hot_salts", F.lit(1))
+        missing = missing.withColumn("o_salt", F.explode(F.sequence(F.lit(0), salts - 1))).select(*[f"o_{c}" for c in keys], "o_t", "o_salt")
+        salted = part.withColumn("salt", F.pmod(F.xxhash64("row"), salts).cast("int"))
         same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"o_{c}") for c in keys]) & F.col("t").eqNullSafe(F.col("o_t")) & (F.col("salt") == F.col("o_salt"))
         out.append(salted.join(missing, same, "left_semi").select("row"))
     if not out:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import lexicon as L
+
 RELATIONS = ["blocker", "action", "question", "completion"]
 RELATION_NAMES = {"blocker": "blocks", "action": "suggests_action_for", "question": "questions", "completion": "partly_closes"}
 
@@ -84,3 +86,50 @@ def rule_scores(hits: DataFrame, rules: DataFrame) -> DataFrame:
     coverage = F.size("covered") / F.col("n_topics")
     score = coverage * 4.0 + F.least("bridges", F.lit(4)) * 0.65 + F.size(F.array_intersect("required", "roles")) * 0.85 + F.size(F.array_intersect("boost", "roles")) * 0.35 + extra
     return s.select("name", coverage.alias("coverage"), "bridges", score.alias("score"))
+
+
+def rule_evidence(evidence: DataFrame, rules: list[tuple[str, list[str], list[str], list[str]]], top: int, order: list[str]) -> DataFrame:
+    """The ``top`` evidence (topics, roles, score, day, snippet) of each rule (name, topics, required, boost): by score, topics and roles in common and day, a snippet once; place is by day.
+
+    Rules are a literal of fixed size, so evidence meets them in a projection; ranks are kept to ``top`` before anything is shuffled.
+    """
+    words = lambda ws: F.array(*map(F.lit, ws)) if ws else F.expr("cast(array() as array<string>)")
+    each = F.array(*[F.struct(F.lit(n).alias("name"), words(t).alias("wanted"), words(q + [x for x in b if x not in q]).alias("liked")) for n, t, q, b in rules])
+    rows = evidence.withColumn("r", F.explode(each)).where(F.arrays_overlap("topics", "r.wanted"))
+    rows = rows.withColumn("name", F.col("r.name")).withColumn("overlap", F.size(F.array_intersect("topics", "r.wanted"))).withColumn("roles_met", F.size(F.array_intersect("roles", "r.liked"))).drop("r")
+    best = [F.round("score", 9).desc(), F.col("overlap").desc(), F.col("roles_met").desc(), F.col("day").desc(), *order]
+    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("name", "snippet").orderBy(*best))).where("rn = 1")
+    kept = first.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy(*best))).where(F.col("rank") <= top)
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("day", "rank"))).drop("rn")
+
+
+def checked_relations(relations: DataFrame, least: float = 0.0, confirmed: str | None = None) -> DataFrame:
+    """The relations (relation_type, score, ...) with type (in one spelling), confidence and reason: why one is passed over, null where it is kept."""
+    kind = F.regexp_replace(F.lower(F.trim(F.coalesce("relation_type", F.lit("unknown")))), "[ -]", "_")
+    alias = F.create_map(*[F.lit(x) for kv in L.RELATION_TYPES.items() for x in kv])
+    kind = F.when(kind == "", "unknown").otherwise(F.coalesce(F.try_element_at(alias, kind), kind))
+    sure = F.when(F.col("score").isNull(), 1.0).when(F.col("score") > 1, F.least(F.col("score") / 10, F.lit(1.0))).otherwise(F.greatest("score", F.lit(0.0)))
+    reason = F.when(F.col("type") == "unknown", "unknown relation_type").when(F.col("confidence") < least, "confidence")
+    if confirmed:
+        reason = reason.when(~F.coalesce(F.col(confirmed), F.lit(False)), "not confirmed")
+    return relations.withColumn("type", kind).withColumn("confidence", sure).withColumn("reason", reason)
+
+
+def policy_drafts(relations: DataFrame) -> DataFrame:
+    """One draft a topic from kept relations (seq, source, target, type, hypothesis): deltas add up, the longest cooldown, the strongest priority and action hold; the first eight
+    different reasons. Deltas are kept within 2 either way, cooldowns within 30 days."""
+    effect = lambda es: F.array(*[F.struct(F.lit(side).alias("side"), F.lit(d).alias("delta"), F.lit(p).alias("priority"), F.lit(L.ACTIONS.index(a)).alias("action"), F.lit(c).alias("cooldown")) for side, d, p, a, c in es])
+    table = F.create_map(*[x for k, es in L.RELATION_EFFECTS.items() for x in (F.lit(k), effect(es))])
+    named = relations.select("seq", "type", F.trim("source").alias("source"), F.trim("target").alias("target"), "hypothesis").where("source <> '' and target <> ''")
+    rows = named.withColumn("e", F.explode(F.coalesce(F.try_element_at(table, F.col("type")), table[F.lit("")])))
+    name = F.concat("source", F.lit(" -["), "type", F.lit("]-> "), "target")
+    rows = rows.select("seq", F.when(F.col("e.side") == "source", F.col("source")).otherwise(F.col("target")).alias("topic"), "e.*", F.coalesce(F.nullif(F.trim("hypothesis"), F.lit("")), name).alias("reason"))
+    sums = rows.groupBy("topic").agg(F.round(F.sum("delta"), 6).alias("delta"), F.min("priority").alias("priority"), F.max("action").alias("action"), F.max("cooldown").alias("cooldown"), F.count("*").alias("relations"))
+    # a topic may have any number of relations: reasons are ranked before they are put together
+    first = rows.groupBy("topic", "reason").agg(F.min("seq").alias("seq")).withColumn("rn", F.row_number().over(Window.partitionBy("topic").orderBy("seq", "reason"))).where("rn <= 8")
+    reasons = first.groupBy("topic").agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", "reason"))), lambda x: x["reason"]).alias("reasons"))
+    names = F.array(*map(F.lit, L.ACTIONS))
+    return sums.join(reasons, "topic").select(
+        "topic", F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.col("delta"))).alias("threshold_delta"), "priority", names[F.col("action")].alias("action"), F.least("cooldown", F.lit(30)).alias("cooldown_days"), "relations", "reasons",
+        F.col("delta").alias("unclamped"),
+    )

@@ -52,9 +52,9 @@ def joi6_meta_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top5_meta_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five points of most energy at or above the meta threshold (the report's size)."""
-    rows = P.meta_energy(_points(spark, sf_dir), ["vault"]).where(F.col("energy") >= P.META)
-    return rows.orderBy(F.col("energy").desc(), F.col("conflict").desc(), F.col("error_ema").desc(), "vault", "day", "state").limit(5).select("vault", "state", "day", F.round("energy", 6).alias("energy"))
+    """The five points of most energy (the report's size), and whether they reach the meta threshold."""
+    rows = P.meta_energy(_points(spark, sf_dir), ["vault"])
+    return rows.orderBy(F.round("energy", 9).desc(), F.round("conflict", 9).desc(), F.round("error_ema", 9).desc(), "vault", "day", "state").limit(5).select("vault", "state", "day", F.round("energy", 6).alias("energy"), (F.col("energy") >= P.META).alias("fired"))
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,9 +108,9 @@ def lif14_diffusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vec1_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many features each note's vector has, and the weight of the greatest."""
+    """How many features each note's vector has, the weight of the greatest, and a checksum over every feature and weight."""
     v = V.sparse_vectors(notes(spark, sf_dir).select("note_id", "text", "title", "tags"))
-    return v.groupBy("note_id").agg(F.count("*").alias("features"), F.round(F.max("weight"), 6).alias("greatest"))
+    return v.groupBy("note_id").agg(F.count("*").alias("features"), F.round(F.max("weight"), 6).alias("greatest"), F.round(F.sum(F.col("weight") * (F.length("feature") + F.ascii(F.substring("feature", -1, 1)))), 4).alias("checksum"))
 
 
 def _query_vector(spark: SparkSession) -> DataFrame:
@@ -287,7 +287,7 @@ ORACLE = {
     "lif11_prediction": _TIME + f"select vault, state, day, {_R('predicted', 'error')}, round(ema, 6) as error_ema, {_R('effective')}, micro, macro, streak from q",
     "agg25_homeostasis": _TIME + "select vault, state, count_if(micro)::bigint as micro, count_if(macro)::bigint as macro, round(least(greatest(0.08::double * (avg(micro::int::double) - 0.35::double), 0.35::double - 0.55::double), 0.85::double - 0.55::double), 6) as threshold_delta, round(arg_max(ema, day), 6) as last_error from q group by 1, 2",
     "joi6_meta_energy": _TIME + f"select vault, state, day, {_R('conflict', 'global_voltage', 'micro_density', 'low_completion', 'energy')} from z",
-    "top5_meta_spikes": _TIME + "select vault, state, day, round(energy, 6) as energy from z where energy >= 2.15 order by z.energy desc, conflict desc, ema desc, vault, day, state limit 5",
+    "top5_meta_spikes": _TIME + "select vault, state, day, round(energy, 6) as energy, z.energy >= 2.15::double as fired from z order by round(z.energy, 9) desc, round(conflict, 9) desc, round(ema, 9) desc, vault, day, state limit 5",
     "joi2_resolved_links": f"with {_RESOLVE} select link, path from res",
     "joi3_inbound": f"with {_RESOLVE} select target, count(distinct source)::bigint as inbound from ed where target is not null and source <> target group by 1",
     "agg9_degrees": f"""with {_RESOLVE}, ou as (select source as path, count(distinct case when target is not null then link end)::bigint as outbound, count(distinct case when target is null then link end)::bigint as unresolved from ed group by 1),
@@ -295,7 +295,7 @@ inn as (select target as path, count(distinct source)::bigint as inbound from ed
 select path, coalesce(outbound, 0) as outbound, coalesce(unresolved, 0) as unresolved, coalesce(inbound, 0) as inbound, coalesce(outbound, 0) + coalesce(inbound, 0) as bridge from ou full join inn using (path)""",
     "joi4_neighbourhood": f"with {_NEIGH} select src as note_id, count(*)::bigint as degree, round(count(*)::double / max(count(*)) over (), 6) as centrality from nbr group by 1",
     "lif14_diffusion": _DIFFUSE,
-    "vec1_sparse": f"with {NOTES}, {_vectors_sql('vv', 'notes')} select note_id, count(*)::bigint as features, round(max(weight), 6) as greatest from vv group by 1",
+    "vec1_sparse": f"with {NOTES}, {_vectors_sql('vv', 'notes')} select note_id, count(*)::bigint as features, round(max(weight), 6) as greatest, round(sum(weight * (length(feature) + unicode(right(feature, 1)))), 4) as checksum from vv group by 1",
     "vec2_field_hits": _FIELD + " select note_id, round(similarity, 6) as similarity, round(score, 6) as score, array_to_string(m, '|') as modifiers from hits",
     "agg16_field_days": _FIELD + " select day, round(sum(current), 6) as current, round(sum(completion), 6) as completion from hits group by 1",
     "agg17_field_energy": _FIELD + " select round(sum(score), 6) as energy from (select score from hits order by score desc, note_id limit 12)",

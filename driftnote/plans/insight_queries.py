@@ -11,6 +11,7 @@ from .. import lexicon as L
 from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import insight as I
+from ..operators import memory as M
 from ..sources.vault import file_signals
 from ..tables import spread, table
 from .common import NOTES, arrivals, day_as_text, notes, sql_any, sql_list
@@ -66,10 +67,19 @@ def lif8_inspiration_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four traces and the material that they need to fire."""
     f = _inspiration(spark, sf_dir)
     w = Window.partitionBy("vault", "day").orderBy(F.col("score").desc(), "note_id", "block_index")
-    top = f.withColumn("rn", F.row_number().over(w)).where("rn <= 10").groupBy("vault", "day").agg(F.sort_array(F.collect_list(F.struct("score", T.snippet(F.col("block"), 120).alias("snippet"), "roles")), False).alias("top"))
+    top = f.withColumn("rn", F.row_number().over(w)).where("rn <= 10").groupBy("vault", "day").agg(F.sort_array(F.collect_list(F.struct("rn", "score", T.snippet(F.col("block"), 120).alias("snippet"), "roles", "domains"))).alias("top"))
     return I.inspiration_spikes(I.daily_inspiration(f, ["vault", "day"]).join(top, ["vault", "day"]), "vault")
 
 
+def lif7_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trace for each vault that gathers the question's eight best fragments of a day until it fires."""
+    f = _questions(spark, sf_dir)
+    w = Window.partitionBy("vault", "day").orderBy(F.col("score").desc(), "note_id", "block_index")
+    top = f.withColumn("rn", F.row_number().over(w)).where("rn <= 8").groupBy("vault", "day").agg(F.sort_array(F.collect_list(F.struct("rn", "score", T.snippet(F.col("block"), 110).alias("snippet"), "role"))).alias("fragments"))
+    sums = f.groupBy("vault", "day").agg(F.least(F.sum("score"), F.lit(I.QUESTION["cap"])).alias("input"), F.least(F.sum("inhibition"), F.lit(2.5)).alias("completion"))
+    return M.kept_fragments(sums.join(top, ["vault", "day"]), "vault", 7.5, 0.86, 0.35)
+
+
 def joi8_completed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily evidence with the completion that files of the day add (0.7 a file, 1.4 at most, 2.2 in all): a left join."""
     days = table(spark, sf_dir, "note_observations").select("day")
@@ -112,7 +122,7 @@ _PART = lambda when, share: f"round(least(sum(case when {when} then score else 0
 
 QUERIES = {
     "mat3_question_fragments": mat3_question_fragments, "agg2_question_days": agg2_question_days, "mat4_word_counts": mat4_word_counts, "sco7_inspiration_fragments": sco7_inspiration_fragments, "agg3_daily_inspiration": agg3_daily_inspiration,
-    "lif8_inspiration_spikes": lif8_inspiration_spikes, "joi8_completed_days": joi8_completed_days, "mat12_incremental": mat12_incremental, "set_tag_overlap": set_tag_overlap,
+    "lif7_fragments": lif7_fragments, "lif8_inspiration_spikes": lif8_inspiration_spikes, "joi8_completed_days": joi8_completed_days, "mat12_incremental": mat12_incremental, "set_tag_overlap": set_tag_overlap,
 }
 ORACLE = {
     "mat3_question_fragments": f"with {_QF} select note_id, block_index, array_to_string(hits, '|') as hits, round(score, 6) as score, role, inhibition from qf",
@@ -125,4 +135,4 @@ ORACLE = {
     "set_tag_overlap": f"""with {NOTES}, t as (select note_id, list_distinct(coalesce(tags, [])) as tags, lower(text) as low from notes), s as (select note_id, tags, {_KINDS(L.TOPICS)} as topics from t)
 select note_id, len(list_distinct(list_concat(tags, topics)))::int as either, len(list_intersect(tags, topics))::int as both, len(list_filter(tags, lambda x: not list_contains(topics, x)))::int as tags_only, len(list_intersect(tags, topics)) > 0 as overlap from s""",
 }
-day_as_text(QUERIES, ORACLE, ["agg2_question_days", "agg3_daily_inspiration", "lif8_inspiration_spikes", "joi8_completed_days"])
+day_as_text(QUERIES, ORACLE, ["agg2_question_days", "agg3_daily_inspiration", "lif7_fragments", "lif8_inspiration_spikes", "joi8_completed_days"])

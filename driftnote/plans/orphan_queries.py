@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import link_keys, title_key
 from ..operators.orphans import orphan_references
+from ..session import cut
 from ..tables import table
 
 SOURCES = {"note_observations": ("obs_id", "links"), "evidence_hits": ("hit_id", "outgoing_links")}
@@ -18,7 +19,7 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, (key, links) in SOURCES.items():
         rows = table(spark, sf_dir, name).where(f"size({links}) > 0").select(F.lit(name).alias("source_table"), F.col(key).alias("source_id"), "day", links)
         parts.append(rows.select("source_table", "source_id", "day", F.explode(link_keys(links)).alias("target_key")))
-    return parts[0].unionAll(parts[1]).distinct()
+    return cut(parts[0].unionAll(parts[1]).distinct(), "references")  # keyed once: they are read to be checked and to get the verdict back
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,9 +75,18 @@ orphans as (select * from refs r where target_key is not null and not exists
   (select 1 from notes n where n.k = r.target_key and n.created <= r.day and (n.removed_on is null or n.removed_on > r.day)))
 """
 
-QUERIES = {"p3_found": p3_found, "p3_by_month": p3_by_month}
+def p3_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References by a key of two columns that is null in part: documents (title, day) against the notes of that title and day. A document without a title is met by any note of its day, one
+    without either by anything."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "title", "day")
+    parents = table(spark, sf_dir, "note_observations").select(F.col("title").alias("note_title"), F.col("day").alias("note_day"))
+    return orphan_references(docs, parents, ["title", "day"], ["note_title", "note_day"], match="partial").select("doc_id", "title")
+
+
+QUERIES = {"p3_found": p3_found, "p3_by_month": p3_by_month, "p3_composite": p3_composite}
 ORACLE = {
     "p3_found": _ORPHANS_SQL + "select source_table, source_id, target_key from orphans",
+    "p3_composite": "select doc_id, title from documents d where not (title is null and day is null) and not exists (select 1 from note_observations n where (d.title is null or n.title = d.title) and (d.day is null or n.day = d.day))",
     "p3_by_month": _ORPHANS_SQL
     + "select source_table, strftime(day, '%Y-%m') as month, count(*) as orphans, count(distinct source_id) as records, count(distinct target_key) as keys from orphans group by all",
 }

@@ -14,7 +14,7 @@ from .common import day_as_text, notes, sql_any, sql_list
 from .evidence_queries import EVIDENCE, _evidence
 from .field_queries import _edges, _points, _RESOLVE, _TIME
 from .orphan_queries import term_key_sql
-from .relation_queries import _CELLS, _FRAG, _HITS, _hits, _observations, _terms
+from .relation_queries import _CELLS, _OBS, _WORDS, _FRAG, _HITS, _hits, _observations, _terms
 from .stream_queries import ORACLE as STREAM_ORACLE
 from .stream_queries import agg6_merged_policies
 
@@ -141,6 +141,8 @@ select path, round(1.5::double * coalesce(i, 0) + coalesce(o, 0) + 0.35::double
  - case when {sql_any('low', L.COMPLETION)} and not {sql_any('low', L.INCOMPLETE)} then 0.18::double else 0 end)), 6) as intensity from l""",
     "agg23_views": f"select vault, view, round(sum(pressure * weight), 4) as score, first(dimension order by pressure desc, dimension desc) as strongest from ({_CELLS}) join (values {', '.join(f"('{v}', '{d}', {w}::double)" for v, m in VIEWS.items() for d, w in m.items())}) as vw(view, dimension, weight) using (dimension) group by 1, 2",
     "joi9_effective_thresholds": f"with {_HITS}, h2 as (select hit_id, day, score, unnest(topics) as topic from hits), p as ({STREAM_ORACLE['agg6_merged_policies']}) select topic, day, round(sum(score), 4) as score, max(coalesce(threshold, 7.0::double)) as threshold from h2 left join p using (topic) where topic is not null and not coalesce(muted, false) group by 1, 2",
+    "ext7_dimension_words": f"""with {_OBS}, w as (select dimension, word, count(*) as uses from (select unnest(dims) as dimension, {_WORDS} as words from obs) t, unnest(t.words) as u(word) group by 1, 2),
+k as (select *, row_number() over (partition by dimension order by uses desc, word) as rank from w) select dimension, string_agg(word, ' / ' order by rank) as label from k where rank <= 4 group by 1""",
     "txt15_flattened": "select event_id, case when json_type(props) = 'OBJECT' then array_to_string(list_transform(json_keys(props), lambda k: json_extract_string(props, '$.\"' || k || '\"')), ' ') else props end as flat from events",
 }
 day_as_text(QUERIES, ORACLE, ["top4_prediction_errors", "joi9_effective_thresholds"])

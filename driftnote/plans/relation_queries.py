@@ -15,7 +15,7 @@ from ..operators import relations as R
 from ..operators import vectors as V
 from ..operators.recurrence import leaky_fold
 from ..tables import once, spread, table
-from .common import NOTES, arrivals, day_as_text, notes, sql_any, sql_list
+from .common import NOTES, arrivals, notes, sql_any, sql_list
 from .orphan_queries import term_key_sql
 from .text_queries import _norm, blocks_sql
 
@@ -140,17 +140,6 @@ def top10_high_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _slot_rows(spark, sf_dir).withColumn("rank", F.row_number().over(w)).where("rank <= 8").select("vault", "rank", "note_id", "block_index", "slot", "loss")
 
 
-def lif7_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A trace for each vault that gathers the day's best hits until it fires."""
-    h = _hits(spark, sf_dir).where("snippet is not null")
-    w = Window.partitionBy("view", "day").orderBy(F.col("score").desc(), "hit_id")
-    best = h.withColumn("rn", F.row_number().over(w)).where("rn <= 8")
-    done = F.least(F.sum(F.when(F.array_contains("roles", "completion"), 0.85).otherwise(0.0)), F.lit(2.5))
-    sums = h.groupBy("view", "day").agg(F.least(F.sum("score"), F.lit(6.0)).alias("input"), done.alias("completion"))
-    top = best.groupBy("view", "day").agg(F.sort_array(F.collect_list(F.struct("score", "snippet")), False).alias("fragments"))
-    return M.kept_fragments(sums.join(top, ["view", "day"]), "view", 7.5, 0.86, 0.35)
-
-
 def agg18_dominant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each topic and role occurs, ranked within its kind."""
     h = _hits(spark, sf_dir)
@@ -194,7 +183,7 @@ def sco12_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.join(rare, F.col("fragment_id").eqNullSafe(F.col("owner")), "left").na.fill(0, ["rare"])
     rows = rows.withColumn("novelty", unit(F.col("novelty") + F.least("rare", F.lit(12)) / 30.0)).withColumn("fatigue", F.when(F.col("tokens") < 8, unit(F.col("fatigue") + 0.25)).otherwise(F.col("fatigue")))
     rows = rows.withColumn("fatigue", F.when((F.col("urgency") > 0.35) | (F.col("risk") > 0.35), F.greatest(F.lit(0.0), F.col("fatigue") - 0.15)).otherwise(F.col("fatigue")))
-    return rows.select("fragment_id", *[F.round(name, 4).alias(name) for name in M.SIGNALS])
+    return rows.select("fragment_id", *[F.round(F.col(name) + 1e-9, 4).alias(name) for name in M.SIGNALS])
 
 
 def sco20_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +218,7 @@ select w.vault, w.dimension, w.r as observations, round(f, 5) as v_fast, round(s
 QUERIES = {
     "agg10_concepts": agg10_concepts, "lif15_selected_concepts": lif15_selected_concepts, "agg11_relations": agg11_relations, "joi11_topic_edges": joi11_topic_edges, "agg13_topic_nodes": agg13_topic_nodes, "agg15_merged_views": agg15_merged_views,
     "top7_view_evidence": top7_view_evidence, "sco11_view_scores": sco11_view_scores, "agg12_rule_scores": agg12_rule_scores, "ext1_observations": ext1_observations, "lif9_latent_cells": lif9_latent_cells, "lif13_slots": lif13_slots, "agg27_slot_terms": agg27_slot_terms, "top10_high_loss": top10_high_loss,
-    "lif7_fragments": lif7_fragments, "agg18_dominant": agg18_dominant, "lif12_controller": lif12_controller, "sco12_salience": sco12_salience, "sco12_signals": sco12_signals, "sco20_quality": sco20_quality,
+    "agg18_dominant": agg18_dominant, "lif12_controller": lif12_controller, "sco12_salience": sco12_salience, "sco12_signals": sco12_signals, "sco20_quality": sco20_quality,
 }
 ORACLE = {
     "agg10_concepts": f"with {_FRAG} select term, count(*)::bigint as count, count(distinct day)::bigint as days, round(count(*) * (1 + ln(1 + count(distinct day))) * (0.7::double + least(length(term), 8) / 8.0::double), 5) as score from tk group by term having count(*) >= 3",
@@ -261,4 +250,3 @@ select user_id, unit, count(*)::bigint as days, count_if(v >= 0.72)::bigint as f
 select fragment_id, count(*)::bigint as terms, count(c.term)::bigint as rare from t left join c using (term) group by 1""",
     "sco20_quality": "with r as (select candidate_id, any_value(run_day) as run_day, any_value(score) as score, (" + " + ".join(f"case when length(coalesce(any_value({c}), '')) >= 4 then 1.0::double else 0 end" for c in ("source", "target", "hypothesis", "next_validation_action")) + ") / 4 as quality from relation_candidates group by 1) select candidate_id, quality, row_number() over (partition by run_day order by quality desc, score desc nulls last, candidate_id)::int as rank from r",
 }
-day_as_text(QUERIES, ORACLE, ["lif7_fragments"])

@@ -1,6 +1,8 @@
 import random
 from datetime import date, timedelta
 
+from pyspark.sql import functions as F
+
 from driftnote.lexicon import NEURONS, Neuron
 from driftnote.operators import recurrence as R
 
@@ -70,3 +72,22 @@ def test_calendar_and_empty(spark):
     assert len(out) == 5 and out[0]["fired"] and abs(out[0]["v"] - (8 * 0.65 + 8 * 0.42 * 0.35)) < 1e-9
     assert R.calendar_field(df.limit(0), ["key"]).count() == 0
     assert R.spiking(frame(spark).limit(0), ["vault"], parameters(spark)).count() == 0
+
+
+def test_twelve_years_equal_the_fold(spark):
+    """A decay that would overflow as one closed form, gaps of years and same-day rows; a null key is a key."""
+    r = random.Random(2)
+    rows, day = [], date(2010, 1, 1)
+    for i in range(900):
+        day += timedelta(days=r.choice([0, 1, 1, 2, 9, 300 if i % 200 == 7 else 3]))
+        rows += [(k, day, i, r.uniform(-2, 3)) for k in ("a", None)]
+    df = spark.createDataFrame(rows, "k string, day date, i int, x double")
+    got = {(x["k"], x["i"]): x["v"] for x in R.leaky_closed(df, ["k"], F.col("x"), 0.4, "v", ["i"]).collect()}
+    for key in ("a", None):
+        v, last = 0.0, None
+        for k, d, i, x in rows:
+            if k == key:
+                v = max(0.0, 0.4 ** ((d - last).days if last else 0) * v + x)
+                last = d
+                assert abs(got[key, i] - v) < 1e-9
+    assert (last - rows[0][1]).days > 12 * 365
