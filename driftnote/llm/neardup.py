@@ -5,7 +5,8 @@ each), whose bits agree or differ together. Two codes whose sets have a Jaccard
 
 1. Grouping. Which values agree together is measured over all records: how many records of its batch share each value of a record, and how these numbers go together
    from value to value. Boilerplate makes some values agree in many records at once; correlated ones are grouped into one partition, so what many records share ends up
-   in few partitions and the others tell records apart.
+   in few partitions and the others tell records apart. Where records are made of many overlapping templates no grouping does that for all of them at once; so values of different
+   functions, spread at random, are the other grouping, and the one whose allocation is estimated to cost less is taken.
 2. Allocating. The candidates that each partition gives, with all of its values equal (threshold 0) or all but one (1), are estimated over all records. A
    partition of w values differs in at most t of them with a known probability, and the misses of the partitions multiply: the budget is that they leave at most
    ``miss`` of the pairs at the threshold unfound. Dynamic programming gives each partition its threshold (-1: not probed), at the least cost in candidates and
@@ -106,13 +107,15 @@ class Partitions:
         self.columns, self.functions, self.seed = columns, functions, seed
         self.width = len(columns[0])
 
-    def mixed(self, keys: list[str]) -> np.ndarray:
-        """(records, partitions, values): a 64-bit hash of each value, whose sums are signatures."""
+    def values(self, keys: list[str]) -> np.ndarray:
         codes, row = gram_codes(keys)
-        v = values(codes, row, len(keys), range(self.functions), self.seed)
+        return values(codes, row, len(keys), range(self.functions), self.seed)
+
+    def mixed(self, v: np.ndarray) -> np.ndarray:
+        """(records, partitions, values): a 64-bit hash of each value, whose sums are signatures."""
         at = np.array(self.columns)
         salted = v[:, at.ravel()].astype(np.uint64) + (at.ravel().astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        return _mix64(salted).reshape(len(keys), *at.shape)
+        return _mix64(salted).reshape(len(v), *at.shape)
 
     def signatures(self, mixed: np.ndarray, scope: np.ndarray, part: int, drop: int | None = None) -> np.ndarray:
         """A signature of a partition's values (but the one at place ``drop``), of the scope and of which partition it is."""
@@ -137,6 +140,14 @@ def grouped(correlation: np.ndarray, level: np.ndarray, width: int) -> list[list
     return out
 
 
+def spread_out(functions: int, width: int, seed: int) -> list[list[int]]:
+    """Partitions of ``width`` columns of different functions, their bins at random."""
+    rng = np.random.default_rng(101 + seed)
+    bins = np.stack([rng.permutation(BINS) for _ in range(functions)])
+    flat = [f * BINS + int(bins[f, i]) for i in range(BINS) for f in range(functions)]
+    return [flat[i : i + width] for i in range(0, len(flat) - width + 1, width)]
+
+
 def passes(width: int, t: int, similarity: float) -> float:
     """The probability that at most ``t`` of a partition's values differ."""
     return sum(comb(width, k) * similarity ** (width - k) * (1 - similarity) ** k for k in range(t + 1))
@@ -253,30 +264,35 @@ def _probes(parts: Partitions, thresholds: list[int]) -> list[tuple[int, int | N
     return [(p, d) for p, t in enumerate(thresholds) if t >= 0 for d in _ways(parts, t)]
 
 
-def estimated(reps: DataFrame, parts: Partitions) -> tuple[list[list[float]], int, dict[tuple[int, int | None], list[int]]]:
-    """For each partition its candidates over all records at thresholds 0 and 1, the number of records, and for each probe the signatures that about one record in
-    ``OFTEN`` has.
+Costs = list[list[float]]
+
+
+def estimated(reps: DataFrame, groupings: list[Partitions]) -> tuple[list[Costs], int, list[dict[tuple[int, int | None], list[int]]]]:
+    """For each grouping and partition the candidates over all records at thresholds 0 and 1, the number of records, and for each grouping and probe the signatures that about one
+    record in ``OFTEN`` has.
 
     A signed count sketch of each signature's records gives the number of pairs. A signature that frequent makes up half as much of some batches, which hold most of its records; those batches
     count it. There are at most 2 * OFTEN of a probe.
     """
-    probes = [(p, d) for p in range(len(parts.columns)) for d in (None, *range(parts.width))]
+    probes = [(g, p, d) for g, parts in enumerate(groupings) for p in range(len(parts.columns)) for d in (None, *range(parts.width))]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, seen = np.zeros((len(probes), SLOTS)), 0
         for batch in _slices(batches):
             _, scope, keys = _unpacked(batch)
-            m = parts.mixed(keys)
+            v = groupings[0].values(keys)
+            mixed = [parts.mixed(v) for parts in groupings]
             least = max(FEW, len(keys) / (2 * OFTEN))
-            for k, (p, d) in enumerate(probes):
-                s = parts.signatures(m, scope, p, d)
+            for k, (g, p, d) in enumerate(probes):
+                s = groupings[g].signatures(mixed[g], scope, p, d)
                 slot = (s >> np.uint64(54)).astype(np.int64)
                 sums[k] += np.bincount(slot, np.where((s >> np.uint64(20)) & np.uint64(1), 1.0, -1.0), SLOTS)
                 full = np.bincount(slot, minlength=SLOTS) >= least + len(keys) / SLOTS
                 if full.any():
                     often, c = np.unique(s[full[slot]], return_counts=True)
                     often, c = often[c >= least], c[c >= least]
-                    yield _sums({}, k, often, c)
+                    if len(often):
+                        yield _sums({}, k, often, c)
             seen += len(keys)
         yield _sums({**{k: sums[k] for k in range(len(probes))}, len(probes): np.array([float(seen)])})
 
@@ -285,12 +301,12 @@ def estimated(reps: DataFrame, parts: Partitions) -> tuple[list[list[float]], in
     n = int(rows[len(probes)][0]) if rows else 0
     often = table.where("at < 0").where(F.col("sums")[0] * 2 * OFTEN >= max(n, 2 * OFTEN * HOT)).select("at", "s").collect()
     discard(table)
-    pairs = [max(0.0, ((rows[k] ** 2).sum() - n) / 2) if rows else 0.0 for k in range(len(probes))]
-    of = {x: pairs[k] for k, x in enumerate(probes)}
-    costs = [[of[p, None], sum(of[p, d] for d in range(parts.width))] for p in range(len(parts.columns))]
-    by_probe: dict[tuple[int, int | None], list[int]] = {}
+    pairs = {x: max(0.0, ((rows[k] ** 2).sum() - n) / 2) if rows else 0.0 for k, x in enumerate(probes)}
+    costs = [[[pairs[g, p, None], sum(pairs[g, p, d] for d in range(parts.width))] for p in range(len(parts.columns))] for g, parts in enumerate(groupings)]
+    by_probe: list[dict[tuple[int, int | None], list[int]]] = [{} for _ in groupings]
     for r in often:
-        by_probe.setdefault(probes[-1 - r[0]], []).append(r[1])
+        g, p, d = probes[-1 - r[0]]
+        by_probe[g].setdefault((p, d), []).append(r[1])
     return costs, n, by_probe
 
 
@@ -301,7 +317,7 @@ def _emitter(parts: Partitions, thresholds: list[int], buckets: int, often: np.n
         for batch in _slices(batches):
             rec, scope, keys = _unpacked(batch)
             n = len(keys)
-            m = parts.mixed(keys)
+            m = parts.mixed(parts.values(keys))
             s = np.empty((n, len(probes)), np.uint64)
             for i, (p, d) in enumerate(probes):
                 s[:, i] = parts.signatures(m, scope, p, d)
@@ -396,15 +412,17 @@ class Plan:
 def planned(reps: DataFrame, threshold: float, miss: float, functions: int, width: int, seed: int = 0) -> Plan:
     """Partitions and thresholds for records (rec, scope, key)."""
     functions = functions_for(width, threshold, miss, functions)
-    correlation, level = correlations(reps, functions, seed)
-    parts = Partitions(grouped(correlation, level, width), functions, seed)
-    costs, n, often = estimated(reps, parts)
-    thresholds = allocate(costs, width, threshold, miss, SIGNATURE_COST * n)
-    own = [s for x in _probes(parts, thresholds) for s in often.get(x, [])]
-    return Plan(parts, thresholds, costs, n, np.sort(np.array(own, np.int64).view(np.uint64)))
+    groupings = [Partitions(grouped(*correlations(reps, functions, seed), width), functions, seed), Partitions(spread_out(functions, width, seed), functions, seed)]
+    costs, n, often = estimated(reps, groupings)
+    plans = []
+    for parts, own, frequent in zip(groupings, costs, often):
+        thresholds = allocate(own, width, threshold, miss, SIGNATURE_COST * n)
+        kept = [s for x in _probes(parts, thresholds) for s in frequent.get(x, [])]
+        plans.append(Plan(parts, thresholds, own, n, np.sort(np.array(kept, np.int64).view(np.uint64))))
+    return min(plans, key=lambda p: p.candidates() + SIGNATURE_COST * n * len(p.probes))
 
 
-def similar_pairs(reps: DataFrame, threshold: float, miss: float, functions: int = 6, width: int = 5, depth: int = 0) -> DataFrame:
+def similar_pairs(reps: DataFrame, threshold: float, miss: float, functions: int = 8, width: int = 5, depth: int = 0) -> DataFrame:
     """(a, b, similarity), a < b, of records (rec, scope, key) at or above the threshold; a pair may come twice."""
     plan = planned(reps, threshold, miss, functions, width, depth)
     parts, thresholds, n, often = plan.parts, plan.thresholds, plan.records, plan.often
@@ -502,6 +520,7 @@ class NearDuplicates:
         """
         usable = rows.where("id is not null and key is not null").where(F.length("key") >= least)
         hashed = usable.select(F.xxhash64("scope").alias("scope"), F.col("id").cast("bigint").alias("id"), "key", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
+        hashed = cut(hashed, "keyed")  # keys are made once: representatives and members read them
         distinct = hashed.groupBy("scope", "h1", "h2").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("key").alias("key"))
         self.representatives = cut(distinct.withColumn("rec", F.monotonically_increasing_id()), "representatives")
         repeated = self.representatives.where("last > id").select("scope", "h1", "h2", F.col("id").alias("representative"))

@@ -74,7 +74,7 @@ def test_frequent_signatures(spark, monkeypatch):
     r = Random(8)
     rows = texts(9, 30) + [("s", 9000 + i, "the same boilerplate for every single record of this feed" + "".join(r.choice("abcdefgh") for _ in range(4))) for i in range(60)]
     reps = spark.createDataFrame([(i, 0, k) for i, (_, _, k) in enumerate(rows)], "rec long, scope long, key string")
-    plan = N.planned(reps, 0.65, 1e-3, 6, 5)
+    plan = N.planned(reps, 0.65, 1e-3, 8, 5)
     assert len(plan.often) > 0
     assert found(spark, rows) == brute(rows)
 
