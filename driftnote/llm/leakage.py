@@ -7,7 +7,7 @@ items; hits are counted in overlapping bands of diagonals, as wide as the edits
 retained, and verified by a banded alignment of the stretch. Positions are those of the text keys.
 
 The items are a stated query set of bounded size (the size is checked); their q-gram index goes to every task, in
-blocks of items if it is larger than a block. Documents are read once, whole, without a shuffle; of the corpus nothing is sent
+blocks of items if it is larger than a block, each with a scan of its own. Documents are read whole, once a block, without a shuffle; of the corpus nothing is sent
 to the driver, and only documents with a retained stretch leave the scan.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -176,8 +177,11 @@ def merged(found: list[tuple[int, int, int, int, int]], reach: int) -> list[tupl
     """Stretches of one group on neighbouring diagonals that overlap become one: bands overlap, so most are found twice."""
     out: list[list[int]] = []
     for g, low, high, first, last in sorted(found, key=lambda s: (s[0], s[3], s[1])):
-        for o in reversed(out[-8:]):
-            if o[0] == g and first <= o[4] + reach and low <= o[2] + reach and high >= o[1] - reach and max(high, o[2]) - min(low, o[1]) <= 4 * reach:
+        for o in reversed(out):
+            if o[0] != g:
+                out.append([g, low, high, first, last])
+                break
+            if first <= o[4] + reach and low <= o[2] + reach and high >= o[1] - reach and max(high, o[2]) - min(low, o[1]) <= 4 * reach:
                 o[1], o[2], o[4] = min(o[1], low), max(o[2], high), max(o[4], last)
                 break
         else:
@@ -263,17 +267,20 @@ def leaked_passages(documents: DataFrame, id_column: str, text: str, items: list
         if sum(len(k) for _, k in blocks[-1]) > BLOCK_CHARS:
             blocks.append([])
         blocks[-1].append(x)
-    indexes = [ItemIndex([k for _, k in b], [i for i, _ in b], q) for b in blocks]
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [text_key(t) for t in batch.column(1).to_pylist()]
-            found = [(r, index.ids[k], s, e, p, n, m) for index in indexes if index.keys for r, k, s, e, p, n, m in _search(keys, index, run, edits)]
-            if found:
-                columns = list(zip(*found))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(columns[0])), *[pa.array(c, pa.int64()) for c in columns[1:]]],
-                    names=["id", "item_id", "item_start", "item_end", "text_start", "edits", "exact_run"],
-                )
-
-    return documents.select(id_column, text).mapInArrow(search, f"id {kind}, item_id bigint, item_start bigint, item_end bigint, text_start bigint, edits bigint, exact_run bigint")
+
+    def scan(index: ItemIndex) -> DataFrame:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = [text_key(t) for t in batch.column(1).to_pylist()]
+                found = [(r, index.ids[k], s, e, p, n, m) for r, k, s, e, p, n, m in _search(keys, index, run, edits)] if index.keys else []
+                if found:
+                    columns = list(zip(*found))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(columns[0])), *[pa.array(c, pa.int64()) for c in columns[1:]]],
+                        names=["id", "item_id", "item_start", "item_end", "text_start", "edits", "exact_run"],
+                    )
+
+        return documents.select(id_column, text).mapInArrow(search, f"id {kind}, item_id bigint, item_start bigint, item_end bigint, text_start bigint, edits bigint, exact_run bigint")
+
+    # a scan for each block, so no task holds more than one
+    return reduce(DataFrame.unionAll, [scan(ItemIndex([k for _, k in b], [i for i, _ in b], q)) for b in blocks])
