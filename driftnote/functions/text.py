@@ -97,7 +97,7 @@ def found(lowered: Column, *lexicons: list[str]) -> Column:
     """The words of the lexicons that lower-cased text holds, lower-cased and distinct; none of null.
 
     One automaton of all the words runs once over each text, in an Arrow function: as expressions every word is a scan of its own, and a pattern of alternatives tries them all at every place.
-    ``held`` and ``holds`` then look single lists up in what was found.
+    ``held`` and ``holds`` then look single lists up in what was found, which has to be a column of its own (``tables.bound``).
     """
     words = tuple(dict.fromkeys(w.lower() for x in lexicons for w in x))
 

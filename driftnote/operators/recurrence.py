@@ -117,40 +117,76 @@ def spiking(daily: DataFrame, keys: list[str], parameters: DataFrame) -> DataFra
     return leaky_fold(rows, [*keys, "state"], start, step).select(*keys, "state", "day", "v_fast", "v_slow", "v", "fired")
 
 
+def with_policies(daily: DataFrame, parameters: DataFrame, policies: DataFrame) -> DataFrame:
+    """daily (..., state, topic) with the threshold and the mute that the policies (topic, threshold_delta, cooldown_days, muted) give the topic: a left join, which Spark sends
+    around or shuffles by the size of the policies."""
+    from .policy import adjusted_threshold
+
+    p = policies.select("topic", "threshold_delta", "cooldown_days", F.col("muted").alias("_muted"), F.lit(True).alias("_known"))
+    rows = daily.join(p, "topic", "left").join(F.broadcast(parameters.select("state", "theta")), "state")  # one row a state
+    level = F.when(F.col("_known"), adjusted_threshold(F.col("theta"), F.col("threshold_delta"), F.col("cooldown_days"))).otherwise(F.col("theta"))
+    return rows.withColumn("threshold", level).withColumn("muted", F.coalesce("_muted", F.lit(False))).drop("threshold_delta", "cooldown_days", "_muted", "_known", "theta")
+
+
+def with_saved(daily: DataFrame, key: str, saved: DataFrame) -> DataFrame:
+    """daily with what a run before left of each (key, state): the table of ``final_states``."""
+    old = saved.select(key, "state", F.col("fast").alias("start_fast"), F.col("slow").alias("start_slow"), F.col("last").alias("start_day"), F.col("fired_on").alias("start_fired"))
+    return daily.join(old, [key, "state"], "left")
+
+
 def budgeted(daily: DataFrame, key: str, neurons: dict, budget: int) -> DataFrame:
     """The recurrence of all states of a key together: of those that could fire on a day only the ``budget`` with the greatest ratio do and are reset.
 
+    daily: key, state, day, evidence, completion; if there: ``threshold`` and ``muted`` (of ``with_policies``; a muted state leaks and charges but can't fire), and the columns of ``with_saved``, from which it goes on.
+    Comes out: key, state, day, v_fast, v_slow, v (before the reset), threshold, fired, and fast, slow, fired_on as they are kept. Every state has a row on each of the key's days.
     One series a key, days by states long; the fold couples the states, so it runs in pandas, a key at a time.
     """
     import pandas as pd
 
+    more = [c for c in ("threshold", "muted", "start_fast", "start_slow", "start_day", "start_fired") if c in daily.columns]
+    columns = [key, "state", "day", "v_fast", "v_slow", "v", "threshold", "fired", "fast", "slow", "fired_on"]
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         names = list(neurons)
-        state = {n: [0.0, 0.0, None] for n in names}
+        none = lambda x: None if x is None or pd.isna(x) else x
+        state: dict = {n: [0.0, 0.0, None] for n in names}
         out, last = [], None
+        if "start_day" in more:
+            for r in pdf.dropna(subset=["start_day"]).drop_duplicates("state").itertuples():
+                state[r.state] = [r.start_fast, r.start_slow, none(r.start_fired)]
+                last = r.start_day if last is None else max(last, r.start_day)
         for day, rows in pdf.sort_values("day").groupby("day", sort=True):
             got = {r.state: r for r in rows.itertuples()}
             gap = 1 if last is None else max((day - last).days, 1)
             last = day
-            able = []
+            able, first = [], len(out)
             for order, n in enumerate(names):
-                p, s = neurons[n], state[n]
-                e, c = (got[n].evidence, got[n].completion) if n in got else (0.0, 0.0)
+                p, s, r = neurons[n], state[n], got.get(n)
+                e, c = (r.evidence, r.completion) if r is not None else (0.0, 0.0)
+                theta = none(getattr(r, "threshold", None)) or p.theta
                 s[0] = max(0.0, p.decay**gap * s[0] + e - c)
                 s[1] = max(0.0, p.slow_decay**gap * s[1] + e * p.slow_input - c * p.slow_completion)
                 v = (p.fast_weight * s[0] + p.slow_weight * s[1]) / (p.fast_weight + p.slow_weight)
-                out.append([pdf[key].iloc[0], n, day, s[0], s[1], v, False])
-                if v >= p.theta and (s[2] is None or (day - s[2]).days >= p.cooldown_days):
-                    able.append((-v / p.theta, order, n, len(out) - 1))
-            for _, _, n, at in sorted(able)[: max(0, budget)]:
+                out.append([pdf[key].iloc[0], n, day, s[0], s[1], v, theta, False])
+                if v >= theta and not getattr(r, "muted", False) and (s[2] is None or (day - s[2]).days >= p.cooldown_days):
+                    able.append((-v / theta, order, n))
+            for _, order, n in sorted(able)[: max(0, budget)]:
                 p, s = neurons[n], state[n]
                 s[0], s[1], s[2] = p.theta * p.reset_ratio, min(s[1], p.theta * 0.60), day
-                out[at][6] = True
-        return pd.DataFrame(out, columns=[key, "state", "day", "v_fast", "v_slow", "v", "fired"])
+                out[first + order][7] = True
+            for order, n in enumerate(names):
+                out[first + order] += state[n]
+        return pd.DataFrame(out, columns=columns)
 
     kind = daily.schema[key].dataType.simpleString()
-    rows = daily.select(key, "state", "day", "evidence", "completion")
-    return rows.groupBy(key).applyInPandas(fold, f"{key} {kind}, state string, day date, v_fast double, v_slow double, v double, fired boolean")
+    rows = daily.select(key, "state", "day", "evidence", "completion", *more)
+    return rows.groupBy(key).applyInPandas(fold, f"{key} {kind}, state string, day date, v_fast double, v_slow double, v double, threshold double, fired boolean, fast double, slow double, fired_on date")
+
+
+def final_states(run: DataFrame, key: str) -> DataFrame:
+    """What the next run goes on from: key, state, fast, slow, last (day) and fired_on of each state."""
+    last = F.max_by(F.struct("fast", "slow", F.col("day").alias("last"), "fired_on"), "day").alias("s")
+    return run.groupBy(key, "state").agg(last).select(key, "state", "s.*")
 
 
 def calendar(df: DataFrame, keys: list[str], columns: list[str], day: str = "day") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .. import lexicon as L
 from ..operators import evidence as E
 from ..operators import recurrence as R
-from ..session import cut
+from ..session import cut, scratch_path
+from ..sources.sinks import load_state, save_state
 from ..functions import text as T
 from ..tables import spread
 from .common import NOTES, arrivals, day_as_text, sql_any, sql_list
@@ -86,7 +87,37 @@ def lif4_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lif5_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All states of a vault together, at most two spikes a day."""
-    return R.budgeted(_sums(spark, sf_dir), "vault", L.NEURONS, 2)
+    return R.budgeted(_sums(spark, sf_dir), "vault", L.NEURONS, 2).select("vault", "state", "day", "v_fast", "v_slow", "v", "fired")
+
+
+def lif5_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replay with policies: each state's topic of the day meets its policy, which moves the threshold or mutes it; at most two spikes a day."""
+    from .stream_queries import agg6_merged_policies
+
+    daily = cut(_daily(spark, sf_dir), "daily")
+    items = daily.select("vault", "day", "state", F.explode(F.slice("items", 1, 4)).alias("i"))
+    text = F.concat_ws(" ", F.col("i.snippet"), F.array_join("i.words", " "))
+    topics = E.inferred_topics(items.select("vault", "day", "state", text.alias("text"), F.col("i.score").alias("score")), ["vault", "day"]).select("vault", "day", "state", "topic")
+    rows = daily.select("vault", "day", "state", "evidence", "completion").join(topics, ["vault", "day", "state"])
+    merged = agg6_merged_policies(spark, sf_dir)
+    # the hits' feedback adds up to far more than single reviews would: it is scaled to one review a topic
+    policies = merged.select("topic", (F.col("threshold_delta") / F.col("feedback_count")).alias("threshold_delta"), "cooldown_days", "muted")
+    run = R.budgeted(R.with_policies(rows, _parameters(spark), policies), "vault", L.NEURONS, 2)
+    return run.select("vault", "state", "day", F.round("v", 6).alias("v"), F.round("threshold", 6).alias("threshold"), "fired")
+
+
+def lif6_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs, the second from the state that the first saved, with room for every state in the budget: the same rows as one run of the recurrence with resets."""
+    daily = cut(_sums(spark, sf_dir).select("vault", "state", "day", "evidence", "completion"), "daily")
+    middle, path = F.lit("2025-01-01").cast("date"), scratch_path(spark, "state")
+    first = cut(R.budgeted(daily.where(F.col("day") < middle), "vault", L.NEURONS, len(L.NEURONS)), "run")
+    save_state(R.final_states(first, "vault"), path)
+    # a state without evidence on a later day still needs what was saved of it
+    days = daily.where(F.col("day") >= middle).select("vault", "day").distinct().withColumn("state", F.explode(F.array(*map(F.lit, L.NEURONS))))
+    grid = days.join(daily, ["vault", "day", "state"], "left").fillna(0.0, ["evidence", "completion"])
+    later = R.budgeted(R.with_saved(grid, "vault", load_state(spark, path)), "vault", L.NEURONS, len(L.NEURONS))
+    run = first.unionByName(later).join(daily.select("vault", "state", "day"), ["vault", "state", "day"])
+    return run.select("vault", "state", "day", *[F.round(c, 6).alias(c) for c in ("v_fast", "v_slow", "v")], "fired")
 
 
 def top3_latest_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +182,7 @@ _SPIKES = f"select vault, w.state, day, f as v_fast, s as v_slow, {_HIT} as v, c
 
 QUERIES = {
     "sco_block_scores": sco_block_scores, "agg1_daily_evidence": agg1_daily_evidence, "agg4_topics": agg4_topics, "agg5_topic_history": agg5_topic_history, "agg8_folder_states": agg8_folder_states,
-    "lif2_two_timescale": lif2_two_timescale, "lif4_spikes": lif4_spikes, "lif5_budget": lif5_budget, "top3_latest_spikes": top3_latest_spikes,
+    "lif2_two_timescale": lif2_two_timescale, "lif4_spikes": lif4_spikes, "lif5_budget": lif5_budget, "lif5_replay": lif5_replay, "lif6_resumed": lif6_resumed, "top3_latest_spikes": top3_latest_spikes,
 }
 ORACLE = {
     "sco_block_scores": "with " + EVIDENCE + " select note_id, block_index, state, array_to_string(words, '|') as words, round(target_weight, 6) as target_weight, round(specificity, 6) as specificity, round(confidence, 6) as confidence, round(score, 6) as score, inhibition, array_to_string(modifiers, '|') as modifiers from evidence",
@@ -170,4 +201,5 @@ from i join topics on len(list_filter(ws, lambda w: contains(t, lower(w)))) > 0
     "lif4_spikes": _RESET + f" select vault, state, day, round(v_fast, 6) as v_fast, round(v_slow, 6) as v_slow, round(v, 6) as v, fired from ({_SPIKES})",
     "top3_latest_spikes": _RESET + f", f as (select * from ({_SPIKES}) where fired) select vault, day, state, round(v, 6) as v, round(v / theta, 6) as ratio from f where day = (select max(g.day) from f g where g.vault = f.vault)",
 }
-day_as_text(QUERIES, ORACLE, ["agg1_daily_evidence", "agg4_topics", "lif2_two_timescale", "lif4_spikes", "lif5_budget", "top3_latest_spikes"])
+ORACLE["lif6_resumed"] = ORACLE["lif4_spikes"]
+day_as_text(QUERIES, ORACLE, ["lif5_replay", "lif6_resumed", "agg1_daily_evidence", "agg4_topics", "lif2_two_timescale", "lif4_spikes", "lif5_budget", "top3_latest_spikes"])

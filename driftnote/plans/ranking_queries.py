@@ -49,6 +49,12 @@ def top4_prediction_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.orderBy(F.col("error").desc(), "vault", "day", "state").limit(8)
 
 
+def top4_macro_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight points that come first as macro candidates: those first, then by effective ratio, error and ratio (the report's size)."""
+    p = _points(spark, sf_dir).select("vault", "state", "day", "macro", *[F.round(c, 6).alias(c) for c in ("effective", "error", "ratio")])
+    return p.orderBy(F.col("macro").desc(), F.col("effective").desc(), F.col("error").desc(), F.col("ratio").desc(), "vault", "day", "state").limit(8)
+
+
 def top6_notes_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five notes of most evidence for each state (the report's size); the sums come before the rank."""
     s = _evidence(spark, sf_dir).groupBy("state", "note_id").agg(F.round(F.sum("score"), 6).alias("score"))
@@ -118,7 +124,7 @@ def ext7_dimension_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OV = lambda rs: f"len(list_intersect(roles, {sql_list(rs)})) > 0"
 QUERIES = {
-    "joi13_candidates_checked": joi13_candidates_checked, "joi15_annotated": joi15_annotated, "top4_prediction_errors": top4_prediction_errors, "top6_notes_by_state": top6_notes_by_state, "sco22_note_ranks": sco22_note_ranks,
+    "joi13_candidates_checked": joi13_candidates_checked, "joi15_annotated": joi15_annotated, "top4_prediction_errors": top4_prediction_errors, "top4_macro_candidates": top4_macro_candidates, "top6_notes_by_state": top6_notes_by_state, "sco22_note_ranks": sco22_note_ranks,
     "sco8_hit_scores": sco8_hit_scores, "sco10_intensity": sco10_intensity, "agg23_views": agg23_views, "joi9_effective_thresholds": joi9_effective_thresholds, "txt15_flattened": txt15_flattened, "ext7_dimension_words": ext7_dimension_words,
 }
 _RAW = "rh as (select hit_id, any_value(snippet) as snippet, coalesce(any_value(topics), []) as topics, coalesce(any_value(roles), []) as roles, coalesce(any_value(matched_terms), []) as mt from evidence_hits group by 1)"
@@ -130,6 +136,7 @@ select candidate_id, claimed, coalesce(found, 0) as found, coalesce(found_days,
 c as (select * from s order by round(score, 9) desc, term limit 32), t as (select fragment_id, lower(any_value(text)) as low from fragments group by 1)
 select c.term, any_value(listed) as listed, count(t.fragment_id)::bigint as in_text from c left join t on contains(low, c.term) group by 1""",
     "top4_prediction_errors": _TIME + "select vault, state, day, round(error, 6) as error from p order by 4 desc, vault, day, state limit 8",
+    "top4_macro_candidates": _TIME + "select vault, state, day, macro, round(effective, 6) as effective, round(error, 6) as error, round(ratio, 6) as ratio from q order by macro desc, 5 desc, 6 desc, 7 desc, vault, day, state limit 8",
     "top6_notes_by_state": "with " + EVIDENCE + ", s as (select state, note_id, round(sum(score), 6) as score from evidence group by 1, 2) select state, note_id, score, row_number() over (partition by state order by score desc, note_id)::int as rank from s qualify row_number() over (partition by state order by score desc, note_id) <= 5",
     "sco22_note_ranks": f"with {EVIDENCE}, {_RESOLVE.partition(', l as ')[1].lstrip(', ')}{_RESOLVE.partition(', l as ')[2]}" + """, ou as (select source as path, count(distinct link) as o from ed where target is not null group by 1), inn as (select target as path, count(distinct source) as i from ed where target is not null and source <> target group by 1),
 ow as (select path, sum(score) as s from evidence join (select note_id, path from notes) using (note_id) group by 1)
@@ -145,4 +152,4 @@ select path, round(1.5::double * coalesce(i, 0) + coalesce(o, 0) + 0.35::double
 k as (select *, row_number() over (partition by dimension order by uses desc, word) as rank from w) select dimension, string_agg(word, ' / ' order by rank) as label from k where rank <= 4 group by 1""",
     "txt15_flattened": "select event_id, case when json_type(props) = 'OBJECT' then array_to_string(list_transform(json_keys(props), lambda k: json_extract_string(props, '$.\"' || k || '\"')), ' ') else props end as flat from events",
 }
-day_as_text(QUERIES, ORACLE, ["top4_prediction_errors", "joi9_effective_thresholds"])
+day_as_text(QUERIES, ORACLE, ["top4_prediction_errors", "top4_macro_candidates", "joi9_effective_thresholds"])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import file_system
+
 
 def packets(rows: DataFrame) -> DataFrame:
     """Each row as a JSON object in the column ``packet``; null fields are left out."""
@@ -37,3 +39,9 @@ def write_markdown(rows: DataFrame, title: str, order: list[Column], path: str)
 def save_state(state: DataFrame, path: str) -> None:
     """A table of states, whole, for the next run. The table read may not be the one written: give each run its own path."""
     state.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+
+
+def load_state(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that ``save_state`` wrote; None where there is none."""
+    fs, p = file_system(spark, path)
+    return spark.read.parquet(path) if fs.exists(p) else None

@@ -57,3 +57,51 @@ def test_merged(spark):
     made = P.closed_policies(closures(spark))
     got = rows(P.merged_policies(made))
     assert (got["a"]["threshold_delta"], got["a"]["priority"], got["a"]["action"], got["a"]["feedback_count"]) == (0.75, "P2", "downgrade", 2)
+
+
+def days(n):
+    from datetime import timedelta
+
+    return [DAY + timedelta(days=k) for k in range(n)]
+
+
+def test_replay_with_policies(spark):
+    """A topic that feedback calls useless needs more to fire, a muted one never fires though it charges; the budget goes to the others."""
+    from driftnote.lexicon import NEURONS
+    from driftnote.operators import recurrence as R
+
+    names = list(NEURONS)[:2]
+    neurons = {n: NEURONS[n] for n in names}
+    rows = [("v", n, d, 9.0, 0.0, topic) for d in days(3) for n, topic in zip(names, ("loud", "quiet"))]
+    daily = spark.createDataFrame(rows, "vault string, state string, day date, evidence double, completion double, topic string")
+    parameters = spark.createDataFrame([(n, p.theta) for n, p in neurons.items()], "state string, theta double")
+    fired = lambda policies, budget=2: sum(
+        r["fired"] for r in R.budgeted(R.with_policies(daily, parameters, spark.createDataFrame(policies, "topic string, threshold_delta double, cooldown_days int, muted boolean")), "vault", neurons, budget).collect()
+    )
+    free = fired([("other", 0.0, 0, False)])
+    muted = R.budgeted(R.with_policies(daily, parameters, spark.createDataFrame([("quiet", 0.0, 30, True)], "topic string, threshold_delta double, cooldown_days int, muted boolean")), "vault", neurons, 2).collect()
+    assert not any(r["fired"] for r in muted if r["state"] == names[1]) and max(r["v"] for r in muted if r["state"] == names[1]) > NEURONS[names[1]].theta
+    assert any(r["fired"] for r in muted if r["state"] == names[0])
+    assert fired([("loud", 50.0, 0, False), ("quiet", 50.0, 0, False)]) == 0 < fired([("x", 0.0, 0, False)], 1) <= free
+    levels = {r["state"]: r["threshold"] for r in R.with_policies(daily, parameters, spark.createDataFrame([("loud", 1.0, 3, False)], "topic string, threshold_delta double, cooldown_days int, muted boolean")).collect()}
+    assert abs(levels[names[0]] - (NEURONS[names[0]].theta + 1.0 + 0.45)) < 1e-9 and levels[names[1]] == NEURONS[names[1]].theta
+
+
+def test_resumed_run_is_the_whole(spark, tmp_path):
+    from random import Random
+
+    from driftnote.lexicon import NEURONS
+    from driftnote.operators import recurrence as R
+    from driftnote.sources.sinks import load_state, save_state
+
+    r = Random(6)
+    rows = [("v", n, d, r.uniform(0, 6), r.choice([0.0, 1.0])) for d in days(20) for n in NEURONS]
+    daily = spark.createDataFrame(rows, "vault string, state string, day date, evidence double, completion double")
+    key = lambda df: sorted((x["state"], x["day"], round(x["v"], 9), x["fired"]) for x in df.collect())
+    whole = key(R.budgeted(daily, "vault", NEURONS, 2))
+    middle = F.lit(days(9)[-1])
+    assert load_state(spark, str(tmp_path / "none")) is None
+    first = R.budgeted(daily.where(F.col("day") < middle), "vault", NEURONS, 2)
+    save_state(R.final_states(first, "vault"), str(tmp_path / "state"))
+    second = R.budgeted(R.with_saved(daily.where(F.col("day") >= middle), "vault", load_state(spark, str(tmp_path / "state"))), "vault", NEURONS, 2)
+    assert sorted(key(first) + key(second)) == whole and any(x[3] for x in whole)
