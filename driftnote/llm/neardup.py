@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ..session import cut, discard
 
 BINS = 32
-SLOTS = 1024
+SLOTS = 512
 VALUE_SLOTS = 4096
 HOT = 256
 DEPTH = 2
@@ -285,7 +285,7 @@ def estimated(reps: DataFrame, groupings: list[Partitions]) -> tuple[list[Costs]
             least = max(FEW, len(keys) / (2 * OFTEN))
             for k, (g, p, d) in enumerate(probes):
                 s = groupings[g].signatures(mixed[g], scope, p, d)
-                slot = (s >> np.uint64(54)).astype(np.int64)
+                slot = (s >> np.uint64(55)).astype(np.int64)
                 sums[k] += np.bincount(slot, np.where((s >> np.uint64(20)) & np.uint64(1), 1.0, -1.0), SLOTS)
                 full = np.bincount(slot, minlength=SLOTS) >= least + len(keys) / SLOTS
                 if full.any():
@@ -296,10 +296,11 @@ def estimated(reps: DataFrame, groupings: list[Partitions]) -> tuple[list[Costs]
             seen += len(keys)
         yield _sums({**{k: sums[k] for k in range(len(probes))}, len(probes): np.array([float(seen)])})
 
-    table = cut(_added(reps.select("rec", "scope", "key").mapInArrow(count, "at int, s bigint, sums array<double>")), "estimates")
-    rows = {r[0]: np.array(r[1]) for r in table.where("at >= 0").select("at", "sums").collect()}
+    table = cut(reps.select("rec", "scope", "key").mapInArrow(count, "at int, s bigint, sums array<double>"), "estimates")
+    rows = {r[0]: np.array(r[1]) for r in _added(table.where("at >= 0")).select("at", "sums").collect()}
     n = int(rows[len(probes)][0]) if rows else 0
-    often = table.where("at < 0").where(F.col("sums")[0] * 2 * OFTEN >= max(n, 2 * OFTEN * HOT)).select("at", "s").collect()
+    counted = table.where("at < 0").groupBy("at", "s").agg(F.sum(F.col("sums")[0]).alias("c"))
+    often = counted.where(F.col("c") * 2 * OFTEN >= max(n, 2 * OFTEN * HOT)).select("at", "s").collect()
     discard(table)
     pairs = {x: max(0.0, ((rows[k] ** 2).sum() - n) / 2) if rows else 0.0 for k, x in enumerate(probes)}
     costs = [[[pairs[g, p, None], sum(pairs[g, p, d] for d in range(parts.width))] for p in range(len(parts.columns))] for g, parts in enumerate(groupings)]

@@ -1,3 +1,4 @@
+from functools import cache
 from random import Random
 
 import numpy as np
@@ -7,6 +8,7 @@ from driftnote.functions.keys import text_key
 from driftnote.llm import neardup as N
 
 
+@cache
 def grams(k):
     return {k[i : i + 3] for i in range(max(1, len(k) - 2))}
 
@@ -70,6 +72,7 @@ def test_frequent_signatures(spark, monkeypatch):
     monkeypatch.setattr(N, "HOT", 4)
     monkeypatch.setattr(N, "OFTEN", 4)
     monkeypatch.setattr(N, "FEW", 2)
+    monkeypatch.setattr(N, "DEPTH", 0)
     monkeypatch.setattr(N, "BLOCK", 7)
     r = Random(8)
     rows = texts(9, 30) + [("s", 9000 + i, "the same boilerplate for every single record of this feed" + "".join(r.choice("abcdefgh") for _ in range(4))) for i in range(60)]
