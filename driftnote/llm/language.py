@@ -5,7 +5,7 @@ the text (NFKC, lower case) is hashed into one of 2**16 rows of an embedding tab
 layer turns the average into a language. Table and layer are trained together by stochastic gradient descent in numpy,
 on a bounded sample of labelled texts; rows that the first model firmly contradicts (wrong labels) are left out of the
 second's training. Documents are held out whole, with all of their rows, rightly labelled or not: they give the temperature that calibrates the confidence, together with the share of wrong
-labels among them, and the rejection threshold, the least confidence above which the model is right as often as asked for.
+labels among them, and the rejection threshold, the least confidence above which the model meets the labels as often, to the share asked for, as in its surer half.
 
 Being linear, table and layer fold into one table of a score per n-gram and language, so a text is scored by lookups
 and a sum: additive, in blocks of fixed size, over the whole text however long it is. Scoring is one pass over the
@@ -208,8 +208,8 @@ def train(texts: list[str], labels: list[str], documents: list[int] | None = Non
         got, sure = m.predict([mid[i] for i in at])
         agreed = got == y[at]
         order = np.argsort(-sure)
-        # of labels that are wrong in part the model can only meet the others
-        right = np.cumsum(agreed[order]) / np.arange(1, len(at) + 1) / (1 - m.wrong_labels)
+        # of labels that are wrong in part the model can only meet the others: those of its surer half that it meets stand for all it could
+        right = np.cumsum(agreed[order]) / np.arange(1, len(at) + 1) / max(agreed[order][: max(1, len(at) // 2)].mean(), 1e-9)
         good = np.flatnonzero(right >= precision)
         # never below an even chance
         m.reject_below = max(0.5, float(sure[order][good[-1]]) if len(good) and good[-1] + 1 < len(at) else 0.0)
