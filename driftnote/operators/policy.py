@@ -95,6 +95,8 @@ def recalled(memory: DataFrame, today: Column) -> DataFrame:
 def merged_policies(policies: DataFrame) -> DataFrame:
     """One policy a topic from rows (seq, topic, threshold_delta, priority, action, muted, cooldown_days, feedback_count): deltas and counts add up, the last priority and action that aren't null hold,
     any mute mutes, the longest cooldown holds. All of it is combined map-side."""
+    if "action" not in policies.columns:
+        policies = policies.withColumn("action", F.lit(None).cast("string"))
     return policies.groupBy("topic").agg(
         F.sum("threshold_delta").alias("threshold_delta"),
         F.max_by("priority", F.when(F.col("priority").isNotNull(), F.col("seq"))).alias("priority"),

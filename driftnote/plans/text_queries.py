@@ -134,6 +134,7 @@ f as (select doc_id, link, min(i) as i from l where link <> '' group by 1, 2) se
     "txt10_tags": rf"""with {NOTES} select tag, count(*)::bigint as uses from (
 select unnest(list_distinct(regexp_extract_all(text, '(?:^|\s)#([\p{{L}}_][\p{{L}}\p{{N}}_/\-]*)', 1))) as tag from documents union all select unnest(tags) from notes) group by 1""",
     "txt11_shingles": f"with {NOTES} select shingle, count(*)::bigint as notes from (select note_id, unnest(list_distinct({_SHINGLES})) as shingle from notes) group by 1 having count(*) >= 10",
+    "txt11_all_shingles": f"with {NOTES} select shingle, count(*)::bigint as notes from (select note_id, unnest(list_distinct({_SHINGLES})) as shingle from notes) group by 1",
     "txt13_tokens": r"select token, count(*)::bigint as occurrences from (select unnest(regexp_extract_all(lower(text), '[a-z]{3,}|[\x{4e00}-\x{9fff}]{2,}')) as token from documents) group by 1",
     "txt16_titles": rf"""select distinct path, lower(regexp_replace(regexp_replace(regexp_replace(path, '^.*/', ''), '\.[^.]*$', ''), '{_SP}', '', 'g')) as title_key,
 case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '.' end as folder, try_cast(nullif(regexp_extract(path, '(20[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}})', 1), '') as date) as named_day from files""",
