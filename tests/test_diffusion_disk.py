@@ -22,7 +22,7 @@ def _note(k, text, links, title=None):
     return (k, f"f{k}/n.md", datetime.date(2025, 12, 1), title or f"t{k}", text, ["x"] if k == 1 else [], links)
 
 
-@pytest.mark.parametrize("name", ["vec2_diffused_hits", "agg16_diffused_days", "lif10_diffused_calendar", "lif14_diffused_vectors"])
+@pytest.mark.parametrize("name", ["vec2_diffused_hits", "agg16_diffused_days", "agg17_diffused_energy", "lif10_diffused_calendar", "lif14_diffused_vectors"])
 def test_a_hub_leaves_no_vectors_of_its_neighbours_on_disk(spark, tmp_path, name):
     rows = [_note(k, " ".join(f"w{k}x{i}" for i in range(WORDS)) + " drift", ["hub"]) for k in range(1, LEAVES + 1)]
     spark.createDataFrame([*rows, _note(99, "drift", [], "hub")], SCHEMA).write.parquet(str(tmp_path / "note_observations.parquet"))
