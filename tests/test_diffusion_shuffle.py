@@ -23,7 +23,7 @@ def _during(spark, name, folder):
     return rows, _shuffled(spark) - before
 
 
-@pytest.mark.parametrize("name", ["lif10_diffused_calendar"])
+@pytest.mark.parametrize("name", ["lif10_diffused_calendar", "agg17_diffused_energy"])
 def test_no_text_is_shuffled(spark, tmp_path, name):
     pick = random.Random(7)
     rows = [(k, f"f{k}/n.md", datetime.date(2025, 12, 1), f"t{k}", "drift " + "".join(chr(pick.randrange(0x10A0, 0x1400)) for _ in range(LENGTH)), [], ["t1"]) for k in range(1, NOTES + 1)]  # letters that are no features
