@@ -1,4 +1,4 @@
-"""What the diffused field shuffles: nothing that grows with the length of the texts."""
+"""What the diffused field shuffles: nothing that grows with the length of the texts, and names compressed."""
 
 import datetime
 import random
@@ -31,3 +31,12 @@ def test_no_text_is_shuffled(spark, tmp_path, name):
     got, shuffled = _during(spark, name, str(tmp_path))
     assert len(got) == 1
     assert shuffled < NOTES * LENGTH / 4  # a text takes over a byte a letter, whatever compresses it
+
+
+def test_names_are_shuffled_compressed(spark, tmp_path):
+    rows = [(k, f"f{k}/n.md", datetime.date(2025, 12, 1), f"t{k}", " ".join(f"word{k}x{i}" for i in range(2_000)), [], []) for k in range(1, 11)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "note_observations.parquet"))
+    got, shuffled = _during(spark, "lif14_diffused_vectors", str(tmp_path))
+    words = [r for r in got if r["feature"].startswith("word")]
+    assert len({(r["note_id"], r["feature"]) for r in words}) == 20_000
+    assert shuffled < 700_000  # loose names took 0.96 MB
